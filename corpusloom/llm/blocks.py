@@ -52,7 +52,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offs
 
 
-def windows(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int]]:
+def windows(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = _SEP) -> Iterator[tuple[int, int]]:
     """Ranges of about CHUNK bytes that end where no word is cut."""
     a, end = int(offs[0]), int(offs[-1])
     while a < end:
@@ -60,27 +60,27 @@ def windows(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int]]:
         if b < end:
             i = int(np.searchsorted(offs, b, "right")) - 1
             row = int(offs[i])
-            cuts = np.flatnonzero(_SEP[data[max(a, row) : b]])
+            cuts = np.flatnonzero(sep[data[max(a, row) : b]])
             if row > a and not len(cuts):
                 b = row
             elif len(cuts):
                 b = max(a, row) + int(cuts[-1]) + 1
             else:  # one word longer than a chunk: to its end
                 stop = int(offs[i + 1])
-                more = np.flatnonzero(_SEP[data[b:stop]])
+                more = np.flatnonzero(sep[data[b:stop]])
                 b = b + int(more[0]) + 1 if len(more) else stop
         yield a, b
         a = b
 
 
-def words(texts: pa.Array, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+def words(texts: pa.Array, prefixes: tuple[int, ...] = (), sep: np.ndarray = _SEP) -> tuple[np.ndarray, ...]:
     """Word hashes of all rows in order, the offsets of the rows in them, and for each
-    asked length the hashes of the words' prefixes (0 for words no longer than it)."""
+    asked length the hashes of the words' prefixes (0 for words no longer than it). ``sep`` marks the bytes that part words."""
     data, offs = utf8(texts)
     got: list[list[np.ndarray]] = [[] for _ in range(2 + len(prefixes))]
-    for a, b in windows(data, offs):
+    for a, b in windows(data, offs, sep):
         part = data[a:b]
-        live = ~_SEP[part]
+        live = ~sep[part]
         first = live.copy()
         first[1:] &= ~live[:-1]
         edges = offs[np.searchsorted(offs, a, "left") : np.searchsorted(offs, b, "left")] - a

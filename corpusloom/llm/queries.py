@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import neardup
+from corpusloom.llm import bpe, langid, neardup, toxicity
 from corpusloom.sources.tables import table
 
 
+def _fold(modulus: int, remainder: int):
+    """Whether crc32 of the id as text leaves this remainder."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    index = toxicity.train(docs, labels.where(~_fold(5, 0)))
+    return toxicity.score(docs, index, F.col("doc_id").cast("long"), _fold(5, 0).alias("held_out")).select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~_fold(5, 0)))
+    return langid.predict(docs, model, F.col("doc_id").cast("long"), _fold(5, 0).alias("held_out"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_language_id": op9_language_id,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {}
