@@ -196,3 +196,17 @@ def score(docs: DataFrame, index: Index, *keep: Column) -> DataFrame:
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[1:])
     return kept.mapInArrow(run, f"{schema}score double, predicted int, evidence array<bigint>")
+
+
+def reject(docs: DataFrame, index: Index) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, columns as they were."""
+    by_task(docs.sparkSession)
+    shared, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")
+
+    def run(batches):
+        index = shared.value
+        for batch in batches:
+            found = _vectors(index.terms, _terms(batch.column(at).cast(pa.string())))
+            yield batch.filter(pa.array([index.score(*x)[0] < 0.5 for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
