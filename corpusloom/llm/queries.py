@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, langid, mixing, neardup, toxicity
+from corpusloom.llm import ann, bpe, langid, mixing, neardup, pii, topk, toxicity
 from corpusloom.sources.tables import table
 
 
@@ -15,14 +15,26 @@ def _fold(modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
+def op1_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     index = toxicity.train(docs, labels.where(~_fold(5, 0)))
@@ -40,8 +52,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ivf_pq": op1_ivf_pq,
     "op2_source_mixing": op2_source_mixing,
+    "op4_pii": op4_pii,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_exact_top_k": op6_exact_top_k,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
@@ -49,4 +64,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_source_mixing": mixing.REPORT_SQL,
+    "op6_exact_top_k": topk.TOP_SQL,
 }
