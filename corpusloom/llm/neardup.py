@@ -120,25 +120,21 @@ def _long_lists(rows: DataFrame, docs: DataFrame, sets: DataFrame, links: DataFr
     pairs, rest = _listed(_prefix(members, f"cast(ceil({percent} * size / 100) as bigint)"))
     links = cut(links.unionByName(_confirm(_likely(pairs, sets, percent), full, percent)))
     # two sets can't share more than what either has besides values of its own alone
-    allowed = f"least(a.size - a.alone, b.size - b.alone) * (100 + {percent}) >= {percent} * (a.size + b.size) and a.comp <> b.comp and a.doc <> b.doc"
-    key = F.struct((F.col("alone") / F.col("size")).alias("alone_share"), F.col("doc"), F.col("size"), F.col("alone"), F.col("comp"))
-    for step in range(4):
-        if rest.isEmpty():
-            break
-        comp = connected_components(links, "doc", "other").toDF("doc", "comp")
-        at = rest.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        sizes = at.groupBy("value", "comp").agg(F.count("*").alias("k"), F.min(key).alias("best"))
-        top = sizes.groupBy("value").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-        at = cut(at.join(top.select("value", F.col("top.comp").alias("main")), "value"))
-        out = at.where("comp <> main")
-        if step < 3:  # stars around a list's most central text, and around that of the texts outside its largest component
-            b = at.groupBy("value").agg(F.min(key).alias("best")).unionByName(out.groupBy("value").agg(F.min(key).alias("best"))).select("value", "best.*").distinct()
-        else:  # what is left, pair by pair
-            b = out
-        met = at.alias("a").join(b.alias("b"), F.expr(f"a.value = b.value and {allowed}")).select(F.least("a.doc", "b.doc").alias("doc"), F.greatest("a.doc", "b.doc").alias("other")).distinct()
-        links = cut(links.unionByName(_confirm(_likely(met, sets, percent), full, percent)))
-        rest = at.select("doc", "value", "size", "alone")
-    return links
+    allowed = f"least(a.size - a.alone, b.size - b.alone) * (100 + {percent}) >= {percent} * (a.size + b.size) and a.doc <> b.doc"
+
+    def more(a: DataFrame, b: DataFrame, also: str) -> DataFrame:
+        met = a.alias("a").join(b.alias("b"), F.expr(f"a.value = b.value and {allowed}{also}")).select(F.least("a.doc", "b.doc").alias("doc"), F.greatest("a.doc", "b.doc").alias("other")).distinct()
+        return cut(links.unionByName(_confirm(_likely(met, sets, percent), full, percent)))
+
+    # first a star around each list's most central text, that with the least part of its own
+    centre = rest.groupBy("value").agg(F.min(F.struct((F.col("alone") / F.col("size")).alias("share"), "doc", "size", "alone")).alias("c")).select("value", "c.*")
+    links = more(rest, centre, "")
+    # then, pair by pair, whatever still lies outside the largest component of its list
+    comp = connected_components(links, "doc", "other").toDF("doc", "comp")
+    at = cut(rest.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
+    top = at.groupBy("value", "comp").agg(F.count("*").alias("k")).groupBy("value").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    at = at.join(top.select("value", F.col("top.comp").alias("main")), "value")
+    return more(at.where("comp <> main"), at, " and a.comp <> b.comp")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, bpe, langid, mixing, neardup, pii, topk, toxicity
+from corpusloom.llm import ann, bpe, langid, lm, mixing, neardup, pii, topk, toxicity
 from corpusloom.sources.tables import table
 
 
@@ -23,6 +23,13 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = docs.where(~_fold(5, 1))
+    counts = lm.count(learned)
+    return lm.score(docs, lm.train(learned, counts), counts, F.col("doc_id").cast("long").alias("doc_id"), _fold(5, 1).alias("held_out"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -54,6 +61,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ivf_pq": op1_ivf_pq,
     "op2_source_mixing": op2_source_mixing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_pii": op4_pii,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_exact_top_k": op6_exact_top_k,
