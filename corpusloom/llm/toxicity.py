@@ -20,9 +20,9 @@ from corpusloom.llm.blocks import by_task, words
 from corpusloom.sources.lineage import cut
 
 #: Labelled texts of either label that are sampled, in expectation.
-SAMPLE = 8000
-#: Terms kept at most, and the least chi-squared of one.
-TERMS, TELLING = 1024, 30.0
+SAMPLE = 4000
+#: Terms kept at most, and the least chi-squared of one: this, or this share of the texts.
+TERMS, TELLING, TELLING_SHARE = 1024, 30.0, 0.004
 #: Nearest examples that vote.
 NEAREST = 12
 #: Examples in a block of the index.
@@ -86,16 +86,10 @@ class Index:
         self.y, self.weight = (v[[full[k] for k in order]].astype(float) for v in (y, weight))
         self.ids = ids[[full[k] for k in order]]
         n = self.blocks = -(-len(order) // BLOCK)
-        self.most = np.zeros((len(terms), n), np.float32)
-        lists: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
-        for b in range(n):
-            dense = np.zeros((BLOCK, len(terms)), np.float32)
-            for j, k in enumerate(order[b * BLOCK : (b + 1) * BLOCK]):
-                dense[j, rows[full[k]][0]] = unit[k]
-            self.most[:, b] = dense.max(0)
-            t, j = np.nonzero(dense.T)
-            lists.append((np.searchsorted(t, np.arange(len(terms) + 1)), j, dense[j, t]))
-        self.lists = lists
+        self.lists = np.zeros((n, len(terms), BLOCK), np.float32)  # of each block, its examples' weights by term
+        for j, k in enumerate(order):
+            self.lists[j // BLOCK, rows[full[k]][0], j % BLOCK] = unit[k]
+        self.most = np.ascontiguousarray(self.lists.max(2).T)
         self.curve = self._calibrate([(rows[full[k]][0], unit[k]) for k in order])
 
     def _unit(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -105,21 +99,19 @@ class Index:
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, nearest first, ties to the first."""
         bound = w @ self.most[at]
-        best_at, best = np.zeros(0, int), np.zeros(0)
+        best_at, best, least = np.zeros(0, int), np.zeros(0), 0.0
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1] - 1e-6:
+            if bound[b] <= 0 or bound[b] < least - 1e-6:
                 break
-            start, rows, weights = self.lists[b]
-            score = np.zeros(BLOCK)
-            for t, x in zip(at, w, strict=True):
-                s = slice(start[t], start[t + 1])
-                score[rows[s]] += x * weights[s]
-            near = np.flatnonzero(score > 0)
+            score = w @ self.lists[b][at]
+            near = np.flatnonzero(score > max(least - 1e-6, 0))
             if but >= 0:
                 near = near[near + b * BLOCK != but]
-            best_at, best = np.concatenate([best_at, near + b * BLOCK]), np.concatenate([best, score[near]])
-            top = np.lexsort((best_at, -np.round(best, 6)))[:k]
-            best_at, best = best_at[top], best[top]
+            if len(near):
+                best_at, best = np.concatenate([best_at, near + b * BLOCK]), np.concatenate([best, score[near]])
+                top = np.lexsort((best_at, -np.round(best, 6)))[:k]
+                best_at, best = best_at[top], best[top]
+                least = best[-1] if len(best) == k else 0.0
         return best_at, best
 
     def vote(self, near: tuple[np.ndarray, np.ndarray]) -> list[float]:
@@ -160,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Index:
     a, b, n = F.col("yes").cast("double"), F.col("no").cast("double"), n1 + n0
     odd = a * (n0 - b) - b * (n1 - a)
     chi = n * odd * odd / ((a + b) * (n - a - b + 1) * (n1 + 1) * (n0 + 1))
-    top = counts.where("yes + no > 2").select("term", chi.alias("chi"), (a + b).alias("df")).where(F.col("chi") >= TELLING).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
+    top = counts.where("yes + no > 2").select("term", chi.alias("chi"), (a + b).alias("df")).where(F.col("chi") >= max(TELLING, TELLING_SHARE * n)).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
     top = sorted((np.int64(r["term"]).view(np.uint64), r["df"]) for r in top)
     terms = np.array([t for t, _ in top], np.uint64)
     idf = np.log((1 + n) / (1 + np.array([d for _, d in top]))) + 1
