@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, bpe, langid, lm, mixing, neardup, pii, topk, toxicity
+from corpusloom.llm import ann, bpe, langid, licenses, lm, mixing, neardup, pii, topk, toxicity
 from corpusloom.sources.tables import table
 
 
@@ -42,6 +42,10 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     index = toxicity.train(docs, labels.where(~_fold(5, 0)))
@@ -65,6 +69,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_exact_top_k": op6_exact_top_k,
+    "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
