@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from corpusloom.sources.lineage import cut
 
 
+#: Edges that one task rewires at least, and nodes whose least neighbours may travel to all tasks.
+_TASK_EDGES, _FEW_NODES = 100_000, 1_000_000
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``node, component`` for every node of the edges; component = least node reachable.
 
@@ -16,29 +20,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     each round come to the driver. Null ends and self loops are dropped; repeated
     edges count once; an empty edge table gives an empty result.
     """
-    e = cut(
-        edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-        .where("u is not null and v is not null and u <> v and %s is not null and %s is not null" % ("u", "v"))
-        .distinct()
-    )
+    ends = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"), F.col(src).isNull().alias("a"), F.col(dst).isNull().alias("b"))
+    e = cut(ends.where("not a and not b and u <> v").select("u", "v").distinct())
     seen = None
     for _ in range(max_rounds):
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first())
+        if now == seen:
+            break
+        seen, near = now, F.broadcast if now[0] <= _FEW_NODES else lambda x: x
+        if e.rdd.getNumPartitions() > (few := 1 + now[0] // _TASK_EDGES):
+            e = e.coalesce(few)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(near(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .where("u <> v").distinct()
-        )
-        e = cut(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
-        if now == seen:
-            break
-        seen = now
+        small = large.join(near(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        # never more edges than before, so no more tasks are needed
+        e = cut(small.distinct().coalesce(few))
     else:
         raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
