@@ -70,7 +70,7 @@ def _prefix(rows: DataFrame, needed: str) -> DataFrame:
     by = Window.partitionBy("doc")
     shared = rows.join(often, "value").withColumn("alone", F.col("size") - F.count("*").over(by))
     ranked = shared.withColumn("at", F.col("alone") + F.row_number().over(by.orderBy("often", "value")))
-    return ranked.where(f"at <= size - ({needed}) + 1").select("doc", "value", "size", "alone")
+    return ranked.where(f"at <= size - ({needed}) + 1").select("doc", "value", "size", "alone", "at")
 
 
 def _listed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -129,12 +129,15 @@ def _long_lists(rows: DataFrame, docs: DataFrame, sets: DataFrame, links: DataFr
     # first a star around each list's most central text, that with the least part of its own
     centre = rest.groupBy("value").agg(F.min(F.struct((F.col("alone") / F.col("size")).alias("share"), "doc", "size", "alone")).alias("c")).select("value", "c.*")
     links = more(rest, centre, "")
-    # then, pair by pair, whatever still lies outside the largest component of its list
+    # then, pair by pair, whatever still lies outside the largest component of its list:
+    # each pair in the list of its first common value, before which the two share nothing
     comp = connected_components(links, "doc", "other").toDF("doc", "comp")
-    at = cut(rest.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
+    every = rest.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x.value).alias("values"))
+    at = cut(rest.join(every, "doc").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
     top = at.groupBy("value", "comp").agg(F.count("*").alias("k")).groupBy("value").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
     at = at.join(top.select("value", F.col("top.comp").alias("main")), "value")
-    return more(at.where("comp <> main"), at, " and a.comp <> b.comp")
+    also = f" and a.comp <> b.comp and (b.comp = b.main or a.doc < b.doc) and least(a.size - a.at, b.size - b.at) + 1 >= {percent} * (a.size + b.size) / (100 + {percent}) and a.value = element_at(array_intersect(a.values, b.values), 1)"
+    return more(at.where("comp <> main"), at, also)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
