@@ -85,16 +85,16 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, scale: int =
     xs, qs = max(1, -(-n // BLOCK)), max(1, -(-m // QUERIES))
     spread = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
     x = rows.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(xs)).cast("int").alias("xb"), spread(qs).alias("qb"), "vec_id", "v")
-    q = rows.where(asked).select("dim", spread(xs).alias("xb"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(qs)).cast("int").alias("qb"), "vec_id", "v")
+    q = rows.where(asked).select("dim", spread(xs).alias("xb"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(qs)).cast("int").alias("qb"), F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
 
     def run(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(held):
             held = held.sort_values("vec_id")
-            ids, names = held["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+            ids, names = held["vec_id"].to_numpy(), queries["query_id"].to_numpy()
             own = np.searchsorted(ids, names)
             own[(own == len(ids)) | (ids[np.minimum(own, len(ids) - 1)] != names)] = -1
-            got = search(np.stack(queries["v"].to_list()), np.stack(held["v"].to_list()), own, k)
+            got = search(np.stack(queries["qv"].to_list()), np.stack(held["v"].to_list()), own, k)
             out = [(np.full(len(at), name), ids[at], s.astype(np.int64)) for name, (at, s) in zip(names, got, strict=True)]
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
