@@ -1,0 +1,27 @@
+"""Runs a query and its DuckDB twin over one folder and compares them row by row."""
+
+from __future__ import annotations
+
+import duckdb
+
+from corpusloom.plans import registry
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def compare(spark, name, sf):
+    """Both results as sorted rows, columns by name."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = registry.queries()[name](spark, sf)
+    rel = con.sql(registry.oracle_sql()[name])
+    cols = sorted(df.columns)
+    assert cols == sorted(rel.columns), (cols, rel.columns)
+
+    def plain(rows, names):
+        at = [list(names).index(c) for c in cols]
+        return sorted((tuple(r[i] for i in at) for r in rows), key=repr)
+
+    return plain([tuple(r) for r in df.collect()], df.columns), plain(rel.fetchall(), rel.columns)
