@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import search_queries, text_queries
+from corpusloom.plans import corpus_queries, search_queries, text_queries
 
-MODULES = [search_queries, text_queries]
+MODULES = [search_queries, text_queries, corpus_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
