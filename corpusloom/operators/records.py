@@ -143,3 +143,94 @@ def ledger_state(events: DataFrame, key: str, at: str, seq: str) -> DataFrame:
     """The last entry of each key, by time, then sequence, with how many there were."""
     last = F.max_by(F.struct(*[c for c in events.columns if c != key]), F.struct(F.col(at), F.col(seq)))
     return events.groupBy(key).agg(F.count("*").alias("entries"), last.alias("s")).select(key, "entries", "s.*")
+
+
+def _day(c: Column) -> Column:
+    return F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date"))
+
+
+def _minutes(c: Column) -> Column:
+    """Minutes of the day of a date with a time; null for a day alone."""
+    return F.when(F.length(c) > 10, F.substring(c, 12, 2).cast("int") * 60 + F.substring(c, 15, 2).cast("int"))
+
+
+def assess_stay(pairs: DataFrame) -> DataFrame:
+    """Adds ``positives, excluded, conflict`` to pairs of a stay (``title, start, end``) and a query (``q_name, q_date, q_end``)."""
+    named = names_agree(F.col("q_name"), F.col("title"))
+    lo, hi = _day(F.col("start")), F.greatest(_day(F.coalesce("end", "start")), _day(F.col("start")))
+    a, b = _day(F.col("q_date")), _day(F.col("q_end"))
+    nights = F.coalesce(b > a, F.lit(False))
+    overlap = F.when(nights, (a < F.greatest(hi, lo + 1)) & (b > lo)).otherwise((a >= lo) & (a <= hi))
+    met, good, other = F.coalesce(overlap, F.lit(False)), F.coalesce(named, F.lit(False)), F.coalesce(~named, F.lit(False))
+    apart = F.coalesce(~overlap, F.lit(False))
+    points = good.cast("int") + met.cast("int")
+    return pairs.select(
+        "*",
+        F.when(apart | other, 0).when(~good & met & ~nights, 0).otherwise(points).alias("positives"),
+        (apart | (other & ~(met & nights))).alias("excluded"),
+        (other & met & nights & ~apart).alias("conflict"),
+    )
+
+
+def assess_transport(pairs: DataFrame) -> DataFrame:
+    """Adds ``positives, excluded`` to pairs of a leg (``start, number, origin, target``) and a query (``q_date, q_number, q_from, q_to``).
+
+    The day with the number or the route makes it; the day alone never does, and a time
+    more than 15 minutes off counts against a route."""
+    same = _day(F.col("start")) == _day(F.col("q_date"))
+    number = norm_ref(F.col("number")) == norm_ref(F.col("q_number"))
+    route = names_agree(F.col("origin"), F.col("q_from")) & names_agree(F.col("target"), F.col("q_to"))
+    near = F.coalesce(F.abs(_minutes(F.col("start")) - _minutes(F.col("q_date"))) <= 15, F.lit(True))
+    yes = F.coalesce(same & (number | (route & near)), F.lit(False))
+    no = F.coalesce(~same, F.lit(False)) | F.coalesce(~number, F.lit(False)) | F.coalesce(~route, F.lit(False))
+    return pairs.select("*", F.when(yes & ~no, 2).otherwise(0).alias("positives"), (no & ~yes).alias("excluded"))
+
+
+def assess_activity(pairs: DataFrame) -> DataFrame:
+    """Adds ``positives, excluded`` to pairs of an activity (``title, start, place``) and a query (``q_name, q_date, q_place``):
+    the same day, and the name within two hours or the place within half an hour."""
+    same = F.coalesce(_day(F.col("start")) == _day(F.col("q_date")), F.lit(False))
+    apart = F.abs(_minutes(F.col("start")) - _minutes(F.col("q_date")))
+    name = F.coalesce(names_agree(F.col("title"), F.col("q_name")), F.lit(False)) & F.coalesce(apart <= 120, F.lit(True))
+    place = F.coalesce(names_agree(F.col("place"), F.col("q_place")), F.lit(False)) & F.coalesce(apart <= 30, F.lit(False))
+    return pairs.select("*", F.when(same, name.cast("int") + place.cast("int")).otherwise(0).alias("positives"), (~same).alias("excluded"))
+
+
+def assess_bill(pairs: DataFrame) -> DataFrame:
+    """Adds ``positives, excluded`` to pairs of a bill (``payee, period, amount``) and a query (``q_payee, q_period, q_amount``)."""
+    payee = names_agree(F.col("payee"), F.col("q_payee"))
+    period = F.lower("period") == F.lower("q_period")
+    amount = F.abs(F.col("amount") - F.col("q_amount")) < 0.005
+    yes = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    no = F.coalesce(~payee, F.lit(False)) | F.coalesce(~period, F.lit(False))
+    return pairs.select("*", (yes(payee) + yes(period) + yes(amount)).alias("positives"), no.alias("excluded"))
+
+
+def compare_with_source(records: DataFrame, lines: DataFrame) -> DataFrame:
+    """``id, gone, times_differ, amounts_differ``: records (``id, quote, start, price``) against the lines
+    (``id, line``) of the note they were read from, white space and case aside."""
+    from corpusloom.functions.text import amounts_in, squash, times_in
+
+    flat = lambda c: F.lower(squash(F.col(c)))
+    found = records.join(lines, "id", "left").withColumn("hit", flat("line").contains(flat("quote")))
+    best = found.groupBy("id").agg(F.max_by("line", F.col("hit").cast("int")).alias("line"), F.max("hit").alias("hit"), F.first("start").alias("start"), F.first("price").alias("price"))
+    times, amounts = times_in(F.col("line")), amounts_in(F.col("line"))
+    at = F.when(F.length("start") > 10, F.substring("start", 12, 5))
+    hit = F.coalesce("hit", F.lit(False))
+    return best.select(
+        "id",
+        (~hit).alias("gone"),
+        F.coalesce(hit & (F.size(times) > 0) & ~F.array_contains(times, at), F.lit(False)).alias("times_differ"),
+        F.coalesce(hit & (F.size(amounts) > 0) & ~F.array_contains(amounts, F.col("price")), F.lit(False)).alias("amounts_differ"),
+    )
+
+
+def plan(observations: DataFrame) -> DataFrame:
+    """Adds ``decision``: ``reject`` what has errors or a state its kind doesn't know, ``review`` what
+    is unclear or was edited by hand, else ``apply``. Needs ``errors, answer, human_edited, state_ok``."""
+    decision = (
+        F.when((F.size("errors") > 0) | ~F.col("state_ok"), "reject")
+        .when(F.col("answer").isin("several", "conflict") | F.col("human_edited"), "review")
+        .otherwise("apply")
+    )
+    return observations.withColumn("decision", decision)

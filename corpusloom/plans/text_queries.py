@@ -64,11 +64,11 @@ def text_word_key(spark, sf_dir):
 
 
 @query(rf"""WITH {_SETS} SELECT a.doc_id, round(CASE WHEN a.s = b.s THEN 1.0 WHEN len(a.s) = 0 OR len(b.s) = 0 THEN 0.0
-ELSE len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END, 6) AS similarity FROM k a JOIN k b ON b.doc_id = a.doc_id + 1""")
+ELSE len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END + 1e-9, 6) AS similarity FROM k a JOIN k b ON b.doc_id = a.doc_id + 1""")
 def text_jaccard(spark, sf_dir):
     s = docs(spark, sf_dir).select("doc_id", T.word_set(F.col("text")).alias("s"))
     after = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
-    return s.join(after, "doc_id").select("doc_id", F.round(T.set_similarity(F.col("s"), F.col("t")), 6).alias("similarity"))
+    return s.join(after, "doc_id").select("doc_id", F.round(T.set_similarity(F.col("s"), F.col("t")) + 1e-9, 6).alias("similarity"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, string_split_regex(text, '\r?\n') AS t FROM documents)),
