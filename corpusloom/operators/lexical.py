@@ -10,18 +10,35 @@ K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
 
 
-def postings(docs: DataFrame, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
+def postings(docs: DataFrame, fields: dict[str, float], key: str = "doc_id", only: DataFrame | None = None) -> DataFrame:
     """``id, term, tf, len``: weighted term counts over the text fields, and weighted lengths.
 
-    Terms are counted within a row before anything is shuffled."""
-    cells = [F.transform(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(TOKEN), F.lit(0)), lambda t: F.struct(t.alias("term"))) for c in fields]
-    rows = docs.select(F.col(key).alias("id"), F.explode(F.array(*(F.struct(c.alias("terms"), F.lit(float(w)).alias("w")) for c, w in zip(cells, fields.values(), strict=True)))).alias("f"))
-    words = rows.select("id", F.col("f.w").alias("w"), F.explode("f.terms.term").alias("term"))
-    counted = words.groupBy("id", "term").agg(F.sum("w").alias("tf"))
-    return counted.withColumn("len", F.sum("tf").over(Window.partitionBy("id")))
+    Lengths are taken row by row, terms are counted within a task before anything is
+    shuffled, and with ``only`` (``term``) all other terms are left out before that.
+    Documents without terms have no rows.
+    """
+    cells = [F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(TOKEN), F.lit(0)) for c in fields]
+    size = sum((F.size(c) * float(w) for c, w in zip(cells, fields.values(), strict=True)), F.lit(0.0))
+    long = F.array(*(F.struct(F.lit(float(w)).alias("w"), c.alias("terms")) for c, w in zip(cells, fields.values(), strict=True)))
+    rows = docs.select(F.col(key).alias("id"), long.alias("fields"), size.alias("len")).where("len > 0")
+    words = rows.select("id", "len", F.explode("fields").alias("f")).select("id", "len", "f.w", F.explode("f.terms").alias("term"))
+    if only is not None:
+        words = words.join(only.select("term").distinct(), "term", "left_semi")
+    return words.groupBy("id", "len", "term").agg(F.sum("w").alias("tf")).select("id", "term", "tf", "len")
+
+
+def statistics(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
+    """``docs, mean``: how many documents have terms, and their mean weighted length; one row."""
+    size = sum((F.size(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(TOKEN), F.lit(0))) * float(w) for c, w in fields.items()), F.lit(0.0))
+    return docs.select(size.alias("len")).where("len > 0").agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
+
+
+def search(docs: DataFrame, fields: dict[str, float], terms: DataFrame, k: int, every: bool = False, key: str = "doc_id") -> DataFrame:
+    """``bm25`` over documents without an index at hand: only the asked terms are ever counted."""
+    return bm25(postings(docs, fields, key, terms), terms, k, every, statistics(docs, fields))
 
 
-def bm25(index: DataFrame, terms: DataFrame, k: int, every: bool = False) -> DataFrame:
+def bm25(index: DataFrame, terms: DataFrame, k: int, every: bool = False, stats: DataFrame | None = None) -> DataFrame:
     """``query_id, id, score, rank`` (from 0): the k best documents of each query.
 
     ``terms`` has ``query_id, term`` and, for expanded queries, ``asked``: the query term
@@ -30,7 +47,8 @@ def bm25(index: DataFrame, terms: DataFrame, k: int, every: bool = False) -> Dat
     """
     if "asked" not in terms.columns:
         terms = terms.withColumn("asked", F.col("term"))
-    stats = index.select("id", "len").distinct().agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))  # one row
+    if stats is None:
+        stats = index.select("id", "len").distinct().agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
     terms = terms.select("query_id", "term", "asked").distinct()
     hits = index.join(terms, "term")
     df = index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))

@@ -92,3 +92,46 @@ def dense(sparse: DataFrame, dim: int = 256) -> DataFrame:
     """``id, v`` from ``id, bucket, n``."""
     cells = F.map_from_entries(F.collect_list(F.struct("bucket", F.col("n").cast("double"))))
     return sparse.groupBy("id").agg(cells.alias("m")).select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+
+
+_WORDLESS = np.zeros(256, bool)
+_WORDLESS[[*range(48, 58), *range(97, 123)]] = True
+
+
+def _bags(lengths_at: np.ndarray, data: np.ndarray, dim: int) -> np.ndarray:
+    """Rows of bucket counts for the texts between the offsets; FNV-1a a letter of all words at a time."""
+    live = _WORDLESS[data]
+    first = live.copy()
+    first[1:] &= ~live[:-1]
+    first[lengths_at[:-1][lengths_at[:-1] < len(data)]] = live[lengths_at[:-1][lengths_at[:-1] < len(data)]]
+    start = np.flatnonzero(first)
+    doc = np.searchsorted(lengths_at, start, "right") - 1
+    ends = np.append(np.flatnonzero(~live), len(data))
+    stop = np.minimum(ends[np.searchsorted(ends, start)], lengths_at[doc + 1])
+    h, at = np.full(len(start), 2166136261, np.uint64), np.arange(len(start))
+    j = 0
+    while len(at):
+        h[at] = ((h[at] ^ data[start[at] + j]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+        j += 1
+        at = at[start[at] + j < stop[at]]
+    cells = np.bincount(doc * dim + (h % np.uint64(dim)).astype(np.int64), minlength=(len(lengths_at) - 1) * dim)
+    return cells.reshape(-1, dim)
+
+
+def hash_vectors(docs: DataFrame, dim: int = 256, key: str = "doc_id") -> DataFrame:
+    """``id, v``: the vectors of ``hash_embedding``, dense, by numpy over Arrow batches; texts without words have none."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                text = part.column(1).cast(pa.large_string())
+                offs = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+                data = np.frombuffer(text.buffers()[2], np.uint8)[offs[0] : offs[-1]] if text.buffers()[2] else np.zeros(0, np.uint8)
+                bags = _bags(offs - offs[0], data, dim)
+                some = np.flatnonzero(bags.sum(1))
+                values = pa.array(bags[some].astype(float).ravel())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * dim, pa.int32()), values)], ["id", "v"])
+
+    return docs.select(F.col(key).cast("long").alias("id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, "id long, v array<double>")

@@ -58,7 +58,7 @@ def lex_postings(spark, sf_dir):
 
 @query(rf"WITH {_POST}, {_ASKED}, {_BM} SELECT query_id, id, score, k - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM sc) WHERE k <= 50")
 def lex_bm25_or(spark, sf_dir):
-    return L.bm25(_index(spark, sf_dir), _asked(spark, sf_dir), 50)
+    return L.search(table(spark, sf_dir, "documents"), {"text": 1.0}, _asked(spark, sf_dir), 50)
 
 
 _TWO = "a2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(term), term) AS k FROM a) WHERE k <= 2)"
@@ -75,7 +75,7 @@ def _two(spark, sf_dir):
 @query(rf"""WITH {_POST}, {_ASKED.replace('a AS (SELECT item_id', 'a0 AS (SELECT item_id')}, {_TWO.replace('FROM a)', 'FROM a0)')}, a AS (SELECT query_id, term, asked FROM a2), {_BM}
 SELECT query_id, id, score, k - 1 AS rank FROM (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM sc JOIN (SELECT query_id, count(DISTINCT asked) AS needed FROM a GROUP BY 1) n USING (query_id) WHERE met = needed) WHERE k <= 50""")
 def lex_bm25_and(spark, sf_dir):
-    return L.bm25(_index(spark, sf_dir), _two(spark, sf_dir), 50, every=True)
+    return L.search(table(spark, sf_dir, "documents"), {"text": 1.0}, _two(spark, sf_dir), 50, every=True)
 
 
 def lex_bm25_expanded(spark, sf_dir):
@@ -114,7 +114,7 @@ def lex_gateway(spark, sf_dir):
     """An index of whole notes, titles counting three times; sealed notes never show."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.substring("text", 1, 60_000).alias("text"))
     sealed = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    hits = L.bm25(L.postings(d, {"title": 3.0, "text": 1.0}), _asked(spark, sf_dir), 1 << 30).join(sealed, "id", "left_anti")
+    hits = L.search(d, {"title": 3.0, "text": 1.0}, _asked(spark, sf_dir), 1 << 30).join(sealed, "id", "left_anti")
     return S.top(hits.drop("rank"), 25, "score").select("query_id", "id", "score", "rank")
 
 
@@ -246,8 +246,8 @@ def hybrid(spark, sf_dir, keep=None, chunked=False, k=20, legs=100):
         n = n.where(keep)
     units = C.chunks(n).select("path", "text", F.xxhash64("id").alias("doc_id")) if chunked else n.select("path", F.col("content").alias("text"), "doc_id")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    lexical = L.bm25(L.postings(units, {"text": 1.0}), _asked(spark, sf_dir), legs).select(F.lit(0).alias("list_id"), "query_id", "id", "rank")
-    q, x = (S.dense(S.hash_embedding(d)) for d in (items, units))
+    lexical = L.search(units, {"text": 1.0}, _asked(spark, sf_dir), legs).select(F.lit(0).alias("list_id"), "query_id", "id", "rank")
+    q, x = (S.hash_vectors(d) for d in (items, units))
     vector = S.top(S.cosines(q.select((-1 - F.col("id")).alias("id"), "v"), x, FLOOR, legs), legs).withColumn("query_id", -1 - F.col("query_id"))
     fused = R.rrf(lexical.unionByName(vector.select(F.lit(1).alias("list_id"), "query_id", "id", "rank")), by=("query_id",)).withColumn("fused", F.round("fused", 9))
     best = R.collapse(fused.join(units.select(F.col("doc_id").alias("id"), "path"), "id"), "path", by=("query_id",))
@@ -318,7 +318,7 @@ def search_rerank_set(spark, sf_dir):
 def search_next_action(spark, sf_dir):
     """At most one hint for a note: merge with a near twin, or split a long one."""
     n = notes(spark, sf_dir)
-    x = S.dense(S.hash_embedding(n.select("doc_id", F.col("content").alias("text"))))
+    x = S.hash_vectors(n.select("doc_id", F.col("content").alias("text")))
     best = S.top(S.cosines(x.where("id % 20 = 0"), x, 0.95, 1), 1).select(F.col("query_id").alias("doc_id"), F.col("id").alias("twin"))
     heads = F.size(F.regexp_extract_all("content", F.lit(r"(?m)^##\s"), F.lit(0)))
     action = F.when(F.col("twin").isNotNull(), "merge").when((F.length("content") > 2500) & (heads < 2), "split")

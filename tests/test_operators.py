@@ -95,3 +95,12 @@ def test_ranking_functions(spark):
     lists = spark.createDataFrame([(0, "a", 0), (0, "b", 1), (0, "c", 2), (1, "b", 0), (1, "a", 1), (1, "d", 2)], "list_id int, id string, rank int")
     fused = {x.id: x.fused for x in R.rrf(lists).collect()}
     assert set(fused) == set("abcd") and min(fused["a"], fused["b"]) > max(fused["c"], fused["d"])
+
+
+def test_hash_vectors_equal_hash_embedding(spark):
+    from corpusloom.operators import similarity as S
+
+    docs = spark.createDataFrame([(1, "Hello, hello wörld 42"), (2, None), (3, "é"), (4, "a"), (5, "b a"), (6, "zz" * 500)], "doc_id long, text string").coalesce(1)
+    a = {r.id: list(r.v) for r in S.dense(S.hash_embedding(docs)).collect()}
+    b = {r.id: list(r.v) for r in S.hash_vectors(docs).collect()}
+    assert a == b and set(a) == {1, 4, 5, 6}
