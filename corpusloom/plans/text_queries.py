@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import notes as N
 from corpusloom.functions import predicates as P
 from corpusloom.functions import text as T
 from corpusloom.operators import chunks as C
+from corpusloom.operators import similarity as S
 from corpusloom.plans.notes import notes
+from corpusloom.sources import vault
 from corpusloom.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -223,3 +226,34 @@ def pred_publish_candidate(spark, sf_dir):
     rows = notes(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     private = P.excluded(F.col("path"), ["src1", "src2", "src3"])
     return rows.select("doc_id", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("published"), (~private & (F.coalesce("toxic", F.lit(0)) == 0)).alias("candidate"))
+
+
+@query(r"""WITH b AS (SELECT doc_id, length(trim(regexp_replace(regexp_replace(text, '[#>*\-_`\[\]|]', '', 'g'), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g'))) AS n FROM documents), v AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings),
+t AS (SELECT a.doc_id, max(round(list_cosine_similarity(a.v, b.v), 6)) AS cosine FROM v a JOIN v b ON a.doc_id <> b.doc_id WHERE a.doc_id % 10 = 0 GROUP BY 1)
+SELECT doc_id, CASE WHEN n < 40 THEN 'archive' WHEN cosine >= 0.45 THEN 'merge' ELSE 'elaborate' END AS disposition FROM b LEFT JOIN t USING (doc_id) WHERE doc_id % 10 = 0""")
+def pred_triage(spark, sf_dir):
+    """What to do with inbox notes (ids divisible by 10) against all vectors."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    best = S.top(S.cosines(v.where("id % 10 = 0"), v, -1.0, 1), 1).select(F.col("query_id").alias("doc_id"), "cosine")
+    return docs(spark, sf_dir).where("doc_id % 10 = 0").join(best, "doc_id", "left").select("doc_id", N.triage(F.col("text"), F.col("cosine"), 0.45).alias("disposition"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN d <= 0 THEN 'today' WHEN d = 1 THEN 'yesterday' WHEN d <= 6 THEN strftime(day, '%A') ELSE d || ' days ago' END AS label FROM (SELECT o_orderkey, o_orderdate::DATE AS day, date_diff('day', o_orderdate::DATE, DATE '1998-08-02') AS d FROM orders)""")
+def text_continuity(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.continuity(F.col("o_orderdate").cast("date"), F.lit("1998-08-02").cast("date")).alias("label"))
+
+
+@query(r"""SELECT conv_id, md5(string_agg('**' || role || ':** ' || text, chr(10) || chr(10) ORDER BY turn, role, text)) AS note, count(*) AS turns FROM conversations GROUP BY 1""")
+def sink_transcripts(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    n = turns.groupBy("conv_id").agg(F.count("*").alias("turns"))
+    return vault.transcripts(turns).join(n, "conv_id").select("conv_id", F.md5("note").alias("note"), "turns")
+
+
+def text_paragraphs(spark, sf_dir):
+    """Paragraphs, segments and the last reflective gist of every note."""
+    c = F.col("content")
+    return notes(spark, sf_dir).select("doc_id", F.size(N.paragraphs(c)).alias("paragraphs"), F.size(N.segments(c)).alias("segments"), N.last_reflective(c).alias("gist"), F.md5(N.inert_quote(c)).alias("quote"))
+
+
+QUERIES["text_paragraphs"] = text_paragraphs

@@ -104,3 +104,30 @@ def test_hash_vectors_equal_hash_embedding(spark):
     a = {r.id: list(r.v) for r in S.dense(S.hash_embedding(docs)).collect()}
     b = {r.id: list(r.v) for r in S.hash_vectors(docs).collect()}
     assert a == b and set(a) == {1, 4, 5, 6}
+
+
+def test_note_functions(spark):
+    from corpusloom.functions import notes as N
+
+    s = F.lit
+    q = N.parse_query('alpha Type:"my kind" in:Folder since:2024-01-01 "a phrase" beta')
+    assert q == {"text": "alpha beta", "phrases": ["a phrase"], "type": "my kind", "folder": "Folder", "since": "2024-01-01"}
+    assert N.parse_list("a/\nb, a") == ["a", "b"]
+    assert [r.heading for r in one(spark, N.segments(s("intro\n## A\nx\n## B\ny")))[0]] == ["A", "B"]
+    assert [r.text for r in one(spark, N.segments(s("just\ntext")))[0]] == ["just\ntext"]
+    assert one(spark, N.questions(s("## Questions to elaborate\n- one?\n- two?\n## Next\n- no")))[0] == ["one?", "two?"]
+    assert one(spark, N.inert_quote(s("[[x]] `c` #tag %%")))[0] == "[ [x] ] 'c' # tag % %"
+    m = lambda **k: F.create_map(*[s(x) for kv in k.items() for x in kv])
+    assert one(spark, N.merged_frontmatter(m(a="1", t="[x, y]"), m(a="2", t="[y, z]", b="3")))[0] == {"a": "1", "t": "[x, y, z]", "b": "3"}
+    assert one(spark, N.embed_text(s("n.md"), s("Title"), s("x")), N.embed_text(s("2024-01-02.md"), s("2024-01-02"), s("x"))) == ("Title\n\nx", "x")
+    assert one(spark, N.with_backlink(s("body\n\n## Related\n- [[A]]"), "B"))[0] == "body\n\n## Related\n- [[B]]\n- [[A]]"
+    assert one(spark, N.is_empty_note(s("---\ncreated: 1\n---\n")), N.is_empty_note(s("---\nmood: x\n---\n")), N.is_empty_note(s("x"))) == (True, False, False)
+    assert one(spark, N.triage(s("# "), s(0.99)), N.triage(s("w " * 40), s(0.95)), N.triage(s("w " * 40), s(None).cast("double"))) == ("archive", "merge", "elaborate")
+    assert one(spark, N.legacy_kind(s("Flight")), N.legacy_kind(s("stay")), N.legacy_kind(s("tour"))) == ("transport", "stay", "activity")
+    none, some = F.array().cast("array<string>"), F.array(s("x"))
+    assert one(spark, N.publish_review(s(True), s(False), some, s(0.0), none), N.publish_review(s(True), s(False), none, s(0.1), none)) == ("hold", "cleared")
+    assert one(spark, N.validate(s("stay"), s("create"), s("k"), s("t")), N.validate(s("x"), s("create"), s(""), s(""))) == ([], ["no key", "unknown kind", "no title"])
+    found = spark.createDataFrame([("a.md", "A", 0.8, False, False), ("b.md", "B", 0.9, True, False)], "path string, title string, cosine double, linked boolean, dismissed boolean")
+    assert [r.title for r in N.ghost(found, "text", "see ", "", 0.7).collect()] == ["A"] and N.ghost(found, "text", "[[x", "", 0.7).collect() == []
+    n = spark.createDataFrame([("f/My Note.md", ["#proj/x"]), ("g/Other.md", ["y"])], "path string, tags array<string>")
+    assert [r.path for r in N.filtered(n, tag="proj", words="note my").collect()] == ["f/My Note.md"]
