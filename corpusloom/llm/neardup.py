@@ -173,5 +173,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
 def near_dedup(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """The rows of ``docs`` with one document of each group of near-duplicates, that of
     the least doc_id; columns as they were."""
-    gone = near_duplicates(docs, percent, width).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = cut(near_duplicates(docs, percent, width).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    # few ids travel to the texts; many are met by dealing out both
+    gone = F.broadcast(gone) if gone.count() <= FEW else gone
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
