@@ -170,7 +170,7 @@ def graph_weave(spark, sf_dir):
     return A.weave(_edges(spark, sf_dir), woven)
 
 
-@query("""SELECT o_orderkey, (SELECT NULL) AS none, p AS previous FROM (SELECT o_orderkey, max(o_orderdate::DATE) OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)::DATE AS p FROM orders)""".replace("(SELECT NULL) AS none, ", ""))
+@query("""SELECT o_orderkey, p AS previous FROM (SELECT o_orderkey, max(o_orderdate::DATE) OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)::DATE AS p FROM orders)""")
 def win_prev_entry(spark, sf_dir):
     """The day of each customer's entry before, same days left out."""
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
