@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 
 import corpus_pipeline
 import pytest
@@ -30,6 +31,20 @@ def test_other_versions_and_clean_texts_are_not(spark):
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_wrapped_wordings_and_several_licenses_of_a_text(spark):
+    wrapped = [(k, "code " * 40 + "\n" + "\n".join(" * " + x for x in textwrap.wrap(t, 60, break_on_hyphens=False)) + "\n */ code", "x", 1) for k, (_, t) in enumerate(licenses.TEMPLATES)]
+    two = "Licensed under the MIT License. Parts are Licensed under CC BY 4.0, others licensed under the Apache License, Version 2.0."
+    many = " and then ".join(t for _, t in licenses.TEMPLATES)
+    rows = [*wrapped, (100, two, "x", 1), (101, many, "x", 1), (102, "\n".join(["Released under the MIT License"] * 3), "x", 1), (103, "THIS IS FREE AND UNENCUMBERED SOFTWARE RELEASED INTO THE PUBLIC\nDOMAIN", "x", 1)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for k, (name, _) in enumerate(licenses.TEMPLATES):
+        assert (got[k].licenses, got[k].n_matches) == (name, 1)
+    assert (got[100].licenses, got[100].n_matches) == ("Apache-2.0,CC-BY-4.0,MIT", 3)
+    assert [x.split(":")[0] for x in got[101].evidence.split(",")] == [name for name, _ in licenses.TEMPLATES]
+    assert (got[102].licenses, got[102].n_matches) == ("MIT", 3)
+    assert got[103].licenses == "Unlicense"
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     """What each stage took and gave."""
