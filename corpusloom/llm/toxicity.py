@@ -1,11 +1,11 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Fitting takes a bounded sample of labelled texts. Terms are words and word prefixes;
-the most telling ones by chi-squared are kept, and each sampled text becomes a
-TF-IDF vector over them. Examples are laid out in blocks of similar ones with the
-greatest weight of every term in each block. Scoring takes blocks in the order of their
-bounds and stops when no further block can hold a nearer example, so the nearest found
-are exact. Their votes, weighted by cosine, are calibrated on the examples themselves
+Fitting takes a bounded sample of labelled texts. Terms are all their words and word
+prefixes; each sampled text becomes a TF-IDF vector over them, terms weighted by how far
+they tell the labels apart too. Examples are laid out in blocks of similar ones. Terms
+have posting lists; those of many examples are laid out by block, with their greatest
+weight in each. Scoring sums the short lists, looks into the blocks of the highest
+bounds and then into all others that can hold a nearer example, so the nearest found are exact. Their votes, weighted by cosine, are calibrated on the examples themselves
 with each left out in turn.
 """
 
@@ -13,20 +13,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.blocks import by_task, words
-from corpusloom.sources.lineage import cut
 
 #: Labelled texts of either label that are sampled, in expectation.
 SAMPLE = 4000
-#: Terms kept at most, and the least chi-squared of one: this, or this share of the texts.
-TERMS, TELLING, TELLING_SHARE = 1024, 30.0, 0.004
+#: Terms of more than this share of the examples are laid out by block.
+COMMON = 1 / 16
 #: Nearest examples that vote.
 NEAREST = 12
 #: Examples in a block of the index.
 BLOCK = 128
+#: Texts that look into the index together, and blocks that each looks into before bounds decide.
+ASKED, FIRST = 256, 4
 _PREFIXES = (4, 5)
 _SEP = np.zeros(256, bool)
 _SEP[:128] = [not chr(c).isalnum() for c in range(128)]
@@ -51,13 +53,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return docs.join(F.broadcast(drawn), F.col("doc_id").cast("long") == F.col("_id")).where("text is not null").groupBy(F.col("text").cast("string").alias("text"), "y", "share").agg(F.min("_id").alias("_id"))
 
 
-def _count(batches):
+def _tallied(batches):
     for batch in batches:
-        docs = [np.unique(x) for x in _terms(batch.column(0))]
-        y = np.repeat(batch.column(1).to_numpy(), [len(x) for x in docs])
-        term, at = np.unique(np.concatenate(docs), return_inverse=True)
-        yes = np.bincount(at, weights=y, minlength=len(term)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(yes), pa.array(np.bincount(at, minlength=len(term)) - yes)], ["term", "yes", "no"])
+        got = [np.unique(x, return_counts=True) for x in _terms(batch.column(0))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x.view(np.int64) for x, _ in got], pa.list_(pa.int64())), pa.array([(1 + np.log(n)).astype(np.float32) for _, n in got], pa.list_(pa.float32()))], ["y", "share", "_id", "term", "n"])
 
 
 def _vectors(terms: np.ndarray, found: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -72,7 +71,7 @@ def _vectors(terms: np.ndarray, found: list[np.ndarray]) -> list[tuple[np.ndarra
 
 
 class Index:
-    """Unit vectors in blocks, with the greatest weight of each term in each block."""
+    """Unit vectors as posting lists, those of common terms in blocks with their greatest weight in each."""
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, ids: np.ndarray):
         full = [k for k, (at, _) in enumerate(rows) if len(at)]
@@ -80,16 +79,25 @@ class Index:
         self.terms, self.idf = terms, idf
         # texts without any of the terms get the share of toxic ones among such
         self.empty = float(((y * weight)[bare].sum() + 0.01) / (weight[bare].sum() + 1))
-        unit = [self._unit(*rows[k]) for k in full]
+        unit = [self._unit(*rows[k]).astype(np.float32) for k in full]
         # texts of the same heaviest term stand together, so that blocks differ
         order = sorted(range(len(full)), key=lambda k: (int(rows[full[k]][0][unit[k].argmax()]), ids[full[k]]))
         self.y, self.weight = (v[[full[k] for k in order]].astype(float) for v in (y, weight))
         self.ids = ids[[full[k] for k in order]]
         n = self.blocks = -(-len(order) // BLOCK)
-        self.lists = np.zeros((n, len(terms), BLOCK), np.float32)  # of each block, its examples' weights by term
-        for j, k in enumerate(order):
-            self.lists[j // BLOCK, rows[full[k]][0], j % BLOCK] = unit[k]
+        at, w, who = (np.concatenate(x) if x else np.zeros(0, d) for x, d in (([rows[full[k]][0] for k in order], int), ([unit[k] for k in order], np.float32), ([np.full(len(unit[k]), j, np.int32) for j, k in enumerate(order)], np.int32)))
+        df = np.bincount(at, minlength=len(terms))
+        common = np.flatnonzero(df > COMMON * len(order))
+        self.slot = np.full(len(terms), -1, np.int32)
+        self.slot[common] = np.arange(len(common))
+        self.lists = np.zeros((n, len(common), BLOCK), np.float32)  # of each block, its examples' weights by common term
+        dense = self.slot[at] >= 0
+        self.lists[who[dense] // BLOCK, self.slot[at[dense]], who[dense] % BLOCK] = w[dense]
         self.most = np.ascontiguousarray(self.lists.max(2).T)
+        at, w, who = at[~dense], w[~dense], who[~dense]
+        by_term = np.argsort(at, kind="stable")
+        self.who, self.by = who[by_term], w[by_term]  # of each other term, its examples and weights
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms)))])
         self.curve = self._calibrate([(rows[full[k]][0], unit[k]) for k in order])
 
     def _unit(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -98,21 +106,45 @@ class Index:
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, nearest first, ties to the first."""
-        bound = w @ self.most[at]
-        best_at, best, least = np.zeros(0, int), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-6:
-                break
-            score = w @ self.lists[b][at]
-            near = np.flatnonzero(score > max(least - 1e-6, 0))
-            if but >= 0:
-                near = near[near + b * BLOCK != but]
-            if len(near):
-                best_at, best = np.concatenate([best_at, near + b * BLOCK]), np.concatenate([best, score[near]])
-                top = np.lexsort((best_at, -np.round(best, 6)))[:k]
-                best_at, best = best_at[top], best[top]
-                least = best[-1] if len(best) == k else 0.0
-        return best_at, best
+        return self.nearest_all([(at, w)], k, np.array([but]))[0]
+
+    def nearest_all(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int, but: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The nearest of several vectors; each leaves out the example at its place of ``but``, unless that is negative."""
+        return [x for a in range(0, len(asked), ASKED) for x in self._nearest(asked[a : a + ASKED], k, None if but is None else but[a : a + ASKED])]
+
+    def _nearest(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int, but: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        m, width = len(asked), self.blocks * BLOCK
+        common, sums = np.zeros((m, len(self.most)), np.float32), np.zeros((m, width), np.float32)
+        for i, (at, w) in enumerate(asked):
+            slot = self.slot[at]
+            common[i, slot[slot >= 0]] = w[slot >= 0]
+            rare = at[slot < 0]
+            n = self.start[rare + 1] - self.start[rare]
+            read = np.repeat(self.start[rare + 1] - np.cumsum(n), n) + np.arange(n.sum())
+            sums[i] = np.bincount(self.who[read], np.repeat(w[slot < 0], n) * self.by[read], width)
+        bound = sums.reshape(m, self.blocks, BLOCK).max(2) + common @ self.most
+        cos = np.full((m, width), -1, np.float32)
+
+        def look(wanted: np.ndarray) -> np.ndarray:
+            """Fills in the wanted blocks; the k-th best cosine so far, or 0."""
+            for b in np.flatnonzero(wanted.any(0)):
+                i, s = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                cos[i, s] = sums[i, s] + common[i] @ self.lists[b]
+            if but is not None:
+                cos[np.flatnonzero(but >= 0), but[but >= 0]] = -1
+            return np.maximum(np.partition(cos, -k, 1)[:, -k], 0) if width >= k else np.zeros(m, np.float32)
+
+        # the blocks of the highest bounds, then all others that can hold a nearer example
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argsort(-bound, 1, kind="stable")[:, :FIRST], True, 1)
+        least = look(first)
+        least = look(~first & (bound > 0) & (bound >= least[:, None] - 1e-6))
+        out = []
+        for x, low in zip(cos, least, strict=True):
+            near = np.flatnonzero(x > max(low - 1e-6, 0))
+            near = near[np.lexsort((near, -np.round(x[near], 6)))[:k]]
+            out.append((near, x[near].astype(float)))
+        return out
 
     def vote(self, near: tuple[np.ndarray, np.ndarray]) -> list[float]:
         at, cos = near
@@ -121,7 +153,7 @@ class Index:
 
     def _calibrate(self, units: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """A logistic curve from votes to labels, fitted with each example left out of its own vote."""
-        v = np.array([self.vote(self.nearest(at, w, NEAREST, k)) for k, (at, w) in enumerate(units)])
+        v = np.array([self.vote(x) for x in self.nearest_all(units, NEAREST, np.arange(len(units)))])
         beta = np.array([-3.0, 6.0, 0.0])
         if not len(v):
             return beta
@@ -136,43 +168,48 @@ class Index:
         return beta
 
     def score(self, at: np.ndarray, n: np.ndarray) -> tuple[float, list[int]]:
-        if not len(at) or not len(self.y):
-            return self.empty, []
-        near = self.nearest(at, self._unit(at, n), NEAREST)
-        p = float(1 / (1 + np.exp(-np.clip(np.dot(self.vote(near), self.curve), -30, 30))))
-        return p, [int(x) for x in self.ids[near[0]]]
+        return self.score_all([(at, n)])[0]
+
+    def score_all(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        full = [k for k, (at, _) in enumerate(rows) if len(at) and len(self.y)]
+        out: list[tuple[float, list[int]]] = [(self.empty, [])] * len(rows)
+        for k, near in zip(full, self.nearest_all([(rows[k][0], self._unit(*rows[k])) for k in full], NEAREST), strict=True):
+            p = float(1 / (1 + np.exp(-np.clip(np.dot(self.vote(near), self.curve), -30, 30))))
+            out[k] = p, [int(x) for x in self.ids[near[0]]]
+        return out
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Index:
     """The index of a bounded sample of ``docs`` (doc_id, text) that ``labels`` (doc_id, label) marks."""
     by_task(docs.sparkSession)
-    drawn = cut(sample(docs, labels, label))
-    counts = drawn.select("text", "y").mapInArrow(_count, "term long, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    n1, n0 = (float(x or 0) for x in drawn.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
-    a, b, n = F.col("yes").cast("double"), F.col("no").cast("double"), n1 + n0
+    drawn = sample(docs, labels, label).select("text", "y", "share", "_id")
+    # as large as the sampled texts' distinct terms; held once, in narrow types
+    got = drawn.mapInArrow(_tallied, "y int, share double, _id long, term array<long>, n array<float>").toArrow()
+    y, share, ids = (got.column(c).to_numpy() for c in ("y", "share", "_id"))
+    size, n = pc.list_value_length(got.column("term")).to_numpy(), pc.list_flatten(got.column("n")).to_numpy()
+    hashes = pc.list_flatten(got.column("term")).to_numpy().view(np.uint64)
+    del got
+    pa.default_memory_pool().release_unused()
+    terms = np.unique(hashes)
+    at = np.searchsorted(terms, hashes).astype(np.int32)
+    del hashes
+    a = np.bincount(at, np.repeat(y, size), len(terms))
+    b = np.bincount(at, minlength=len(terms)) - a
+    total, n1 = float(len(y)), float(y.sum())
+    n0 = total - n1
     odd = a * (n0 - b) - b * (n1 - a)
-    chi = n * odd * odd / ((a + b) * (n - a - b + 1) * (n1 + 1) * (n0 + 1))
-    top = counts.where("yes + no > 2").select("term", chi.alias("chi"), (a + b).alias("df")).where(F.col("chi") >= max(TELLING, TELLING_SHARE * n)).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
-    top = sorted((np.int64(r["term"]).view(np.uint64), r["df"]) for r in top)
-    terms = np.array([t for t, _ in top], np.uint64)
-    idf = np.log((1 + n) / (1 + np.array([d for _, d in top]))) + 1
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-
-    def vectors(batches):
-        for batch in batches:
-            got = _vectors(shared.value, _terms(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x for x, _ in got], pa.list_(pa.int32())), pa.array([x for _, x in got], pa.list_(pa.float64()))], ["y", "share", "_id", "at", "n"])
-
-    rows = drawn.mapInArrow(vectors, "y int, share double, _id long, at array<int>, n array<double>").toPandas()
-    rows = rows.sort_values("_id", kind="stable")
-    return Index(terms, idf, [(np.asarray(x, int), np.asarray(w, float)) for x, w in zip(rows["at"], rows["n"], strict=True)], rows["y"].to_numpy(), 1 / rows["share"].to_numpy(), rows["_id"].to_numpy())
+    # the correlation of term and label (chi-squared per text is its square), never 0
+    told = np.abs(odd) / np.sqrt((a + b) * (total - a - b + 1) * (n1 + 1) * (n0 + 1)) + 1 / (1 + total)
+    idf = np.log((1 + total) / (1 + a + b)) + 1
+    cuts = np.cumsum(size)[:-1]
+    return Index(terms, idf * told, list(zip(np.split(at, cuts), np.split(n, cuts), strict=True)) if len(y) else [], y, 1 / share, ids)
 
 
 def score(docs: DataFrame, index: Index, *keep: Column) -> DataFrame:
     """``keep`` columns, ``score`` (0 to 1), ``predicted`` (1 from 0.5 on) and ``evidence``,
     the ids of the examples that voted, nearest first.
 
-    Null and empty texts, and texts without a kept term, get the toxic share of such
+    Null and empty texts, and texts without a term of the examples, get the toxic share of such
     examples and no evidence; repeated rows are scored alike.
     """
     by_task(docs.sparkSession)
@@ -182,7 +219,7 @@ def score(docs: DataFrame, index: Index, *keep: Column) -> DataFrame:
     def run(batches):
         index = shared.value
         for batch in batches:
-            got = [index.score(*x) for x in _vectors(index.terms, _terms(batch.column(0)))]
+            got = index.score_all(_vectors(index.terms, _terms(batch.column(0))))
             p = [x for x, _ in got]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32()), pa.array([x for _, x in got], pa.list_(pa.int64()))], [*batch.schema.names[1:], "score", "predicted", "evidence"])
 
@@ -199,6 +236,6 @@ def reject(docs: DataFrame, index: Index) -> DataFrame:
         index = shared.value
         for batch in batches:
             found = _vectors(index.terms, _terms(batch.column(at).cast(pa.string())))
-            yield batch.filter(pa.array([index.score(*x)[0] < 0.5 for x in found], pa.bool_()))
+            yield batch.filter(pa.array([p < 0.5 for p, _ in index.score_all(found)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -107,3 +107,36 @@ def test_toxicity_learns(spark):
     none = toxicity.train(docs.where("false"), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert all(0 <= x.score <= 1 for x in toxicity.score(odd, none, F.col("doc_id")).collect())
     assert toxicity.score(docs.where("false"), index, F.col("doc_id")).collect() == []
+
+
+def test_toxicity_learns_rare_words_and_from_few_rows(spark):
+    r = random.Random(3)
+    words = [f"{a}{b}{c}" for a in "klmnp" for b in "aeiou" for c in "rstvz"]
+    text = lambda *odd: " ".join(r.sample([*(r.choice(words) for _ in range(30)), *odd], 30 + len(odd)))
+    # a hot source with words of its own, and one of a hundredth of the toxic texts with another
+    rows = [(i, text("hotvile", "hotbad"), 1) for i in range(1000)] + [(1000 + i, text("qurzslur", "qurzig"), 1) for i in range(10)] + [(2000 + i, text(), 0) for i in range(1010)]
+    asked = spark.createDataFrame([(k, text("qurzslur", "qurzig") if k % 2 else text(), "x", 0.0) for k in range(20)], SCHEMA)
+    docs = spark.createDataFrame([(i, t, "x", 0.0) for i, t, _ in rows], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = toxicity.score(asked, toxicity.train(docs, labels), F.col("doc_id")).collect()
+    assert [x.predicted for x in sorted(got)] == [0, 1] * 10
+    assert all(1000 <= x.evidence[0] < 1010 for x in got if x.doc_id % 2)
+    few = labels.where("doc_id < 10 or doc_id >= 2000 and doc_id < 2010")
+    asked = spark.createDataFrame([(k, text("hotvile", "hotbad") if k % 2 else text(), "x", 0.0) for k in range(20)], SCHEMA)
+    got = toxicity.score(asked, toxicity.train(docs, few), F.col("doc_id")).collect()
+    assert [x.predicted for x in sorted(got)] == [0, 1] * 10
+
+
+def test_toxicity_short_and_common_lists_are_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    monkeypatch.setattr(toxicity, "COMMON", 0.2)
+    r = np.random.default_rng(6)
+    rows = [(np.flatnonzero(m), r.random(int(m.sum())) + 0.1) for m in r.random((90, 200)) < np.linspace(0.01, 0.4, 200)]
+    index = toxicity.Index(np.arange(200, dtype=np.uint64), np.linspace(3, 1, 200), rows, np.arange(90) % 2, np.ones(90), np.arange(90))
+    assert 0 < (index.slot >= 0).sum() < 200
+    units = np.zeros((90, 200))
+    for k, (at, w) in enumerate(rows):
+        units[k, at] = index._unit(at, w)
+    for k in range(30):
+        at, cos = index.nearest(rows[k][0], index._unit(*rows[k]), 5)
+        assert np.allclose(cos, np.sort(units @ units[k])[::-1][:5], atol=1e-5) and index.ids[at[0]] == k
