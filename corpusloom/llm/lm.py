@@ -1,13 +1,17 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-Words are counted over all training texts. The most frequent ones (``HEAD``) are put into
-classes by the company they keep; all others belong to the class of their first two
-bytes. The model gives the class of the next token from hashed features of what went
-before (the last word, the last two, and the words two and three back), then the word:
-within a class of frequent words by a second softmax on hashed features, within the
-others by smoothed counts. Training sweeps all training texts once, in rounds: every
-partition makes gradient updates of its own from the weights of the last round, and
-each weight's changes are averaged by how often a partition touched it.
+Words are counted over all training texts. Every word has a leaf in a tree of classes,
+``WAYS`` to a class: the most frequent words one each, ordered so that words of like
+predecessors share classes; all others a leaf by their first two bytes, which they share.
+A word's probability is the product of one softmax for each class on its path, over
+hashed features of what went before (the last word, the last two, and the words two and
+three back), and in a shared leaf its smoothed share of the counts there.
+
+The tree grows with the number of distinct words, up to ``LEVELS`` levels. Training
+sweeps all training texts once, in rounds: each task makes gradient updates of its own
+from the weights of the last round, and each touched row's changes are averaged by how
+often the tasks touched it. So scores depend, within the noise of such averages, on how
+the table is cut into partitions; the same table in the same partitions is scored alike.
 """
 
 from __future__ import annotations
@@ -21,27 +25,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.ann import kmeans
 from corpusloom.llm.blocks import by_task, mix, words
 from corpusloom.sources.lineage import cut
 
-#: Classes of frequent words, words in each, and classes of all others.
-CLASSES, SLOTS, OTHERS = 24, 64, 24
-HEAD = CLASSES * SLOTS
+#: Classes of a class; of the root's, those of words with leaves of their own.
+WAYS, OWN = 16, 12
+#: Levels of the tree at most: 4 give 49,152 words leaves of their own, and others 16,384.
+LEVELS = 4
 #: Words whose counts travel to every task; the counts of others are joined.
 FREQUENT = 1 << 17
-#: Rows of the two weight tables.
-ROWS, WORD_ROWS = 1 << 15, 1 << 13
+#: Rows of features in the weights of a level.
+ROWS = 1 << 15
 #: Rounds of a sweep, tokens in an update, rate of learning.
 ROUNDS, BATCH, RATE = 2, 8192, 0.15
-#: Texts that the classes are made from, in expectation.
-CLASS_SAMPLE = 1500
-#: Weight of the plain class shares beside the softmax.
+#: Tokens that a task learns from at least, if there are so many: a task sends its changes once a round.
+PER_TASK = 500_000
+#: Weight of the plain class shares beside each softmax.
 FLOOR = 0.02
-#: Partial results of a round that one task averages.
-FAN_IN = 32
+#: Partial results of a round that one task averages, and parts that the rows of a level are dealt into.
+FAN_IN, SHARDS = 32, 16
+#: Predecessors that words are compared by: this many frequent ones, and others by hash.
+NEAR, NEAR_HASHED = 24, 8
 END = np.uint64(0x5EED0E4D)
 _U = np.uint64
+_SHIFT = _U(64 - 15)
 
 
 @dataclass
@@ -50,16 +57,22 @@ class Model:
 
     total: int  # training tokens
     distinct: int
+    depth: int  # levels of the tree
     frequent: np.ndarray  # sorted hashes
     counts: np.ndarray  # of these
-    place: np.ndarray  # of these: class * SLOTS + slot, or -1
-    others: np.ndarray  # log10 denominators of the other classes
-    share: np.ndarray  # of each class
-    tables: tuple[np.ndarray, np.ndarray]
+    leaf: np.ndarray  # of these, or -1 if it goes by the first bytes
+    shared: np.ndarray  # log10 denominators of the shared leaves
+    shares: list[np.ndarray]  # by level: each class's share of the class above it
+    tables: list[np.ndarray]  # by level: weights by row of a feature, then by class above
+
+    @property
+    def own(self) -> int:
+        """Leaves of single words; the shared ones follow."""
+        return OWN * WAYS ** (self.depth - 1)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens, their other-class, their place in the text, and the index of the text."""
+    """Hashes of all tokens and of their first two bytes, their place in the text, and the index of the text."""
     w, at, two = words(texts, (2,))
     n = np.diff(at) + 1
     doc = np.repeat(np.arange(len(n)), n)
@@ -69,44 +82,40 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     seq = np.full(len(doc), END, np.uint64)
     kind = np.zeros(len(doc), np.int64)
     seq[~last] = w
-    kind[~last] = (mix(np.where(two != 0, two, w), 5) % _U(OTHERS)).astype(np.int64)
+    kind[~last] = (np.where(two != 0, two, w) >> _U(34)).astype(np.int64)
     return seq, kind, pos, doc
 
 
-def features(seq: np.ndarray, pos: np.ndarray) -> np.ndarray:
+def features(seq: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
     """Hashes of the four features of each token's past."""
     back = []
     for k in (1, 2, 3):
         b = np.zeros(len(seq), np.uint64)
         b[k:] = seq[:-k]
-        back.append(np.where(pos >= k, b, _U(k)))
-    return np.stack([mix(back[0], 21), mix(back[0] * _U(0x9E3779B97F4A7C15) + back[1], 22), mix(back[1], 23), mix(back[2], 24)], 1)
-
-
-def _scores(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the rows' weights, less the greatest of each line."""
-    z = table[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        z += table[rows[:, k]]
-    z -= z.max(1, keepdims=True)
-    return z
-
-
-def _log_chosen(table: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Log-probabilities of the chosen columns."""
-    z = _scores(table, rows)
-    chosen = z[np.arange(len(y)), y].astype(float)
+        b[pos < k] = k
+        back.append(b)
+    return [back[0] * _U(0x9E3779B97F4A7C15), mix(back[0] * _U(0xC2B2AE3D27D4EB4F) + back[1], 22), mix(back[1], 23), mix(back[2], 24)]
+
+
+def level_rows(f: list[np.ndarray], above: np.ndarray, level: int) -> list[np.ndarray]:
+    """The rows of a level's table that a token's features and the class above it name."""
+    if not level:
+        return [(x >> _SHIFT).astype(np.int64) for x in f] + [np.full(len(above), ROWS)]
+    a = above.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _U(level)
+    return [(((x ^ a) * _U(0x9E6C63D0876A9A35)) >> _SHIFT).astype(np.int64) for x in (f[0], f[2])] + [ROWS + above]
+
+
+def _softmax(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Class probabilities of each token, from the sums of its rows."""
+    z = np.take(table, rows[0], axis=0)
+    part = np.empty_like(z)
+    for r in rows[1:]:
+        np.take(table, r, axis=0, out=part, mode="clip")
+        z += part
+    np.clip(z, -60, 60, out=z)  # far from what a float overflows at
     np.exp(z, out=z)
-    return chosen - np.log(z.sum(1))
-
-
-def _class_rows(f: np.ndarray) -> np.ndarray:
-    return np.concatenate([(f % _U(ROWS)).astype(np.int64), np.full((len(f), 1), ROWS)], 1)
-
-
-def _word_rows(f: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    h = mix(f[:, [0, 2]] + cls.astype(np.uint64)[:, None] * _U(0xC2B2AE3D27D4EB4F), 31)
-    return np.concatenate([(h % _U(WORD_ROWS)).astype(np.int64), (WORD_ROWS + cls)[:, None]], 1)
+    z *= 1 / (z @ np.ones((z.shape[1], 1), np.float32))
+    return z
 
 
 class _Learner:
@@ -116,19 +125,19 @@ class _Learner:
         self.start, self.table = table, table.copy()
         self.seen, self.speed = np.zeros(len(table), np.float32), np.full(len(table), 1e-2, np.float32)
 
-    def step(self, rows: np.ndarray, y: np.ndarray) -> None:
-        g = _scores(self.table, rows)
-        np.exp(g, out=g)
-        g /= g.sum(1, keepdims=True)
+    def step(self, rows: list[np.ndarray], y: np.ndarray) -> None:
+        g = _softmax(self.table, rows)
         g[np.arange(len(y)), y] -= 1
-        if (rows[:, -1] == rows[0, -1]).all():  # a row for all tokens needs no sorting
-            self._move(rows[:1, -1], g.sum(0, keepdims=True), np.array([len(y)]))
-            rows = rows[:, :-1]
-        flat = rows.T.ravel()
+        if rows[-1][0] == ROWS and (rows[-1] == ROWS).all():  # a row for all tokens needs no sorting
+            self._move(rows[-1][:1], g.sum(0, keepdims=True), np.array([len(y)]))
+            rows = rows[:-1]
+        flat = np.concatenate(rows)
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         flat = flat[order]
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        self._move(flat[first], np.add.reduceat(g[order % len(y)], first, axis=0), np.diff(np.append(first, len(flat))))
+        # pairs of columns are summed together, as the parts of complex numbers
+        sums = np.add.reduceat(np.take(g, order % len(y), axis=0).view(np.complex64), first, axis=0).view(np.float32)
+        self._move(flat[first], sums, np.diff(np.append(first, len(flat))))
 
     def _move(self, at: np.ndarray, sums: np.ndarray, times: np.ndarray) -> None:
         self.speed[at] += np.einsum("rc,rc->r", sums, sums) / sums.shape[1]
@@ -144,10 +153,13 @@ def _looked_up(model: Model, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, model.frequent[at] == seq
 
 
-def _targets(model: Model, seq: np.ndarray, kind: np.ndarray, at: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each token, and its slot or -1."""
-    place = np.where(known, model.place[at], -1) if len(model.place) else np.full(len(seq), -1)
-    return np.where(place >= 0, place // SLOTS, CLASSES + kind), np.where(place >= 0, place % SLOTS, -1)
+def leaves(model: Model, kind: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The leaf of each token."""
+    others = model.own + kind % (WAYS**model.depth - model.own)
+    if not len(model.leaf):
+        return others
+    leaf = model.leaf[at]
+    return np.where(known & (leaf >= 0), leaf, others)
 
 
 def _count(batches):
@@ -158,56 +170,104 @@ def _count(batches):
 
 
 def count(docs: DataFrame) -> DataFrame:
-    """``w, n, kind``: each training token's hash, count and other-class; end of text included."""
+    """``w, n, kind``: each training token's hash, count and hash of the first two bytes; end of text included."""
     by_task(docs.sparkSession)
     return cut(docs.select(F.col("text").cast("string")).mapInArrow(_count, "w long, n long, kind int").groupBy("w").agg(F.sum("n").alias("n"), F.min("kind").alias("kind")))
 
 
-def _classes(docs: DataFrame, head: np.ndarray) -> np.ndarray:
-    """For each of the words, most frequent first, class * SLOTS + slot: words that keep company stand together."""
-    order = np.sort(head)
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+_PARTIAL = "shard int, task long, at binary, seen binary, mean binary"
 
-    def met(batches):
-        for batch in batches:
-            seq, _, _, doc = tokens(batch.column(0))
-            at = np.minimum(np.searchsorted(shared.value, seq), len(shared.value) - 1)
-            ok = shared.value[at] == seq
-            rows = [np.unique(at[ok & (doc == d)]) for d in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["at"])
-
-    total = docs.count()
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("classes")), F.lit(1 << 30)) < min(1.0, CLASS_SAMPLE / max(1, total)) * (1 << 30))
-    got = drawn.select(F.col("text").cast("string")).mapInArrow(met, "at array<int>").collect()  # at most HEAD numbers from each of a bounded sample
-    there = np.zeros((len(got), len(order)), np.float32)
-    for k, r in enumerate(got):
-        there[k, r["at"]] = 1
-    there = there[:, np.searchsorted(order, head)]
-    near = (there.T @ there[:, :64]) / (there.sum(0)[:, None] + 1)
-    centre = kmeans(near.astype(float), CLASSES)
-    own = ((centre * centre).sum(1) - 2 * near @ centre.T).argmin(1)
-    place = np.zeros(len(head), np.int64)
-    place[np.lexsort((np.arange(len(head)), own))] = np.arange(len(head))
-    return place
-
-
-def _averaged(parts: DataFrame, tasks: int) -> DataFrame:
-    """Adds up partial results, ``FAN_IN`` at a time, until there is one of each shard."""
+
+def _sent(level: int, task: int, seen: np.ndarray, mean: np.ndarray) -> list[tuple]:
+    """The touched rows of a table as ``_PARTIAL``, in ``SHARDS`` parts: row numbers, times touched, and what is to be averaged."""
+    at = np.flatnonzero(seen)
+    parts = np.split(at, np.searchsorted(at * SHARDS // max(1, len(seen)), np.arange(1, SHARDS)))
+    return [(level * SHARDS + s, task, a.astype(np.int32).tobytes(), seen[a].astype(np.float32).tobytes(), mean[a].astype(np.float16).tobytes()) for s, a in enumerate(parts) if len(a)]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["shard", "task", "at", "seen", "mean"])
+
+
+def _rows(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, times and means of several partial results of one table, added up."""
+    at, seen = (np.concatenate([np.frombuffer(b, d) for b in group[c]]) for c, d in (("at", np.int32), ("seen", np.float32)))
+    mean = np.concatenate([np.frombuffer(m, np.float16).reshape(len(a) // 4, -1) for a, m in zip(group["at"], group["mean"], strict=True)])
+    rows, to = np.unique(at, return_inverse=True)
+    total = np.bincount(to, seen)
+    return rows, total, np.stack([np.bincount(to, seen * c) for c in mean.T.astype(np.float32)], 1) / total[:, None]
+
+
+def _averaged(parts: DataFrame, tasks: int) -> pd.DataFrame:
+    """Partial results averaged by how often rows were touched, ``FAN_IN`` at a time, until there is one of each shard."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        body = sum(np.frombuffer(b, np.float32) for b in group["body"])
-        return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "task": [int(group["task"].iloc[0]) // FAN_IN], "body": [body.tobytes()]})
+        at, seen, mean = _rows(group)
+        key = int(group["shard"].iloc[0]), int(group["task"].iloc[0]) // FAN_IN
+        return pd.DataFrame([(*key, at.astype(np.int32).tobytes(), seen.astype(np.float32).tobytes(), mean.astype(np.float16).tobytes())], columns=["shard", "task", "at", "seen", "mean"])
 
     while tasks > 1:
-        parts = parts.groupBy("shard", F.floor(F.col("task") / FAN_IN).alias("_to")).applyInPandas(add, "shard int, task long, body binary")
+        parts = parts.groupBy("shard", F.floor(F.col("task") / FAN_IN).alias("_to")).applyInPandas(add, _PARTIAL)
         tasks = -(-tasks // FAN_IN)
-    return parts
+    return parts.toPandas()  # as large as the averaged tables
+
+
+def _tasked(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """``text, task`` in so many partitions that each has about ``PER_TASK`` of ``total`` tokens, or as many as before; and their number."""
+    docs = docs.coalesce(max(1, total // PER_TASK))
+    return docs.select(F.col("text").cast("string"), F.spark_partition_id().cast("long").alias("task")), docs.rdd.getNumPartitions()
+
+
+def predecessors(docs: DataFrame, head: np.ndarray, total: int) -> np.ndarray:
+    """For each of the words, most frequent first, the shares of its predecessors: each of the first ``NEAR`` words, and all others by hash."""
+    order = np.argsort(head)
+    shared = docs.sparkSession.sparkContext.broadcast((head[order], order))
+    width = NEAR + NEAR_HASHED
+
+    def met(batches):
+        by_hash, place = shared.value
+        n, task = np.zeros(len(by_hash) * width, np.float32), -1
+        for batch in batches:
+            if len(batch):
+                task = batch.column(1)[0].as_py()
+                seq, _, pos, _ = tokens(batch.column(0))
+                i = np.minimum(np.searchsorted(by_hash, seq), len(by_hash) - 1)
+                rank = np.where(by_hash[i] == seq, place[i], -1)
+                near = np.where((rank >= 0) & (rank < NEAR), rank, NEAR + (seq % _U(NEAR_HASHED)).astype(np.int64))
+                ok = np.flatnonzero((rank >= 0) & (pos > 0))
+                np.add.at(n, rank[ok] * width + near[ok - 1], np.float32(1))
+        if task >= 0:
+            n = n.reshape(-1, width)
+            times = n.sum(1)
+            yield _batch(_sent(0, task, times, n / np.maximum(times, 1)[:, None]))
+
+    out = np.zeros((len(head), width))
+    text, tasks = _tasked(docs, total)
+    got = _averaged(text.mapInArrow(met, _PARTIAL), tasks)
+    if len(got):
+        at, _, mean = _rows(got)
+        out[at] = mean
+    return out
+
+
+def ordered(near: np.ndarray) -> np.ndarray:
+    """An order of the rows in which like ones stand together: halved along the direction of most variance, again and again."""
+    out, todo = [], [np.arange(len(near))]
+    while todo:
+        part = todo.pop()
+        if len(part) <= WAYS:
+            out.append(part)
+            continue
+        x = near[part] - near[part].mean(0)
+        by = part[np.lexsort((part, x @ np.linalg.eigh(x.T @ x)[1][:, -1]))]
+        todo += [by[len(by) // 2 :], by[: len(by) // 2]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _sweep(docs: DataFrame, model: Model) -> Model:
     """One round: local updates from the given weights, averaged."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    shards = 16
 
     def learn(batches):
         m = shared.value
@@ -219,87 +279,109 @@ def _sweep(docs: DataFrame, model: Model) -> Model:
             nonlocal held
             if not held:
                 return
-            f, cls, slot = (np.concatenate(x) for x in zip(*held, strict=True))
-            end = len(f) if whole else len(f) // BATCH * BATCH
+            *f, leaf = (np.concatenate(x) for x in zip(*held, strict=True))
+            end = len(leaf) if whole else len(leaf) // BATCH * BATCH
             for a in range(0, end, BATCH):
                 s = slice(a, min(a + BATCH, end))
-                learners[0].step(_class_rows(f[s]), cls[s])
-                ok = slot[s] >= 0
-                if ok.any():
-                    learners[1].step(_word_rows(f[s][ok], cls[s][ok]), slot[s][ok])
-            held = [(f[end:], cls[end:], slot[end:])] if end < len(f) else []
+                for level, learner in enumerate(learners):
+                    path = leaf[s] // WAYS ** (m.depth - 1 - level)
+                    learner.step(level_rows([x[s] for x in f], path // WAYS, level), path % WAYS)
+            held = [(*(x[end:] for x in f), leaf[end:])] if end < len(leaf) else []
 
         for batch in batches:
             if len(batch):
                 task = batch.column(1)[0].as_py()
                 seq, kind, pos, _ = tokens(batch.column(0))
-                at, known = _looked_up(m, seq)
-                held.append((features(seq, pos), *_targets(m, seq, kind, at, known)))
+                held.append((*features(seq, pos), leaves(m, kind, *_looked_up(m, seq))))
                 flush(False)
         flush(True)
         if task >= 0:
-            # a row: how often it was touched, and its change times that
-            bodies = [np.concatenate([x.seen[:, None], (x.table - x.start) * x.seen[:, None]], 1).astype(np.float32) for x in learners]
-            rows = [(k * shards + s, part.tobytes()) for k, b in enumerate(bodies) for s, part in enumerate(np.array_split(b, shards))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([task] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "task", "body"])
-
-    text = docs.select(F.col("text").cast("string"), F.spark_partition_id().cast("long").alias("task"))
-    parts = text.mapInArrow(learn, "shard int, task long, body binary")
-    got = {r["shard"]: r["body"] for r in _averaged(parts, docs.rdd.getNumPartitions()).select("shard", "body").collect()}  # as large as the model
-    tables = []
-    for k, t in enumerate(model.tables):
-        if any(k * shards + s in got for s in range(shards)):
-            sums = np.concatenate([np.frombuffer(got[k * shards + s], np.float32).reshape(-1, t.shape[1] + 1) for s in range(shards)])
-            t = t + sums[:, 1:] / np.maximum(sums[:, :1], 1)
-        tables.append(t.astype(np.float32))
-    return Model(**{**model.__dict__, "tables": tuple(tables)})
-
-
-def train(docs: DataFrame, counts: DataFrame) -> Model:
-    """A model of all texts of ``docs`` (doc_id, text), given their ``count``."""
-    by_task(docs.sparkSession)
-    total, distinct = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
-    # all words from some count on, so many that they are FREQUENT at most: a row comes from each sixteenth of a doubling
-    scale = F.floor(F.log2("n") * 16)
-    steps, many, least = counts.groupBy(scale.alias("at")).agg(F.count("*").alias("many")).orderBy(F.desc("at")).collect(), 0, None
-    for r in steps:
+            yield _batch([r for level, x in enumerate(learners) for r in _sent(level, task, x.seen, x.table - x.start)])
+
+    text, tasks = _tasked(docs, model.total // ROUNDS)
+    got = _averaged(text.mapInArrow(learn, _PARTIAL), tasks)
+    tables = [t.copy() for t in model.tables]
+    for level, t in enumerate(tables):
+        mine = got[got["shard"] // SHARDS == level]
+        if len(mine):
+            at, _, mean = _rows(mine)
+            t[at] += mean.astype(np.float32)
+    return Model(**{**model.__dict__, "tables": tables})
+
+
+def _top(counts: DataFrame) -> pd.DataFrame:
+    """``w, n``, most frequent first: all words from some count on, so many that they are ``FREQUENT`` at most."""
+    scale = F.floor(F.log2("n") * 16)  # a row comes from each sixteenth of a doubling
+    many, least = 0, None
+    for r in counts.groupBy(scale.alias("at")).agg(F.count("*").alias("many")).orderBy(F.desc("at")).collect():
         many += r["many"]
         if many > FREQUENT:
             break
         least = r["at"]
-    top = counts.where(scale >= least if least is not None else F.lit(False)).select("w", "n").toPandas().sort_values(["n", "w"], ascending=[False, True])
+    return counts.where(scale >= least if least is not None else F.lit(False)).select("w", "n").toPandas().sort_values(["n", "w"], ascending=[False, True])
+
+
+def start(docs: DataFrame, counts: DataFrame) -> Model:
+    """The tree of classes, with weights by counts alone."""
+    total, distinct = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
+    depth = 2
+    while depth < LEVELS and OWN * WAYS ** (depth - 1) < distinct:
+        depth += 1
+    every, own = WAYS**depth, OWN * WAYS ** (depth - 1)
+    top = _top(counts)
     w, n = top["w"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    head = w[:HEAD]
-    place = np.full(len(w), -1)
-    share = np.full(CLASSES + OTHERS, 0.5)
-    word = np.zeros((WORD_ROWS + CLASSES, SLOTS), np.float32)
-    word[WORD_ROWS:] = -30
+    head = w[:own]
+    leaf = np.full(len(w), -1)
+    mass = np.zeros(every)  # counts by leaf
+    mass[own:] = 0.5  # for a word not met yet
+    rest = counts
     if len(head):
-        place[: len(head)] = _classes(docs, head)
-        np.add.at(share, place[: len(head)] // SLOTS, n[: len(head)])
-        word[WORD_ROWS + place[: len(head)] // SLOTS, place[: len(head)] % SLOTS] = np.log(n[: len(head)])
-    heads = head.view(np.int64).tolist()
-    rest = counts.where(~F.col("w").isin(heads)) if heads else counts
-    others = np.full(OTHERS, math.log10(0.5))
-    for r in rest.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        share[CLASSES + r["kind"]] += r["n"]
-        others[r["kind"]] = math.log10(r["n"] + 0.5 * (r["v"] + 1))
-    share /= share.sum()
-    table = np.zeros((ROWS + 1, CLASSES + OTHERS), np.float32)
-    table[ROWS] = np.log(share)
+        # spread over all leaves, so that each class has its part of the words
+        leaf[ordered(predecessors(docs, head, total))] = np.arange(len(head)) * own // len(head)
+        mass[leaf[: len(head)]] = n[: len(head)]
+        rest = counts.join(F.broadcast(docs.sparkSession.createDataFrame(top[["w"]][:own])), "w", "left_anti")
+    shared = np.full(every - own, math.log10(0.5))
+    for r in rest.groupBy((F.col("kind") % (every - own)).alias("at")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        mass[own + r["at"]] = r["n"] + 0.5 * (r["v"] + 1)
+        shared[r["at"]] = math.log10(mass[own + r["at"]])
+    shares, tables = [], []
+    for level in range(depth):
+        by_class = mass.reshape(WAYS**level, WAYS, -1).sum(2)
+        share = by_class / np.maximum(by_class.sum(1, keepdims=True), 0.5)
+        table = np.zeros((ROWS + len(share), WAYS), np.float32)
+        table[ROWS:] = np.where(share > 0, np.log(np.maximum(share, 1e-12)), -30)
+        tables.append(table)
+        shares.append(share.ravel())
     order = np.argsort(w)
-    model = Model(total, distinct, w[order], n[order], place[order], others, share, (table, word))
+    return Model(total, distinct, depth, w[order], n[order], leaf[order], shared, shares, tables)
+
+
+def train(docs: DataFrame, counts: DataFrame) -> Model:
+    """A model of all texts of ``docs`` (doc_id, text), given their ``count``."""
+    by_task(docs.sparkSession)
+    model = start(docs, counts)
     for k in range(ROUNDS):
         model = _sweep(docs.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == k), model)
     return model
 
 
+def log10_path(model: Model, f: list[np.ndarray], leaf: np.ndarray) -> np.ndarray:
+    """The log10 probability of each token's leaf."""
+    p = np.ones(len(leaf))
+    for level, table in enumerate(model.tables):
+        path = leaf // WAYS ** (model.depth - 1 - level)
+        chosen = _softmax(table, level_rows(f, path // WAYS, level))[np.arange(len(leaf)), path % WAYS]
+        p *= (1 - FLOOR) * chosen + FLOOR * model.shares[level][path]
+    return np.log10(p)
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame, *keep: Column) -> DataFrame:
     """``keep`` columns, ``n_tokens, n_known, train_tokens, base_score, score``.
 
     ``base_score`` is the log10 probability by counts alone, ``score`` the model's. Null
     and empty texts have the end alone. Repeated rows are scored alike; an empty table
-    gives an empty result; without training texts nothing is known.
+    gives an empty result; without training texts nothing is known. Texts of any length
+    are scored whole; other columns don't matter.
     """
     by_task(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -312,20 +394,14 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *keep: Column) -> Da
             n = len(batch)
             seq, kind, pos, doc = tokens(batch.column(0))
             at, known = _looked_up(m, seq)
-            cls, slot = _targets(m, seq, kind, at, known)
+            leaf = leaves(m, kind, at, known)
             logc = np.where(known, log_counts[at], 0.0) if len(log_counts) else np.zeros(len(seq))
-            p = np.zeros(len(seq))
-            f = features(seq, pos)
-            for a in range(0, len(seq), 4 * BATCH):
-                s = slice(a, a + 4 * BATCH)
-                c = cls[s]
-                chosen = _log_chosen(m.tables[0], _class_rows(f[s]), c)
-                p[s] = np.log10((1 - FLOOR) * np.exp(chosen) + FLOOR * m.share[c])
-                ok = np.flatnonzero(slot[s] >= 0)
-                if len(ok):
-                    p[a + ok] += _log_chosen(m.tables[1], _word_rows(f[s][ok], c[ok]), slot[s][ok]) / math.log(10)
-            plain = slot < 0
-            p[plain] += logc[plain] - m.others[cls[plain] - CLASSES]
+            p, f = np.zeros(len(seq)), features(seq, pos)
+            for a in range(0, len(seq), BATCH):
+                s = slice(a, a + BATCH)
+                p[s] = log10_path(m, [x[s] for x in f], leaf[s])
+            among = np.flatnonzero(leaf >= m.own)
+            p[among] += logc[among] - m.shared[leaf[among] - m.own]
             rare = ~known
             sums = [np.bincount(doc, weights=x, minlength=n)[:n] for x in (np.ones(len(seq)), known, logc, p)]
             ends = np.searchsorted(doc[rare], np.arange(n + 1)).astype(np.int32)
