@@ -29,6 +29,33 @@ def test_top_products(spark, monkeypatch):
     assert topk.top_products(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_top_products_of_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PART", 4)
+    for n in (1, 2, 19, 20, 21, 22):
+        rows = [(20 * i, [float((i * 7 + d * 3) % 11 - 5) for d in range(4)], "", 1) for i in range(n)]
+        got = sorted(tuple(r) for r in topk.top_products(spark.createDataFrame(rows, SCHEMA)).collect())
+        v = {i: np.floor(64 * np.array(e)).astype(int) for i, e, *_ in rows}
+        want = [(q, r, i, -s) for q in v for r, (s, i) in enumerate(sorted((-int(v[q] @ v[i]), i) for i in v if i != q)[:20], 1)]
+        assert got == sorted(want)
+
+
+def test_search_in_parts(monkeypatch):
+    monkeypatch.setattr(topk, "PART", 16)
+    monkeypatch.setattr(topk, "AT_ONCE", 8)
+    r = np.random.default_rng(3)
+    for scale in (50, 1 << 30):  # the latter's products are over what doubles hold
+        x = r.integers(-scale, scale, (150, 8))
+        x[20:60] = x[20]  # ties
+        x[100:] //= 40
+        own = np.where(np.arange(30) % 3, np.arange(30), -1)
+        got, computed = topk.search(x[:30], x, own, 5)
+        assert computed < 30 * 150
+        for i, (at, score) in enumerate(got):
+            p = [int(a) for a in x.astype(object) @ x[i].astype(object)]
+            want = sorted((-p[j], j) for j in range(150) if j != own[i])[:5]
+            assert [(-int(s), int(j)) for j, s in zip(at, score)] == want
+
+
 def test_top_products_sql(spark):
     a, b = frames(spark, "op6_exact_top_k", "/root/testdata/sf0.01")
     assert a == b
