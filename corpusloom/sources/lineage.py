@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from the reliable checkpoint folder.
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """The folder of intermediate results that the cluster names in ``spark.checkpoint.dir``.
+
+    Only where none is set and the master is local (tests, a laptop) is a temporary one
+    made: other machines couldn't read it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``;
-    only where none is set (tests, a laptop) is a temporary one made.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, read back from the reliable checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "corpusloom-"))
     return df.checkpoint()

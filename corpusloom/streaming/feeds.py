@@ -7,21 +7,22 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.lineage import shared_folder
 
-def _home(spark: SparkSession) -> str:
-    """A new folder that all executors share: under the checkpoint folder where one is set."""
-    import tempfile
 
-    home = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{home}/feed-{uuid.uuid4().hex}" if home else tempfile.mkdtemp(prefix="corpusloom-feed-")
+def _home(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark, 'corpusloom-feed-')}/feed-{uuid.uuid4().hex}"
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str, per_trigger: int = 4) -> DataFrame:
     """A table of the folder as a stream of its files."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    folder, _, pattern = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).parquet(f"{folder}/{pattern}*")
+    # a table in one file is found by a glob that only its own name meets; a folder is listed
+    own = path[:-1] + "[" + path[-1] + "]"
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", per_trigger)
+    return reader.parquet(own)
 
 
 def upsert(feed: DataFrame, key: str, order: list[str]) -> DataFrame:
