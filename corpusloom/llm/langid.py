@@ -1,39 +1,63 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
+Characters are code points in lower case, runs of others than letters count as one space.
 Counts come from a bounded sample of labelled texts (``PER_LANG`` of each language in
 expectation, by hash of the id); the matrix of log-probabilities, ``BUCKETS`` rows by
-languages, is broadcast, and texts are scored by sums of its rows in numpy.
+languages, is broadcast, and texts are scored by sums of its rows in numpy. The matrix of
+more than ``SHARD`` languages is cut by language into several, each scored on its own.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.blocks import by_task, utf8
+from corpusloom.sources.lineage import cut
 
 BUCKETS = 1 << 15
 ORDERS = 4
 #: Training texts of a language, in expectation.
 PER_LANG = 5000
-#: Languages at most: the matrix then has 64 MB.
-MAX_LANGS = 512
+#: Languages in a matrix: it then has 16 MB.
+SHARD = 128
 SMOOTH = 0.5
 UNKNOWN = "und"
 _PART = 1 << 20
-_FOLD = np.full(256, 32, np.uint32)
-_FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
-_FOLD[128:] = np.arange(128, 256)
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-
-
-def _grams(raw: np.ndarray):
-    """Buckets of all n-grams of a text, a part at a time."""
-    for a in range(0, len(raw), _PART):
-        part = _FOLD[raw[max(0, a - ORDERS + 1) : a + _PART]]
+_SPACE = np.uint32(32)
+
+
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """Of each code point, 2 for a letter, 1 for a mark that letters carry, else 0."""
+    return np.array([2 if chr(c).isalpha() else unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)], np.uint8)
+
+
+def characters(raw: np.ndarray) -> np.ndarray:
+    """Code points of UTF-8 bytes in lower case, with a space after each run of letters; nothing if there is no letter."""
+    if (raw < 128).all():
+        cp = raw.astype(np.uint32)
+        cp[(raw >= 65) & (raw <= 90)] += _SPACE
+    else:
+        cp = np.frombuffer(raw.tobytes().decode("utf8", "replace").lower().encode("utf-32-le", "replace"), np.uint32)
+    kind = _kinds()[cp]
+    if not (kind == 2).any():
+        return cp[:0]
+    word = kind > 0
+    keep = word.copy()
+    keep[1:] |= word[:-1]
+    return np.where(word, cp, _SPACE)[keep]
+
+
+def _grams(cp: np.ndarray):
+    """Buckets of all n-grams of a text's characters, a part at a time."""
+    for a in range(0, len(cp), _PART):
+        part = cp[max(0, a - ORDERS + 1) : a + _PART]
         skip, h, out = a - max(0, a - ORDERS + 1), np.zeros(len(part), np.uint32), []
         for n in range(1, ORDERS + 1):
             if len(part) < n:
@@ -45,77 +69,92 @@ def _grams(raw: np.ndarray):
         yield np.concatenate(out)
 
 
-def _lettered(raw: np.ndarray) -> bool:
-    if _LETTER[raw].any():
-        return True
-    return bool((raw >= 128).any()) and any(map(str.isalpha, raw.tobytes().decode("utf8", "replace")))
-
-
 def _count(batches):
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         data, offs = utf8(batch.column(0))
         for lang, a, b in zip(batch.column(1).to_pylist(), offs[:-1], offs[1:], strict=True):
-            raw = data[a:b]
-            if _lettered(raw):
+            cp = characters(data[a:b])
+            if len(cp):
                 into = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for g in _grams(raw):
+                for g in _grams(cp):
                     into += np.bincount(g, minlength=BUCKETS)
     for lang, n in total.items():
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
 
-def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages in order, their log-probability matrix, and the log of their shares.
+Shard = tuple[list[str], np.ndarray, np.ndarray]
+
+
+def train(labelled: DataFrame) -> list[Shard]:
+    """Languages in order, their log-probability matrix and the log of their shares, for each ``SHARD`` languages.
 
     ``labelled`` has ``text, lang, doc_id``; rows without a language teach nothing, nor
     do texts without a letter.
     """
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
-    sizes = labelled.groupBy("lang").count()
-    known = {r["lang"]: r["count"] for r in sizes.orderBy("lang").limit(MAX_LANGS + 1).collect()}
-    if len(known) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    if not known:
-        return [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)
-    share = F.create_map(*[F.lit(x) for k, v in known.items() for x in (k, min(1.0, PER_LANG / v))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
-    grams = labelled.where(drawn).select("text", "lang").mapInArrow(_count, "lang string, bucket long, n long")
-    got = grams.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most languages times buckets rows
-    langs = sorted(set(got["lang"]))
-    counts = np.zeros((BUCKETS, len(langs)))
-    counts[got["bucket"].to_numpy(np.int64), np.searchsorted(langs, got["lang"].to_numpy(str)) if langs else []] = got["n"]
-    prior = np.log([known[x] / sum(known.values()) for x in langs]) if langs else np.zeros(0)
-    return langs, np.log((counts + SMOOTH) / (counts.sum(0) + SMOOTH * BUCKETS)).astype(np.float32), prior
-
-
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], *keep: Column) -> DataFrame:
+    known = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    spark = labelled.sparkSession
+    shares = spark.createDataFrame([(k, min(1.0, PER_LANG / v)) for k, v in known.items()], "lang string, share double")
+    drawn = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    grams = drawn.select("text", "lang").mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    names = sorted(known)
+    grams = cut(grams) if len(names) > SHARD else grams
+    out = []
+    for k in range(0, len(names), SHARD):
+        some = names[k : k + SHARD]
+        got = (grams.where(F.col("lang").between(some[0], some[-1])) if len(names) > SHARD else grams).toPandas()  # at most SHARD times BUCKETS rows
+        langs = sorted(set(got["lang"]))
+        if langs:
+            counts = np.zeros((BUCKETS, len(langs)))
+            counts[got["bucket"].to_numpy(np.int64), np.searchsorted(langs, got["lang"].to_numpy(str))] = got["n"]
+            prior = np.log([known[x] / sum(known.values()) for x in langs])
+            out.append((langs, np.log((counts + SMOOTH) / (counts.sum(0) + SMOOTH * BUCKETS)).astype(np.float32), prior))
+    return out
+
+
+def _told(shard: Shard, cp: np.ndarray) -> tuple[str, float, float]:
+    """The likeliest language of a text, its log-likelihood, and by how much the sum over all languages is greater, as a log."""
+    langs, matrix, prior = shard
+    total = prior + sum(matrix[g].sum(0, dtype=np.float64) for g in _grams(cp))
+    best = int(total.argmax())
+    return langs[best], float(total[best]), float(np.log(np.exp(total - total[best]).sum()))
+
+
+def predict(docs: DataFrame, model: list[Shard], *keep: Column) -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score``, its posterior probability.
 
     Texts that are null, empty or have no letter are ``und`` with score 0, and so is
-    every text if nothing was learned.
+    every text if nothing was learned. Ties go to the first language in order; repeated rows
+    are told alike; an empty table gives an empty result; texts of any length count whole.
     """
     by_task(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(F.col("text").cast("string"), *keep)
+    # a task reads those that it scores with
+    shards = [docs.sparkSession.sparkContext.broadcast(m) for m in model]
+    told = ["lang_pred", "likely", "rest"]
+    kinds = [pa.string(), pa.float64(), pa.float64()]
 
     def run(batches):
-        langs, matrix, prior = shared.value
         for batch in batches:
             data, offs = utf8(batch.column(0))
-            name, score = [], []
-            for a, b in zip(offs[:-1], offs[1:], strict=True):
-                raw = data[a:b]
-                if not langs or not _lettered(raw):
-                    name.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                total = prior + sum(matrix[g].sum(0, dtype=np.float64) for g in _grams(raw))
-                best = int(total.argmax())
-                name.append(langs[best])
-                score.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(name, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double")
+            rows = []
+            for shard, a, b in zip(batch.column(1).to_pylist(), offs[:-1], offs[1:], strict=True):
+                cp = characters(data[a:b])
+                rows.append(_told(shards[shard].value, cp) if len(cp) and shards else (UNKNOWN, 0.0, -1.0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [*batch.schema.names[1:], *told])
+
+    shard = F.lit(0) if len(shards) < 2 else F.explode(F.sequence(F.lit(0), F.lit(len(shards) - 1)))
+    more = [] if len(shards) < 2 else [F.monotonically_increasing_id().alias("_row")]
+    kept = docs.select(F.col("text").cast("string"), F.struct(*keep).alias("keep"), *more).select("text", shard.alias("shard"), "keep", *(["_row"] if more else []))
+    if more:
+        kept = kept.repartition("shard", F.pmod(F.col("_row"), F.lit(1024)))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[1:])
+    rows = kept.mapInArrow(run, f"{schema}lang_pred string, likely double, rest double")
+    if not more:
+        return rows.select("keep.*", "lang_pred", F.when(F.col("rest") >= 0, F.exp(-F.col("rest"))).otherwise(0.0).alias("score"))
+    # of each text a row from every shard: the likeliest language of all, and its share of all likelihoods
+    every = F.array_sort(F.collect_list(F.struct((-F.col("likely")).alias("unlike"), "shard", "lang_pred", "rest")))
+    rows = rows.groupBy("_row").agg(F.first("keep").alias("keep"), every.alias("every")).withColumn("best", F.col("every")[0])
+    total = F.aggregate("every", F.lit(0.0), lambda s, x: s + F.exp(F.col("best.unlike") - x.unlike + x.rest))
+    return rows.select("keep.*", "best.lang_pred", F.when(F.col("best.rest") >= 0, 1 / total).otherwise(0.0).alias("score"))

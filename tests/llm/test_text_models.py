@@ -1,6 +1,7 @@
 """Tokens against the tiktoken library; toxicity and language against brute force and held-out texts."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -50,7 +51,7 @@ def test_language_edges_and_accuracy(spark):
     model = langid.train(docs.where("doc_id < 100"))
     got = langid.predict(docs, model, F.col("doc_id"), F.col("lang")).collect()
     assert all(x.lang == x.lang_pred and 0 <= x.score <= 1 for x in got if x.doc_id >= 100)
-    odd = spark.createDataFrame([(1, None, None, None), (2, "", "en", 1.0), (3, "12 34 |", None, 1.0), (4, "É", None, 1.0), (4, "É", None, 1.0)], SCHEMA)
+    odd = spark.createDataFrame([(1, None, None, None), (2, "", "en", 1.0), (3, "12 34 |", None, 1.0), (4, "Ê", None, 1.0), (4, "Ê", None, 1.0)], SCHEMA)
     assert [x.lang_pred for x in langid.predict(odd, model, F.col("doc_id")).orderBy("doc_id").collect()] == ["und", "und", "und", "fr", "fr"]
     nothing = langid.train(docs.where("false"))
     assert {x.lang_pred for x in langid.predict(odd, nothing, F.col("doc_id")).collect()} == {"und"}
@@ -58,12 +59,62 @@ def test_language_edges_and_accuracy(spark):
 
 
 def test_grams_do_not_depend_on_parts(monkeypatch):
-    raw = np.frombuffer(("Ein schöner Tag. " * 50).encode(), np.uint8)
+    raw = langid.characters(np.frombuffer(("Ein schöner Tag. " * 50).encode(), np.uint8))
     whole = np.sort(np.concatenate(list(langid._grams(raw))))
     monkeypatch.setattr(langid, "_PART", 37)
     assert (np.sort(np.concatenate(list(langid._grams(raw)))) == whole).all()
 
 
+def test_language_characters_are_code_points():
+    chars = lambda t: "".join(map(chr, langid.characters(np.frombuffer(t.encode(), np.uint8)).tolist()))
+    assert chars("  Ein SCHÖNER—Tag, 12 ") == "ein schöner tag "
+    assert chars("ЖУК") == "жук" and chars("日本語。") == "日本語 " and chars("हिन्दी") == "हिन्दी"
+    assert chars("12 . ́") == "" and chars("A-b") == "a b"
+    grams = np.concatenate(list(langid._grams(langid.characters(np.frombuffer("日本語".encode(), np.uint8)))))
+    assert len(grams) == 3 + 2 + 1  # of whole characters
+
+
+def plain_language(train, text, most=4):
+    """Naive Bayes over the n-grams of a text by plain counts: the likeliest language and its share."""
+    def grams(t):
+        c = langid.characters(np.frombuffer((t or "").encode(), np.uint8))
+        return np.concatenate(list(langid._grams(c))).tolist() if len(c) else []
+
+    n, docs = {}, {}
+    for t, lang in train:
+        docs[lang] = docs.get(lang, 0) + 1
+        for g in grams(t):
+            n.setdefault(lang, {})[g] = n.setdefault(lang, {}).get(g, 0) + 1
+    logs = {}
+    for lang, c in n.items():
+        total = sum(c.values()) + langid.SMOOTH * langid.BUCKETS
+        logs[lang] = math.log(docs[lang] / sum(docs.values())) + sum(math.log((c.get(g, 0) + langid.SMOOTH) / total) for g in grams(text))
+    top = max(logs.values())
+    return min(k for k, v in logs.items() if v > top - 1e-9), 1 / sum(math.exp(v - top) for v in logs.values())
+
+
+def test_language_by_plain_counts_and_many_languages(spark, monkeypatch):
+    r = random.Random(4)
+    vocab = {f"l{k:02d}": ["".join(r.choice("абвгдеabcdeßñ日本") for _ in range(4)) for _ in range(12)] for k in range(23)}
+    rows = [(i, " ".join(r.choice(vocab[x]) for _ in range(12)), x, 1.0) for i in range(300) for x in (r.choice(sorted(vocab)),)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    train = docs.where("doc_id < 250")
+    long = " ".join(vocab["l07"]) * 30_000
+    asked = docs.where("doc_id >= 250").unionByName(spark.createDataFrame([(900, None, None, 1.0), (901, "12", None, 1.0), (902, long, None, 1.0)], SCHEMA))
+    one = {x.doc_id: (x.lang_pred, x.score) for x in langid.predict(asked, langid.train(train), F.col("doc_id")).collect()}
+    monkeypatch.setattr(langid, "SHARD", 5)
+    model = langid.train(train)
+    assert len(model) == 5
+    many = {x.doc_id: (x.lang_pred, x.score) for x in langid.predict(asked, model, F.col("doc_id")).collect()}
+    assert many.keys() == one.keys() and len(one) == 53
+    for k, (lang, score) in one.items():
+        assert many[k][0] == lang and many[k][1] == pytest.approx(score, abs=1e-6)
+        if 250 <= k < 300:
+            want = plain_language([x[1:3] for x in rows[:250]], rows[k][1])
+            assert lang == want[0] and score == pytest.approx(want[1], abs=1e-3)
+    assert one[900] == one[901] == ("und", 0.0) and one[902][0] == "l07"
+
+
 def test_toxicity_nearest_are_exact(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 4)
     r = np.random.default_rng(5)
