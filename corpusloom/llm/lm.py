@@ -37,7 +37,7 @@ FREQUENT = 1 << 17
 #: Rows of features in the weights of a level.
 ROWS = 1 << 15
 #: Rounds of a sweep, tokens in an update, rate of learning.
-ROUNDS, BATCH, RATE = 2, 8192, 0.15
+ROUNDS, BATCH, RATE = 2, 32_768, 0.09
 #: Tokens that a task learns from at least, if there are so many: a task sends its changes once a round.
 PER_TASK = 500_000
 #: Weight of the plain class shares beside each softmax.
