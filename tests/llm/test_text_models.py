@@ -16,21 +16,18 @@ SCHEMA = "doc_id long, text string, lang string, score double"
 HARD = ["", "a", " ", "\n\n \t x", "it's I'll  we've   done", "naïve café ñandú größe 日本語 😀😀", "a" * 3000, " " * 3000 + "x", "1234567 89", "x\r\n\r\ny", "\x1c\x85   b"]
 
 
-@pytest.fixture()
-def small_chunks(monkeypatch):
-    monkeypatch.setattr(bpe, "CHUNK", 64)
-    monkeypatch.setattr(bpe, "OVERLAP", 16)
-
-
 def random_texts(n):
     r = random.Random(3)
     bits = ["the", " cat", "  ", "\n", "'s", "123", "é", "日本", "!?", "'ll", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "\t", " \n", "😀"]
     return ["".join(r.choice(bits) for _ in range(r.randrange(10, 300))) for _ in range(n)]
 
 
-def test_bpe_equals_library(spark, small_chunks):
+@pytest.mark.parametrize("size, overlap, whole, run", [(64, 16, 1 << 16, 128), (64, 16, 0, 2), (64, 16, 200, 3)])
+def test_bpe_equals_library(spark, monkeypatch, size, overlap, whole, run):
+    for name, value in (("CHUNK", size), ("OVERLAP", overlap), ("WHOLE", whole), ("RUN", run)):
+        monkeypatch.setattr(bpe, name, value)
     texts = HARD + random_texts(40)
-    rows = [(i, t, None, 0.0) for i, t in enumerate(texts)] + [(None, None, None, None), (0, HARD[0], None, None)]
+    rows = [(i, t, None, 0.0) for i, t in enumerate(texts)] + [(None, None, None, None), (0, HARD[0], None, None), (15, texts[15], None, None)]
     got = bpe.tokenize(spark.createDataFrame(rows, SCHEMA).repartition(3), PATH, P.PATTERN, True).collect()
     enc = bpe.encoding(PATH, P.PATTERN)
     assert len(got) == len(rows)
@@ -43,6 +40,19 @@ def test_bpe_equals_library(spark, small_chunks):
     assert bpe.tokenize(spark.createDataFrame([], SCHEMA), PATH, P.PATTERN).collect() == []
 
 
+def test_bpe_of_long_texts_at_their_real_chunks(spark):
+    r = random.Random(8)
+    bits = ["the", " cat", "  ", "\n", "'s", " 123", "é", " 日本", "!?", "'ll", "\t", " \n", "😀", " naïve", "   \r\n"]
+    texts = ["".join(r.choice(bits) for _ in range(n)) for n in (3000, 20_000, 60_000, 500_000)] + ["x" * 90_000, "word " * 20_000 + "y" * 9000 + " word" * 9000, " " * 70_000 + "z"]
+    rows = [(i, t, None, 0.0) for i, t in enumerate([*texts, *texts])]
+    got = bpe.tokenize(spark.createDataFrame(rows, SCHEMA).repartition(4), PATH, P.PATTERN).collect()
+    enc = bpe.encoding(PATH, P.PATTERN)
+    want = [hashlib.sha256(",".join(map(str, enc.encode_ordinary(t))).encode()).hexdigest() for t in texts]
+    assert sorted((x.doc_id, x.ids_sha256) for x in got) == [(i, want[i % len(texts)]) for i in range(len(rows))]
+    chunks = [bpe.edges(texts[3][a : a + bpe.CHUNK + bpe.OVERLAP], a, P.PATTERN, bpe.OVERLAP) for a in range(0, len(texts[3]) - bpe.OVERLAP, bpe.CHUNK)]
+    assert len(chunks) > 100 and len(bpe.parted(chunks)) == len(chunks) - 1
+
+
 def test_language_edges_and_accuracy(spark):
     r = random.Random(1)
     vocab = {"en": "the of and to in is that house river".split(), "fr": "le la les des une dans être où".split()}
