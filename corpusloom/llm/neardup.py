@@ -1,7 +1,7 @@
 """Near-duplicates by bottom-k sketches of one hash function.
 
-Each text's set of word shingles keeps its ``SKETCH`` least hashes. Texts with equal
-sets form one class, and only its least id goes on. Inverted lists of the retained
+Each text's set of word shingles keeps its ``SKETCH`` least hashes. Rows with equal
+sets form one class, which goes on under a number of its own. Inverted lists of the retained
 values make candidates: a text is listed under its rarest values only, as many as any
 partner must meet (``SHARED`` in common). The sketch of the union then estimates each
 candidate's similarity, and the full sets confirm it.
@@ -34,10 +34,12 @@ SHARED = 14
 SHORT = 32
 #: The estimate may fall this far below the threshold (over 6 standard errors).
 SLACK = 0.4
-#: Ids that may travel to every task: 16 MB.
+#: Ids that may travel to every task: 16 MB, with the hashes of their sets 48 MB.
 FEW = 1_000_000
+#: Pairs of one class that a task reads; those of a class with more are dealt over several.
+HOT = 128
 _SIGN = np.uint64(1 << 63)  # keeps the unsigned order
-_SETS = "doc_id long, n long, a long, b long, sketch array<long>"
+_SETS = "doc_id long, text_hash long, n long, a long, b long, sketch array<long>"
 
 
 def _sets(width: int, whole: bool):
@@ -50,16 +52,17 @@ def _sets(width: int, whole: bool):
                 a, b = (int(mix(s, k).sum(dtype=np.uint64).view(np.int64)) for k in (11, 12))
                 rows.append((doc, len(s), a, b, ((s if whole else s[:SKETCH]) ^ _SIGN).view(np.int64)))
             lists = pa.ListArray.from_arrays(np.cumsum([0, *(len(r[4]) for r in rows)]).astype(np.int32), np.concatenate([r[4] for r in rows]) if rows else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)] + [lists], ["doc_id", "n", "a", "b", "sketch"])
+            numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([numbers[0], batch.column(2), *numbers[1:], lists], ["doc_id", "text_hash", "n", "a", "b", "sketch"])
 
     return run
 
 
 def shingle_sets(docs: DataFrame, width: int = 5, whole: bool = False) -> DataFrame:
-    """``doc_id, n, a, b, sketch``: set size, a 128-bit hash of the set, and its least
-    ``SKETCH`` hashes in unsigned order (with ``whole``, all of them)."""
+    """``doc_id, text_hash, n, a, b, sketch``: a hash of the text, set size, a 128-bit hash of
+    the set, and its least ``SKETCH`` hashes in unsigned order (with ``whole``, all of them)."""
     by_task(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sets(width, whole), _SETS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(_sets(width, whole), _SETS)
 
 
 def _prefix(rows: DataFrame, needed: str) -> DataFrame:
@@ -82,41 +85,59 @@ def _listed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, rows.where(f"len > {SHORT}").drop("len")
 
 
-def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _with_sets(pairs: DataFrame, side: str, sets: DataFrame) -> DataFrame:
+    """Pairs with the columns of one side's class; a class of many pairs, such as the text that
+    a long list is compared with, is copied to several tasks that share its pairs."""
+    hot = cut(pairs.groupBy(side).agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1"))
+    hot = F.broadcast(hot) if hot.count() <= FEW else hot
+    part = F.pmod(F.xxhash64("doc", "other"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = pairs.join(hot, side, "left").withColumn("part", part).drop("parts")
+    copies = sets.join(hot, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, [side, "part"]).drop("part")
+
+
+def _both(pairs: DataFrame, sets: DataFrame, values: str, hot: bool) -> DataFrame:
+    """Pairs with ``n1, s1`` and ``n2, s2`` of their classes; ``hot`` if a class may have any number of pairs."""
+    for side, names in (("doc", ("n1", "s1")), ("other", ("n2", "s2"))):
+        of = sets.select("id", "n", values).toDF(side, *names)
+        pairs = _with_sets(pairs, side, of) if hot else pairs.join(of, side)
+    return pairs
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int, hot: bool = False) -> DataFrame:
     """Pairs whose sizes allow the similarity and whose union sketch doesn't refute it."""
-    s = sets.select("doc_id", "n", "sketch")
-    p = pairs.join(s.toDF("doc", "n1", "s1"), "doc").join(s.toDF("other", "n2", "s2"), "other")
-    p = p.where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
+    p = _both(pairs, sets, "sketch", hot).where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
     p = p.withColumn("low", F.slice(F.array_sort(F.array_union("s1", "s2")), 1, SKETCH))
     both = F.size(F.array_intersect(F.array_intersect("low", "s1"), F.col("s2")))
     return p.where(both >= F.size("low") * (percent / 100 - SLACK)).select("doc", "other")
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``ids`` names; few ids travel to the texts, else both are dealt out."""
-    return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_semi")
+def _full(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``id, n, s``: the whole shingle sets of the named classes, from the texts of their least doc_ids.
 
+    Few ids travel to the texts, else both are dealt out. A doc_id may have other texts
+    too, so sets are told by their hashes."""
+    asked = cut(classes.join(ids, "id", "left_semi").select("id", F.col("least").alias("doc_id"), "n", "a", "b"))
+    near = F.broadcast if asked.count() <= FEW else lambda x: x
+    some = docs.join(near(asked.select("doc_id").distinct()), "doc_id", "left_semi")
+    sets = shingle_sets(some, width, True).select("n", "a", "b", F.col("sketch").alias("s"))
+    return cut(sets.join(near(asked.drop("doc_id")), ["n", "a", "b"]).select("id", "n", "s").dropDuplicates(["id"]))
 
-def _full(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """The whole shingle sets of the named documents."""
-    return cut(shingle_sets(_chosen(docs, ids), width, True).select("doc_id", "n", F.col("sketch").alias("s")).dropDuplicates(["doc_id"]))
 
-
-def _confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, full: DataFrame, percent: int, hot: bool = False) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union, by full sets."""
-    p = pairs.join(full.toDF("doc", "n1", "s1"), "doc").join(full.toDF("other", "n2", "s2"), "other")
     both = F.size(F.array_intersect("s1", "s2")).cast("long")
-    return p.withColumn("both", both).where(f"100 * both >= {percent} * (n1 + n2 - both)").select("doc", "other")
+    return _both(pairs, full, "s", hot).withColumn("both", both).where(f"100 * both >= {percent} * (n1 + n2 - both)").select("doc", "other")
 
 
 def _ids(*columns: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, (c.toDF("doc_id") for c in columns)).distinct()
+    return reduce(DataFrame.unionByName, (c.toDF("id") for c in columns)).distinct()
 
 
 def _long_lists(rows: DataFrame, docs: DataFrame, sets: DataFrame, links: DataFrame, percent: int, width: int) -> DataFrame:
     """``links`` and all that the texts of long lists add to the components."""
-    full = _full(docs, cut(_ids(rows.select("doc"))), width)
-    members = full.select(F.col("doc_id").alias("doc"), F.col("n").cast("long").alias("size"), F.explode("s").alias("value"))
+    full = _full(docs, sets, _ids(rows.select("doc")), width)
+    members = full.select(F.col("id").alias("doc"), F.col("n").cast("long").alias("size"), F.explode("s").alias("value"))
     pairs, rest = _listed(_prefix(members, f"cast(ceil({percent} * size / 100) as bigint)"))
     links = cut(links.unionByName(_confirm(_likely(pairs, sets, percent), full, percent)))
     # two sets can't share more than what either has besides values of its own alone
@@ -124,7 +145,8 @@ def _long_lists(rows: DataFrame, docs: DataFrame, sets: DataFrame, links: DataFr
 
     def more(a: DataFrame, b: DataFrame, also: str) -> DataFrame:
         met = a.alias("a").join(b.alias("b"), F.expr(f"a.value = b.value and {allowed}{also}")).select(F.least("a.doc", "b.doc").alias("doc"), F.greatest("a.doc", "b.doc").alias("other")).distinct()
-        return cut(links.unionByName(_confirm(_likely(met, sets, percent), full, percent)))
+        met = cut(met)
+        return cut(links.unionByName(_confirm(cut(_likely(met, sets, percent, True)), full, percent, True)))
 
     # first a star around each list's most central text, that with the least part of its own
     centre = rest.groupBy("value").agg(F.min(F.struct((F.col("alone") / F.col("size")).alias("share"), "doc", "size", "alone")).alias("c")).select("value", "c.*")
@@ -141,39 +163,43 @@ def _long_lists(rows: DataFrame, docs: DataFrame, sets: DataFrame, links: DataFr
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept, text_hash`` for each row of ``docs``.
 
     Texts whose shingle sets have 100 * intersection >= ``percent`` * union (80 or
     more) are linked; ``component_id`` is the least doc_id reachable. Texts that are
     null, empty or without words have an empty set and are linked with nothing; rows
     without a doc_id are kept, with a null component. Repeated rows come back as often
-    as they come in; other columns don't matter; an empty table gives an empty result.
+    as they come in, and rows of one doc_id with different texts are linked each by its
+    own; other columns don't matter; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     every = cut(shingle_sets(docs, width))
     live = every.where("n > 0 and doc_id is not null")
-    classes = live.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
-    reps = cut(live.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    values = reps.select(F.col("doc_id").alias("doc"), F.size("sketch").cast("long").alias("size"), F.explode("sketch").alias("value"))
+    classes = cut(live.groupBy("n", "a", "b").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")).withColumn("id", F.monotonically_increasing_id()))
+    values = classes.select(F.col("id").alias("doc"), F.size("sketch").cast("long").alias("size"), F.explode("sketch").alias("value"))
     # texts of few shingles are retained whole, so their share can be told from their size
     pairs, rest = _listed(_prefix(values, f"least({SHARED}, cast(ceil({percent} * size / 100) as bigint))"))
-    pairs = cut(_likely(pairs, reps, percent))
-    links = cut(_confirm(pairs, _full(docs, cut(_ids(pairs.select("doc"), pairs.select("other"))), width), percent))
+    pairs = cut(_likely(pairs, classes, percent))
+    links = cut(_confirm(pairs, _full(docs, classes, _ids(pairs.select("doc"), pairs.select("other")), width), percent))
     if not rest.isEmpty():
-        links = _long_lists(rest, docs, reps, links, percent, width)
-    comp = connected_components(links, "doc", "other").toDF("rep", "comp")
-    named = classes.join(comp, "rep", "left").select("n", "a", "b", F.coalesce("comp", "rep").alias("comp"))
-    return every.select("doc_id", "n", "a", "b").join(named, ["n", "a", "b"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        links = _long_lists(rest, docs, classes, links, percent, width)
+    comp = connected_components(links, "doc", "other").toDF("id", "comp").join(classes.select("id", "least"), "id")
+    comp = comp.join(comp.groupBy("comp").agg(F.min("least").alias("component")), "comp").select("id", "component")
+    named = classes.join(comp, "id", "left").select("n", "a", "b", F.coalesce("component", "least").alias("component"))
+    rows = every.select("doc_id", "text_hash", "n", "a", "b").join(named, ["n", "a", "b"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """The rows of ``docs`` with one document of each group of near-duplicates, that of
-    the least doc_id; columns as they were."""
-    gone = cut(near_duplicates(docs, percent, width).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    the least doc_id; columns as they were.
+
+    Rows without a doc_id, and rows whose text is null, empty or without words, all stay;
+    a repeated row stays as often as it comes in; of a doc_id with several texts only the
+    rows go whose text is another document's near-duplicate; an empty table stays empty.
+    """
+    gone = cut(near_duplicates(docs, percent, width).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct())
     # few ids travel to the texts; many are met by dealing out both
     gone = F.broadcast(gone) if gone.count() <= FEW else gone
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_hash"]), "left_anti")

@@ -35,7 +35,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("text_hash")
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,3 +71,22 @@ def test_edges(spark):
     assert got == [(0, None, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 2, 0, True), (3, 3, 1, True)]
     kept = neardup.near_dedup(spark.createDataFrame([(1, "a b c d e f", "x", 1, "v"), (2, "A b c d e f", "x", 1, "v")], SCHEMA))
     assert kept.columns == ["doc_id", "text", "lang", "n", "value"] and [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_one_id_with_two_texts_and_two_ids_with_one(spark):
+    a, b, c = ("".join(f"{x}{k} " for k in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + "more"), (3, b + "more"), (5, a), (5, c), (6, b), (6, b), (7, c + "more")]
+    df = spark.createDataFrame([(d, t, None, d, "x") for d, t in rows], SCHEMA).repartition(4)
+    got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(df, 85).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (5, 1), (5, 5), (6, 1), (6, 1), (7, 5)]
+    kept = sorted((r.doc_id, r.text[:1]) for r in neardup.near_dedup(df, 85).collect())
+    assert kept == [(1, "a"), (1, "b"), (5, "c")]
+
+
+def test_hot_texts_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 3)
+    monkeypatch.setattr(neardup, "SHORT", 4)
+    rows = make(7, 4, 40)
+    df = spark.createDataFrame([(d, t, None, d, "x") for d, t in rows], SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 85).collect()}
+    assert got == brute(rows, 85)
