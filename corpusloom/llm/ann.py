@@ -5,6 +5,10 @@ indexed, as its cell and one byte per subspace of what is left after its centroi
 query looks at the cells of its nearest centroids, scores their codes by a table of
 its own inner products with the code words (the query itself isn't quantised), and
 the best by these scores are ranked by the exact measure on the original vectors.
+
+There are about as many cells as the root of the number of vectors. How many a query
+looks at is measured on the sample: so many that ``REACHED`` of the sample's own nearest
+pairs are met, few where vectors cluster and many where they don't.
 """
 
 from __future__ import annotations
@@ -19,13 +23,16 @@ from corpusloom.llm.blocks import by_task
 from corpusloom.llm.vectors import cosine, matrix, ranked, usable
 from corpusloom.sources.lineage import cut
 
-#: Vectors that the centroids and code books are fitted on, in expectation.
-SAMPLE = 16_000
-CELLS, PROBES, SUBSPACES, WORDS = 64, 48, 16, 256
+#: Vectors that the centroids and code books are fitted on, in expectation: so many, or so many for each cell.
+SAMPLE, PER_CELL = 16_000, 64
+#: Cells at most, subspaces and words of a code book.
+CELLS, SUBSPACES, WORDS = 1024, 16, 256
+#: The share of near pairs of the sample that a query's cells must reach, and the vectors it is measured on.
+REACHED, MEASURED = 0.96, 400
 #: Index rows and queries in one task's block.
 BLOCK, QUERIES = 16_384, 1024
 #: Candidates of a query kept from a block, and ranked exactly.
-PER_BLOCK, RERANK = 24, 128
+PER_BLOCK, RERANK = 48, 128
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -43,11 +50,28 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
 class Quantizer:
     """Centroids and code books for unit vectors of one dimension."""
 
-    def __init__(self, sample: np.ndarray):
-        self.centroids = kmeans(sample, CELLS)
-        rest = sample - self.centroids[self.cells(sample)]
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.centroids = kmeans(sample, cells)
+        own = self.cells(sample)
+        rest = sample - self.centroids[own]
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.books = [kmeans(rest[:, d], WORDS, 6) for d in self.cuts]
+        self.probed = self._measured(sample, own)
+
+    def _order(self, x: np.ndarray) -> np.ndarray:
+        """Cells of each vector, the nearest centroid first."""
+        c = self.centroids
+        return np.argsort((c * c).sum(1) - 2 * x @ c.T, axis=1, kind="stable")
+
+    def _measured(self, sample: np.ndarray, own: np.ndarray, k: int = 5) -> int:
+        """How many cells a vector must look at to reach its nearest ones of the sample."""
+        at = np.random.default_rng(11).permutation(len(sample))[:MEASURED]
+        cos = sample[at] @ sample.T
+        cos[np.arange(len(at)), at] = -2
+        near = np.argpartition(-cos, min(k, len(sample) - 1) - 1, axis=1)[:, :k] if len(sample) > 1 else np.zeros((1, 1), int)
+        place = np.argsort(self._order(sample[at]), axis=1)  # of each cell
+        reach = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+        return int(reach[min(len(reach) - 1, int(REACHED * len(reach)))]) + 1
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         c = self.centroids
@@ -58,30 +82,35 @@ class Quantizer:
         return np.stack([((b * b).sum(1) - 2 * rest[:, d] @ b.T).argmin(1) for d, b in zip(self.cuts, self.books, strict=True)], 1).astype(np.uint8)
 
     def probes(self, q: np.ndarray) -> np.ndarray:
-        c = self.centroids
-        return np.argsort((c * c).sum(1) - 2 * q @ c.T, axis=1, kind="stable")[:, :PROBES]
+        return self._order(q)[:, : self.probed]
+
+    def tables(self, q: np.ndarray) -> list[np.ndarray]:
+        """Of each query and subspace the inner products with all code words."""
+        return [q[:, d] @ b.T for d, b in zip(self.cuts, self.books, strict=True)]
 
-    def scores(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Inner products of queries with coded vectors of one cell."""
+    def scores(self, q: np.ndarray, tables: list[np.ndarray], cell: int, codes: np.ndarray) -> np.ndarray:
+        """Inner products of queries, given their tables, with coded vectors of one cell."""
         out = np.repeat((q @ self.centroids[cell])[:, None], len(codes), 1)
-        for k, (d, b) in enumerate(zip(self.cuts, self.books, strict=True)):
-            out += (q[:, d] @ b.T)[:, codes[:, k]]
+        for k, t in enumerate(tables):
+            out += np.take(t, codes[:, k], axis=1)
         return out
 
 
-def best(score: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k greatest, greatest first, ties to the earlier place."""
-    if len(score) > k:
-        at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-    else:
-        at = np.arange(len(score))
-    return at[np.argsort(-score[at], kind="stable")][:k]
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
 
+def _bins(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """For each cell its bin and the blocks of it: small cells share a bin of up to ``BLOCK`` rows, a large one has several blocks."""
+    out, bin_, room = {}, -1, 0
+    for cell, n in sorted(sizes.items()):
+        if n > room:
+            bin_, room = bin_ + 1, BLOCK
+        out[cell] = bin_, max(1, -(-n // BLOCK))
+        room -= n
+    return out
+
+
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest by cosine that the index finds for
     each row whose id is divisible by ``every``, its own row left out, ties to the smaller id.
@@ -98,9 +127,13 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = sizes[0]["dim"], sizes[0]["count"]
     rows = rows.where(F.size("v") == dim)
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("centroids")), F.lit(1 << 30)) < min(1.0, SAMPLE / n) * (1 << 30))
-    sample = np.array([r["v"] for r in drawn.orderBy("vec_id").select("v").collect()] or [r["v"] for r in rows.orderBy("vec_id").limit(1).select("v").collect()])
-    shared = spark.sparkContext.broadcast(Quantizer(_unit(sample)))
+    cells = min(CELLS, max(16, 1 << round(np.log2(n) / 2)))
+    share = min(1.0, max(SAMPLE, PER_CELL * cells) / n)
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("centroids")), F.lit(1 << 30)) < share * (1 << 30))
+    sample = matrix(drawn.orderBy("vec_id").select("v").toArrow().column(0))  # bounded, in expectation
+    if not len(sample):
+        sample = matrix(rows.orderBy("vec_id").limit(1).select("v").toArrow().column(0))
+    shared = spark.sparkContext.broadcast(Quantizer(_unit(sample), cells))
 
     def index(batches):
         for batch in batches:
@@ -110,41 +143,65 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 codes = shared.value.codes(x, cell)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "cell", "codes"])
 
+    coded = cut(rows.mapInArrow(index, "vec_id long, cell int, codes binary"))
+    bins = _bins({r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()})  # a row for each cell
+
     def probe(batches):
         for batch in batches:
             if len(batch):
-                cells = shared.value.probes(_unit(matrix(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cells), pa.list_(pa.int32()))], ["query_id", "v", "cells"])
+                found = []
+                for row in shared.value.probes(_unit(matrix(batch.column(1)))).tolist():
+                    by_bin: dict[int, list[int]] = {}
+                    for cell in row:
+                        if cell in bins:
+                            by_bin.setdefault(bins[cell][0], []).append(cell)
+                    found.append([{"bin": b, "cells": c} for b, c in by_bin.items()])
+                kind = pa.list_(pa.struct([("bin", pa.int32()), ("cells", pa.list_(pa.int32()))]))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], ["query_id", "v", "probed"])
 
-    coded = cut(rows.mapInArrow(index, "vec_id long, cell int, codes binary"))
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "v")
-    probed = cut(asked.mapInArrow(probe, "query_id long, v array<double>, cells array<int>").select("query_id", "v", F.explode("cells").alias("cell")))
-    # cells of any size: their rows and queries are dealt over blocks of bounded size
-    blocks = coded.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("xs")).join(probed.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qs")), "cell")
-    blocks = F.broadcast(cut(blocks))  # a row for each cell
+    probed = asked.mapInArrow(probe, "query_id long, v array<double>, probed array<struct<bin:int,cells:array<int>>>")
+    probed = cut(probed.select("query_id", "v", F.explode("probed").alias("p")).select("query_id", "v", "p.*"))
+    # bins of any size: their rows and queries are dealt over blocks of bounded size; a query goes to a block once
+    places = spark.createDataFrame([(c, b, x) for c, (b, x) in bins.items()], "cell int, bin int, xs int")
+    blocks = places.groupBy("bin").agg(F.max("xs").alias("xs")).join(probed.groupBy("bin").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qs")), "bin")
+    blocks = F.broadcast(cut(blocks))  # a row for each bin
     spread = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
-    x = coded.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("xs")).cast("int").alias("xb"), spread("qs").alias("qb"), "vec_id", "codes")
-    q = probed.join(blocks, "cell").select("cell", spread("xs").alias("xb"), F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int").alias("qb"), "query_id", "v")
+    x = coded.join(F.broadcast(places.drop("xs")), "cell").join(blocks, "bin").select("bin", F.pmod(F.xxhash64("vec_id"), F.col("xs")).cast("int").alias("xb"), spread("qs").alias("qb"), "vec_id", "cell", "codes")
+    q = probed.join(blocks, "bin").select("bin", spread("xs").alias("xb"), F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int").alias("qb"), "query_id", "v", "cells")
 
     def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(held):
-            held = held.sort_values("vec_id")
-            ids = held["vec_id"].to_numpy()
+            held, m = held.sort_values(["cell", "vec_id"]), shared.value
+            ids, cell = held["vec_id"].to_numpy(), held["cell"].to_numpy()
             codes = np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held), -1)
-            cell, names = int(held["cell"].iloc[0]), asked["query_id"].to_numpy()
+            names, probes = asked["query_id"].to_numpy(), asked["cells"].to_list()
             qs = _unit(np.stack(asked["v"].to_list()).astype(float))
+            there, first = np.unique(cell, return_index=True)
+            ends = np.append(first[1:], len(cell))
             for a in range(0, len(qs), 64):
+                part = qs[a : a + 64]
+                tables = m.tables(part)
+                s = np.full((len(part), len(ids)), -np.inf)
+                mine = np.zeros((len(part), len(there)), bool)
+                for i, p in enumerate(probes[a : a + 64]):
+                    mine[i, np.searchsorted(there, np.intersect1d(there, p))] = True
+                for j in np.flatnonzero(mine.any(0)):
+                    i = np.flatnonzero(mine[:, j])
+                    s[i, first[j] : ends[j]] = m.scores(part[i], [t[i] for t in tables], int(there[j]), codes[first[j] : ends[j]])
                 # equal codes must have equal scores for ties to go by id
-                for name, s in zip(names[a : a + 64], np.round(shared.value.scores(qs[a : a + 64], cell, codes), 12), strict=True):
-                    s[ids == name] = -np.inf
-                    at = best(s, PER_BLOCK)
-                    at = at[s[at] > -np.inf]
-                    out.append((np.full(len(at), name), ids[at], s[at]))
+                for name, row in zip(names[a : a + 64], np.round(s, 12), strict=True):
+                    row[ids == name] = -np.inf
+                    least = np.partition(row, len(row) - PER_BLOCK)[len(row) - PER_BLOCK] if len(row) > PER_BLOCK else -np.inf
+                    at = np.flatnonzero((row >= least) & (row > -np.inf))
+                    at = at[np.lexsort((ids[at], -row[at]))][:PER_BLOCK]
+                    out.append((np.full(len(at), name), ids[at], row[at]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
 
-    found = q.groupBy("cell", "xb", "qb").cogroup(x.groupBy("cell", "xb", "qb")).applyInPandas(search, "query_id long, vec_id long, score double")
+    key = ["bin", "xb", "qb"]
+    found = q.groupBy(*key).cogroup(x.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
     top = ranked(found, RERANK).select("query_id", "vec_id")
     exact = top.join(rows, "vec_id").join(asked.toDF("query_id", "qv"), "query_id").select("query_id", "vec_id", cosine(F.col("qv"), F.col("v")).alias("score"))
     return ranked(exact, k)

@@ -76,3 +76,23 @@ def test_ivf_pq_recall_and_ties(spark):
     few = ann.nearest(spark.createDataFrame([(0, [1.0, 2.0], "", 1), (3, [2.0, 1.0], "", 1)], SCHEMA)).collect()
     assert [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in few] == [(0, 1, 3, 0.8)]
     assert ann.nearest(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_clustered_vectors_need_few_cells(spark):
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(60, 24))
+    x = centres[r.integers(0, 60, 6000)] + 0.15 * r.normal(size=(6000, 24))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    m = ann.Quantizer(u, 64)
+    assert m.probed <= 12  # under a fifth of the table is scored
+    rows = [(i, [float(a) for a in v], "s", 1) for i, v in enumerate(x)]
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA).repartition(4), 5, 50).collect()
+    cos = u[::50] @ u.T
+    cos[np.arange(120), np.arange(0, 6000, 50)] = -2
+    want = {q * 50: set(np.argsort(-c)[:5].tolist()) for q, c in enumerate(cos)}
+    assert sum(g.vec_id in want[g.query_id] for g in got) / 600 >= 0.9
+
+
+def test_bins_hold_whole_small_cells(monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 10)
+    assert ann._bins({0: 4, 1: 6, 2: 1, 5: 25, 6: 3, 7: 8}) == {0: (0, 1), 1: (0, 1), 2: (1, 1), 5: (2, 3), 6: (3, 1), 7: (4, 1)}
