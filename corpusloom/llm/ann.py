@@ -28,11 +28,11 @@ SAMPLE, PER_CELL = 16_000, 64
 #: Cells at most, subspaces and words of a code book.
 CELLS, SUBSPACES, WORDS = 1024, 16, 256
 #: The share of near pairs of the sample that a query's cells must reach, and the vectors it is measured on.
-REACHED, MEASURED = 0.96, 400
+REACHED, MEASURED = 0.97, 400
 #: Index rows and queries in one task's block.
 BLOCK, QUERIES = 16_384, 1024
 #: Candidates of a query kept from a block, and ranked exactly.
-PER_BLOCK, RERANK = 48, 128
+PER_BLOCK, RERANK = 64, 256
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
