@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import word_count
+from corpusloom.functions.text import strip_frontmatter, word_count
 
 # Month names, and the shapes of dated names.
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
@@ -120,8 +120,8 @@ def passes(folder: Column, kind: Column, when: Column, in_folder: str | None = N
 
 
 def personal_flags(text: Column) -> Column:
-    """What kinds of personal content a text shows, in fixed order."""
-    low = F.lower(text)
+    """What kinds of personal content a text shows, its frontmatter aside, in fixed order."""
+    low = F.lower(strip_frontmatter(text))
 
     def hit(net: str, hints: tuple[str, ...]) -> Column:
         some = F.lit(False)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,13 +44,25 @@ def inverse(changes: DataFrame) -> DataFrame:
 
 
 def unique_names(moves: DataFrame, taken: DataFrame) -> DataFrame:
-    """``src, target`` with " 2", " 3" and so on where a target is wanted more than once or is taken."""
-    from pyspark.sql import Window
-
-    want = moves.unionByName(taken.select(F.lit(None).cast("string").alias("src"), "target"))
-    n = F.row_number().over(Window.partitionBy("target").orderBy(F.col("src").isNotNull(), "src"))
-    stem, ext = F.regexp_replace("target", r"(\.[^./]+)$", ""), F.regexp_extract("target", r"(\.[^./]+)$", 1)
-    return want.withColumn("n", n).where("src is not null").select("src", F.when(F.col("n") > 1, F.concat(stem, F.lit(" "), F.col("n").cast("string"), ext)).otherwise(F.col("target")).alias("target"))
+    """``src, target``: every target is free and given once.
+
+    A name that is wanted goes to its first source, unless it is taken; all others get
+    the name with " 2", " 3" and so on, whatever number is neither taken nor wanted as
+    such. Each source's number follows from its place among those that want the name and
+    from the numbers that are gone, so no name is tried after another.
+    """
+    stem, ext = (lambda c: F.regexp_replace(c, r"(\.[^./]+)$", "")), (lambda c: F.regexp_extract(c, r"(\.[^./]+)$", 1))
+    numbered = r"^([\s\S]*) ([1-9][0-9]{0,8})$"
+    gone = moves.select("target").unionByName(taken.select("target")).distinct().select(stem(F.col("target")).alias("s"), ext(F.col("target")).alias("e"))
+    gone = gone.where(F.col("s").rlike(numbered)).select(F.concat(F.regexp_extract("s", numbered, 1), "e").alias("target"), F.regexp_extract("s", numbered, 2).cast("long").alias("n"))
+    gone = gone.where("n > 1").groupBy("target").agg(F.array_sort(F.collect_list("n")).alias("gone"))
+    want = moves.select("src", "target").join(taken.select("target").distinct().withColumn("there", F.lit(1)), "target", "left")
+    place = F.row_number().over(Window.partitionBy("target").orderBy("src")) - F.when(F.col("there").isNull(), 1).otherwise(0)
+    want = want.withColumn("place", place).join(gone, "target", "left")
+    # the place-th number from 2 on that isn't gone: as many more as there are gone ones with fewer free ones before them
+    before = F.size(F.filter(F.transform(F.coalesce("gone", F.array().cast("array<long>")), lambda g, i: g - 2 - i), lambda free: free < F.col("place")))
+    name = F.concat(stem(F.col("target")), F.lit(" "), (F.col("place") + 1 + before).cast("string"), ext(F.col("target")))
+    return want.select("src", F.when(F.col("place") == 0, F.col("target")).otherwise(name).alias("target"))
 
 
 def union_tail(a: Column, b: Column, most: int = 60) -> Column:

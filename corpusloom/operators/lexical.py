@@ -82,7 +82,7 @@ def fuzzy(vocabulary: DataFrame, terms: DataFrame, share: float = 0.2) -> DataFr
     return near.where("distance <= d").select("query_id", "asked", "term", "distance")
 
 
-def prefixed(vocabulary: DataFrame, terms: DataFrame, least: int = 3) -> DataFrame:
+def prefixed(vocabulary: DataFrame, terms: DataFrame, least: int = 1) -> DataFrame:
     """``query_id, asked, term``: vocabulary that starts with an asked term, by equality of
     prefixes of the asked lengths."""
     asked = terms.select("query_id", F.col("term").alias("asked")).distinct().where(F.length("asked") >= least)

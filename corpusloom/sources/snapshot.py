@@ -4,41 +4,86 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import fnv1a
 
-VERSION = 1
-PARTS = 64
+VERSION = 2
+# Shards at least and at most, and the bytes that a shard should keep within.
+LEAST, MOST, BUDGET = 4, 1024, 3_000_000
+_MANIFEST = "version int, recipe string, parts int, name string, schema string, part int, run string, n long"
 
 
-def save(tables: dict[str, DataFrame], home: str, recipe: str, dirty: DataFrame | None = None, parts: int = PARTS) -> None:
-    """Writes each table (with a ``path`` column) by shard of its path.
+def estimated_bytes(text: Column) -> Column:
+    """What a chunk takes at most, roughly: 1.15 bytes a character and 80 more."""
+    return F.ceil(F.length(text) * 1.15) + 80
 
-    With ``dirty`` (``path``), only the shards of these paths are written anew, by dynamic
-    partition overwrite; the manifest names the run that all tables belong to.
+
+def shards_for(chunks: DataFrame, text: str = "text") -> int:
+    """How many shards: doubled from ``LEAST`` until each keeps within ``BUDGET``, or ``MOST``."""
+    part = F.pmod(fnv1a(F.col("path")), F.lit(MOST)).cast("int").alias("part")
+    sizes = {r["part"]: r["size"] for r in chunks.groupBy(part).agg(F.sum(estimated_bytes(F.col(text))).alias("size")).collect()}  # MOST rows at most
+    n = LEAST
+    while n < MOST and max((sum(s for p, s in sizes.items() if p % n == k) for k in range(n)), default=0) > BUDGET:
+        n *= 2
+    return n
+
+
+def _manifest(spark: SparkSession, home: str) -> list:
+    """A row for each shard of each table; none if there is no snapshot."""
+    try:
+        return spark.read.schema(_MANIFEST).parquet(f"{home}/manifest").collect()
+    except Exception as e:
+        if not any(x in str(e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER", "CANNOT_READ", "FAILED_READ_FILE", "does not exist")):
+            raise
+        return []
+
+
+def save(tables: dict[str, DataFrame], home: str, recipe: str, dirty: DataFrame | None = None, parts: int = 64) -> None:
+    """Writes each table (with a ``path`` column) by shard of its path, in a folder of this run.
+
+    With ``dirty`` (``path``), only the shards of these paths are written anew; the others
+    stay with the runs that wrote them, and a shard left without rows is dropped. The
+    manifest names each shard's run and rows and is written last, so a save that fails
+    leaves the snapshot as it was.
     """
-    spark = next(iter(tables.values())).sparkSession
+    spark, run = next(iter(tables.values())).sparkSession, uuid.uuid4().hex
+    before = [r for r in _manifest(spark, home) if r["version"] == VERSION and r["recipe"] == recipe and r["parts"] == parts] if dirty is not None else []
     part = F.pmod(fnv1a(F.col("path")), F.lit(parts)).cast("int")
-    only = dirty.select(part.alias("part")).distinct() if dirty is not None else None
+    # the first save of its kind has nothing that could stay
+    only = {r["part"] for r in dirty.select(part.alias("part")).distinct().collect()} if before else None  # as many as shards
+    kept = [tuple(r) for r in before if r["part"] not in only and r["name"] in tables]
     for name, df in tables.items():
         rows = df.withColumn("part", part)
         if only is not None:
-            rows = rows.join(F.broadcast(only), "part", "left_semi")  # as many rows as shards
-        rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if only is not None else "static").partitionBy("part").parquet(f"{home}/{name}")
-    counts = [(VERSION, recipe, parts, name, uuid.uuid4().hex, spark.read.parquet(f"{home}/{name}").count()) for name in tables]
-    spark.createDataFrame(counts, "version int, recipe string, parts int, name string, run string, n long").coalesce(1).write.mode("overwrite").parquet(f"{home}/manifest")
+            rows = rows.where(F.col("part").isin(*only) if only else F.lit(False))
+        rows.repartition("part").write.partitionBy("part").parquet(f"{home}/{name}/run={run}")
+        there = spark.read.schema(rows.schema).parquet(f"{home}/{name}/run={run}").groupBy("part").count().collect()
+        kept += [(VERSION, recipe, parts, name, df.schema.json(), r["part"], run, r["count"]) for r in there] or [(VERSION, recipe, parts, name, df.schema.json(), -1, run, 0)] * (only is None)
+    spark.createDataFrame(kept, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{home}/manifest")
 
 
 def load(spark: SparkSession, home: str, recipe: str) -> dict[str, DataFrame] | None:
     """The tables, or nothing if there is no snapshot, or one of another version or recipe, or with rows missing."""
-    try:
-        manifest = spark.read.parquet(f"{home}/manifest").collect()  # a row for each table
-        out = {r["name"]: spark.read.parquet(f"{home}/{r['name']}") for r in manifest}
-        fits = all(r["version"] == VERSION and r["recipe"] == recipe and out[r["name"]].count() == r["n"] for r in manifest)
-    except Exception as e:
-        if not any(x in str(e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER", "CANNOT_READ", "FAILED_READ_FILE", "does not exist")):
-            raise
+    import json
+
+    from pyspark.sql.types import StructType
+
+    manifest = _manifest(spark, home)
+    if not manifest or any(r["version"] != VERSION or r["recipe"] != recipe for r in manifest):
         return None
-    return out if manifest and fits else None
+    out = {}
+    for name in sorted({r["name"] for r in manifest}):
+        mine = [r for r in manifest if r["name"] == name]
+        schema = StructType.fromJson(json.loads(mine[0]["schema"]))
+        paths = [f"{home}/{name}/run={r['run']}/part={r['part']}" for r in mine if r["n"]]
+        try:
+            out[name] = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+            if out[name].count() != sum(r["n"] for r in mine):
+                return None
+        except Exception as e:
+            if not any(x in str(e) for x in ("PATH_NOT_FOUND", "CANNOT_READ", "FAILED_READ_FILE", "does not exist")):
+                raise
+            return None
+    return out

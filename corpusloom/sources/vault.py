@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +14,20 @@ _BLOCK = r"^---\r?\n([\s\S]*?)\r?\n---(?:\r?\n|$)"
 
 
 def frontmatter(text: Column) -> Column:
-    """Key lines of the leading block as a map; lists stay as written; no block, no keys.
-
-    A repeated key counts as its last value. Lines that aren't key lines are passed over,
-    so a malformed block never fails."""
-    lines = F.filter(F.split(F.regexp_extract(text, _BLOCK, 1), r"\r?\n"), lambda x: x.rlike(r"^[A-Za-z_][\w -]*:"))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^:]*:", "")), r"^[\"'](.*)[\"']$", "$1").alias("v")))
+    """Key lines of the leading block as a map; no block, no keys.
+
+    An inline list stays as written, and a list with an item a line, under a key without a
+    value, reads as one. A repeated key counts as its last value. Other lines are passed
+    over, so a malformed block never fails."""
+    block = F.regexp_extract(text, _BLOCK, 1)
+    # items under a key go to the key's line
+    inline = F.regexp_replace(F.regexp_replace(block, r"\r\n", "\n"), r"(?m)^([A-Za-z_][\w -]*:)[ \t]*\n(?=[ \t]*-[ \t])", "$1 \u0001")
+    inline = F.regexp_replace(inline, r"\n[ \t]*-[ \t]+", "\u0001")
+    lines = F.filter(F.split(inline, "\n"), lambda x: x.rlike(r"^[A-Za-z_][\w -]*:"))
+    items = lambda v: F.filter(F.transform(F.split(v, "\u0001"), lambda i: F.trim(F.regexp_replace(i, r"^[ \t]*-[ \t]+", ""))), lambda i: i != "")
+    plain = lambda v: F.regexp_replace(F.trim(v), r"^[\"'](.*)[\"']$", "$1")
+    value = lambda x: F.regexp_replace(x, r"^[^:]*:", "")
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.when(value(x).contains("\u0001"), F.concat(F.lit("["), F.array_join(items(value(x)), ", "), F.lit("]"))).otherwise(plain(value(x))).alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q.k == p.k))
     return F.map_from_entries(last)
 
@@ -39,9 +49,10 @@ def scan_vault(spark: SparkSession, root: str, folders: list[str] | None = None,
     """``path, title, folder, mtime, content, fm, link_count`` of all notes under a folder.
 
     Excluded folders and patterns, and anything under a dotted folder, are as if absent."""
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
-    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), rf"^.*?{base}/", ""))
+    raw = spark.read.text(re.sub(r"([\[\]{}*?])", r"\\\1", root), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
+    base = "/" + root.rstrip("/").split(":", 1)[-1].strip("/") + "/"
+    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.substring(full, F.instr(full, base) + len(base), F.length(full))
     rows = raw.select(path.alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("value").alias("content"))
     rows = rows.where(~P.excluded(F.col("path"), folders or [], patterns) & ~F.col("path").rlike(r"(^|/)\."))
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")

@@ -60,13 +60,27 @@ def test_chunks():
     long = "word " * 300
     assert all(len(t) <= 400 for *_, t in C.chunk(long, "t", 400))
     assert C.chunk("```\n# no\n```\nx", "t")[0][1:] == (None, "```\n# no\n```\nx")
-    assert C.chunk("# only", "t") == [(0, None, "t")] and C.chunk("", "t") == [(0, None, "t")]
+    assert C.chunk("# only\n## two", "t") == [(0, "only", "t\nonly\ntwo")] and C.chunk("", "t") == [(0, None, "t")] and C.chunk("", "") == []
+    assert C.headings_of("---\na: b\n---\n# A #\n```\n# no\n```\n## B") == ["A", "B"]
     assert "quote" in C.chunk("---\na quote\n---\nx", "t")[0][2] and "key" not in C.chunk("---\nkey: v\n---\nx", "t")[0][2]
     assert len(C.chunk("\n".join(["| a | b |"] * 140), "t")) == 1
     text = "\n\n".join(" ".join(f"w{i}x{j}" for j in range(i)) for i in range(60))
     assert "".join("".join(t for *_, t in C.chunk(text, "t")).split()) == "".join(text.split())
 
 
+def test_hard_split():
+    assert C.hard_split("aa bb cc", 5) == ["aa bb", "cc"] and C.hard_split("abcdefgh", 3) == ["abc", "def", "gh"]
+    assert C.hard_split("  ", 3) == [] and C.hard_split("ab  cd ", 3) == ["ab", "cd"] and C.hard_split("aaaa b", 3) == ["aaa", "a b"]
+    r = random.Random(9)
+    for _ in range(300):
+        text = "".join(r.choice("ab  c") for _ in range(r.randrange(60)))
+        got, rest = C.hard_split(text, 7), text.strip()
+        for g in got:
+            assert 0 < len(g) <= 7 and rest.startswith(g)
+            rest = rest[len(g) :].strip()
+        assert rest == ""
+
+
 def one(spark, *cols):
     return spark.range(1).select(*cols).first()
 

@@ -34,6 +34,27 @@ def test_snapshot(spark, tmp_path):
     assert {r.path: r.n for r in snapshot.load(spark, home, "r1")["notes"].collect()} == {"a.md": 5, "b.md": 2}
 
 
+def test_vault_root_is_no_pattern_and_block_lists_are_read(spark, tmp_path):
+    root = tmp_path / "my (old) vault+1 [x]"
+    os.makedirs(root / "f g")
+    (root / "f g" / "N.md").write_text("---\ntags:\n  - one\n  - two words\naliases: [A, B]\nempty:\ntitle: 'T: x'\n---\nbody\n- item")
+    r = vault.scan_vault(spark, str(root)).first()
+    assert r.path == "f g/N.md" and r.fm == {"tags": "[one, two words]", "aliases": "[A, B]", "empty": "", "title": "T: x"}
+
+
+def test_snapshot_drops_what_is_deleted(spark, tmp_path):
+    home = str(tmp_path / "s")
+    notes = spark.createDataFrame([(f"{k}.md", k) for k in range(30)], "path string, n int")
+    empty = notes.where("false")
+    snapshot.save({"notes": notes, "none": empty}, home, "r1")
+    assert snapshot.load(spark, home, "r1")["none"].count() == 0
+    fewer = notes.where("n not in (3, 7)")
+    snapshot.save({"notes": fewer, "none": empty}, home, "r1", dirty=spark.createDataFrame([("3.md",), ("7.md",)], "path string"))
+    assert sorted(r.n for r in snapshot.load(spark, home, "r1")["notes"].collect()) == [k for k in range(30) if k not in (3, 7)]
+    assert snapshot.load(spark, home, "r1")["notes"].columns == ["path", "n"]
+    assert snapshot.shards_for(spark.createDataFrame([(f"{k}.md", "x" * 100_000) for k in range(200)], "path string, text string")) > 4
+
+
 def test_assessments(spark):
     stays = spark.createDataFrame([
         ("Hotel Aurora", "2026-05-01", "2026-05-04", "Aurora", "2026-05-02", "2026-05-03"),
@@ -91,3 +112,6 @@ def test_changes(spark):
     moves = spark.createDataFrame([("1", "x/a.png"), ("2", "x/a.png"), ("3", "y/b")], "src string, target string")
     got = {r.src: r.target for r in X.unique_names(moves, spark.createDataFrame([("x/a.png",)], "target string")).collect()}
     assert got == {"1": "x/a 2.png", "2": "x/a 3.png", "3": "y/b"}
+    moves = spark.createDataFrame([("1", "a"), ("2", "a"), ("3", "a 2"), ("4", "a 2"), ("5", "a"), ("6", "a"), ("7", "b.md")], "src string, target string")
+    got = {r.src: r.target for r in X.unique_names(moves, spark.createDataFrame([("a 4",), ("b.md",), ("b 2.md",), ("b 3.md",)], "target string")).collect()}
+    assert got == {"1": "a", "2": "a 3", "3": "a 2", "4": "a 2 2", "5": "a 5", "6": "a 6", "7": "b 4.md"}
