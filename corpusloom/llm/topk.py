@@ -29,6 +29,8 @@ LEVELS = (4, 16)
 AT_ONCE, PART = 128, 1024
 #: Whole numbers up to here are exact as doubles.
 EXACT = float(1 << 53)
+#: Under every score.
+LEAST = -(1 << 63)
 
 
 def summary(x: np.ndarray, segments: int) -> np.ndarray:
@@ -75,13 +77,17 @@ def search(q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int) -> tuple[list[
             computed += int(alive.sum())
             if not alive.any():
                 continue
-            i, j = np.nonzero(alive)
-            if not small:
-                got = (whole @ x[b : b + PART].T)[i, j]
-            elif len(i) > alive.size / 20:  # gathering so many rows costs more than a product of matrices
-                got = (part @ xf[b : b + PART].T)[i, j].astype(np.int64)
-            else:
-                got = np.einsum("pd,pd->p", part[i], xf[b + j]).astype(np.int64)
+            if small and alive.mean() <= 0.05:
+                i, j = np.nonzero(alive)
+                got = np.einsum("pd,pd->p", part[i], xf[b + j])
+            else:  # gathering so many rows costs more than a product of matrices
+                every = part @ xf[b : b + PART].T if small else whole @ x[b : b + PART].T
+                every[~alive] = LEAST
+                # of each row the k best of the part, with all their ties
+                least_here = np.partition(every, -k, axis=1)[:, -k, None] if every.shape[1] > k else LEAST
+                i, j = np.nonzero(alive & (every >= least_here) & (every >= least))
+                got = every[i, j]
+            got = got.astype(np.int64)
             score, at = _merged(score, at, i, got, place[b + j], k)
             if score.shape[1] == k:
                 low = score[:, -1:].astype(float)
