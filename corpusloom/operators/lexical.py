@@ -89,3 +89,10 @@ def prefixed(vocabulary: DataFrame, terms: DataFrame, least: int = 1) -> DataFra
     lengths = asked.select(F.length("asked").alias("n")).distinct()  # as many as asked lengths
     heads = vocabulary.select("term").distinct().join(F.broadcast(lengths), F.length("term") >= F.col("n")).select("term", F.substring(F.col("term"), F.lit(1), F.col("n")).alias("asked"))
     return heads.join(asked, "asked").select("query_id", "asked", "term")
+
+
+def expanded(index: DataFrame, terms: DataFrame, share: float = 0.2) -> DataFrame:
+    """``query_id, asked, term``: each asked term, the vocabulary it is a prefix of, and that within an edit distance of ``share`` of it."""
+    words = index.select("term").distinct()
+    exact = terms.select("query_id", F.col("term").alias("asked"), "term")
+    return exact.unionByName(prefixed(words, terms)).unionByName(fuzzy(words, terms, share).drop("distance")).distinct()

@@ -35,42 +35,87 @@ def _blocks(df: DataFrame, salt: int) -> tuple[DataFrame, int]:
     return df.withColumn("_b", F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")), n
 
 
-def cosines(queries: DataFrame, rows: DataFrame, floor: float, k: int | None = None, below: bool = False) -> DataFrame:
-    """``query_id, id, cosine`` for pairs of ``queries`` and ``rows`` (``id, v``) at or over a floor.
-
-    Every block of queries meets every block of rows in one task, as a product of two
-    matrices; with ``k`` only each query's k best of a block leave it. ``below`` keeps the
-    pairs with query_id < id, for self-joins; a vector never meets its own id. Cosines are
-    rounded to 6 digits. All vectors must have one length; null vectors are left out.
-    """
-    q, nq = _blocks(queries.where("v is not null").select("id", "v"), 1)
-    x, nx = _blocks(rows.where("v is not null").select("id", "v"), 2)
-    q = q.select(F.col("_b").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("xb"), F.col("id").alias("query_id"), F.col("v").alias("qv"))
-    x = x.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.col("_b").alias("xb"), F.col("id").alias("row_id"), F.col("v").alias("xv"))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+def _by_blocks(queries: DataFrame, rows: DataFrame, run, schema: str, *more: str) -> DataFrame:
+    """Every block of queries meets every block of rows in one task. ``run`` gets, some queries at
+    a time, their ids, the ids of the block's rows in order, the cosines (rounded to 6 digits; -2
+    for a vector and itself) and the columns ``more`` of either side, and gives columns."""
+    q, nq = _blocks(queries.where("v is not null").select("id", "v", *more), 1)
+    x, nx = _blocks(rows.where("v is not null").select("id", "v", *more), 2)
+    q = q.select(F.col("_b").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("xb"), F.struct("id", "v", *more).alias("q"))
+    x = x.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.col("_b").alias("xb"), F.struct("id", "v", *more).alias("x"))
+    q, x = q.select("qb", "xb", "q.*"), x.select("qb", "xb", "x.*")
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
         if len(left) and len(right):
-            right = right.sort_values("row_id")
-            a, b = (np.stack(d.to_list()).astype(float) for d in (left["qv"], right["xv"]))
+            right = right.sort_values("id")
+            a, b = (np.stack(d.to_list()).astype(float) for d in (left["v"], right["v"]))
             if a.shape[1] != b.shape[1]:
                 raise ValueError(f"vectors of {a.shape[1]} and {b.shape[1]} numbers")
             a, b = (m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300) for m in (a, b))
-            names, ids = left["query_id"].to_numpy(np.int64), right["row_id"].to_numpy(np.int64)
+            qid, ids = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
             for s in range(0, len(a), 256):
                 cos = np.round(a[s : s + 256] @ b.T, 6)
-                cos[names[s : s + 256, None] == ids] = -2
-                if below:
-                    cos[names[s : s + 256, None] > ids] = -2
-                for name, c in zip(names[s : s + 256], cos, strict=True):
-                    at = np.flatnonzero(c >= max(floor, -1))
-                    if k is not None and len(at) > k:
-                        at = at[np.argsort(-c[at], kind="stable")[:k]]
-                    out.append((np.full(len(at), name), ids[at], c[at]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pd.DataFrame(dict(zip(("query_id", "id", "cosine"), cols, strict=True)))
-
-    return q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInPandas(run, "query_id long, id long, cosine double")
+                cos[qid[s : s + 256, None] == ids] = -2
+                out.append(run(qid[s : s + 256], ids, cos, *(d for c in more for d in (left[c].to_numpy()[s : s + 256], right[c].to_numpy()))))
+        return pd.DataFrame({n: np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k, n in enumerate(names)})
+
+    return q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInPandas(task, schema)
+
+
+def cosines(queries: DataFrame, rows: DataFrame, floor: float, k: int | None = None, below: bool = False) -> DataFrame:
+    """``query_id, id, cosine`` for pairs of ``queries`` and ``rows`` (``id, v``) at or over a floor.
+
+    A block of each is a product of two matrices in one task; with ``k`` only each query's
+    k best of a block leave it. ``below`` keeps the pairs with query_id < id, for self-joins;
+    a vector never meets its own id. Cosines are rounded to 6 digits. All vectors must have
+    one length; null vectors are left out.
+    """
+
+    def run(names, ids, cos):
+        if below:
+            cos[names[:, None] > ids] = -2
+        if k is not None and cos.shape[1] > k:
+            # the k best and all their ties, of which the smallest ids stay
+            least = np.partition(cos, -k, axis=1)[:, -k, None]
+            i, j = np.nonzero((cos >= least) & (cos >= max(floor, -1)))
+            order = np.lexsort((j, -cos[i, j], i))
+            i, j = i[order], j[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            i, j = i[first], j[first]
+        else:
+            i, j = np.nonzero(cos >= max(floor, -1))
+        return names[i], ids[j], cos[i, j]
+
+    return _by_blocks(queries, rows, run, "query_id long, id long, cosine double")
+
+
+def best_by_group(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """``query_id, grp, cosine``: each query's best cosine in every group (``id, v, grp``); a row for a
+    query and group leaves each block, not one for each pair."""
+
+    def run(names, ids, cos, _, groups):
+        order = np.argsort(groups, kind="stable")
+        kinds, first = np.unique(groups[order], return_index=True)
+        best = np.maximum.reduceat(cos[:, order], first, axis=1)
+        i, j = np.nonzero(best >= -1)
+        return names[i], kinds[j].astype(np.int64), best[i, j]
+
+    found = _by_blocks(queries, rows, run, "query_id long, grp long, cosine double", "grp")
+    return found.groupBy("query_id", "grp").agg(F.max("cosine").alias("cosine"))
+
+
+def cosine_counts(rows: DataFrame) -> DataFrame:
+    """``cosine, n``: how many pairs of rows (``id, v``) have each cosine, rounded to 6 digits; at
+    most two million values, counted within the tasks."""
+
+    def run(names, ids, cos):
+        value, n = np.unique(cos[(names[:, None] < ids) & (cos >= -1)], return_counts=True)
+        return value, n
+
+    found = _by_blocks(rows, rows, run, "cosine double, n long")
+    return found.groupBy("cosine").agg(F.sum("n").alias("n"))
 
 
 def top(pairs: DataFrame, k: int, score: str = "cosine") -> DataFrame:

@@ -11,6 +11,7 @@ from corpusloom.operators import lexical as L
 from corpusloom.operators import ranking as R
 from corpusloom.operators import similarity as S
 from corpusloom.plans.notes import notes
+from corpusloom.sources.lineage import cut
 from corpusloom.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -61,29 +62,20 @@ def lex_bm25_or(spark, sf_dir):
     return L.search(table(spark, sf_dir, "documents"), {"text": 1.0}, _asked(spark, sf_dir), 50)
 
 
-_TWO = "a2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(term), term) AS k FROM a) WHERE k <= 2)"
+_NEEDED = "n AS (SELECT query_id, count(DISTINCT asked) AS needed FROM a GROUP BY 1)"
 
 
-def _two(spark, sf_dir):
-    """The two shortest context terms of an item."""
-    from pyspark.sql import Window
-
-    k = F.row_number().over(Window.partitionBy("query_id").orderBy(F.length("term"), "term"))
-    return _asked(spark, sf_dir).withColumn("k", k).where("k <= 2").drop("k")
-
-
-@query(rf"""WITH {_POST}, {_ASKED.replace('a AS (SELECT item_id', 'a0 AS (SELECT item_id')}, {_TWO.replace('FROM a)', 'FROM a0)')}, a AS (SELECT query_id, term, asked FROM a2), {_BM}
-SELECT query_id, id, score, k - 1 AS rank FROM (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM sc JOIN (SELECT query_id, count(DISTINCT asked) AS needed FROM a GROUP BY 1) n USING (query_id) WHERE met = needed) WHERE k <= 50""")
+@query(rf"""WITH {_POST}, {_ASKED}, {_BM}, {_NEEDED}
+SELECT query_id, id, score, k - 1 AS rank FROM (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM sc JOIN n USING (query_id) WHERE met = needed) WHERE k <= 50""")
 def lex_bm25_and(spark, sf_dir):
-    return L.search(table(spark, sf_dir, "documents"), {"text": 1.0}, _two(spark, sf_dir), 50, every=True)
+    """All context terms of an item must be met."""
+    return L.search(table(spark, sf_dir, "documents"), {"text": 1.0}, _asked(spark, sf_dir), 50, every=True)
 
 
 def lex_bm25_expanded(spark, sf_dir):
     """All terms met, each exactly, as a prefix or within the edit distance."""
-    index, terms = _index(spark, sf_dir), _two(spark, sf_dir)
-    words = index.select("term").distinct()
-    wide = L.prefixed(words, terms).unionByName(L.fuzzy(words, terms).drop("distance")).unionByName(terms.withColumn("asked", F.col("term")))
-    return L.bm25(index, wide, 50, every=True)
+    index, terms = _index(spark, sf_dir), _asked(spark, sf_dir)
+    return L.bm25(index, L.expanded(index, terms), 50, every=True)
 
 
 QUERIES["lex_bm25_expanded"] = lex_bm25_expanded
@@ -102,20 +94,28 @@ def lex_prefix_vocab(spark, sf_dir):
     return L.prefixed(_index(spark, sf_dir), _asked(spark, sf_dir))
 
 
-def _fields(title, text):
-    return rf"""f AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(substr(text, 1, 60)), '[\p{{L}}\p{{N}}]+')) AS term, {title} AS w FROM documents UNION ALL
-SELECT doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 60000)), '[\p{{L}}\p{{N}}]+')), {text} FROM documents),
-p AS (SELECT id, term, sum(w) AS tf FROM f GROUP BY 1, 2), pl AS (SELECT *, sum(tf) OVER (PARTITION BY id) AS len FROM p), st AS (SELECT count(*) AS docs, avg(len) AS mean FROM (SELECT DISTINCT id, len FROM pl))"""
+_WIDE = "w AS (SELECT DISTINCT query_id, v.term, asked FROM (SELECT DISTINCT query_id, asked FROM a0) a0 JOIN (SELECT DISTINCT term FROM pl) v ON starts_with(v.term, asked)), a AS (SELECT * FROM w)"
+
+
+@query(rf"""WITH {_POST}, {_ASKED.replace('a AS (SELECT item_id', 'a0 AS (SELECT item_id')}, {_WIDE}, {_BM}, n AS (SELECT query_id, count(DISTINCT asked) AS needed FROM a0 GROUP BY 1)
+SELECT query_id, id, score, k - 1 AS rank FROM (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM sc JOIN n USING (query_id) WHERE met = needed) WHERE k <= 50""")
+def lex_prefix_and(spark, sf_dir):
+    """All terms met, each exactly or as a prefix."""
+    index, terms = _index(spark, sf_dir), _asked(spark, sf_dir)
+    return L.bm25(index, L.prefixed(index, terms), 50, every=True)
 
 
-@query(rf"""WITH {_fields('3.0::DOUBLE', '1.0::DOUBLE')}, {_ASKED}, {_BM}
-SELECT query_id, id, score, k - 1 AS rank FROM (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM sc WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)) WHERE k <= 25""")
 def lex_gateway(spark, sf_dir):
-    """An index of whole notes, titles counting three times; sealed notes never show."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.substring("text", 1, 60_000).alias("text"))
-    sealed = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    hits = L.search(d, {"title": 3.0, "text": 1.0}, _asked(spark, sf_dir), 1 << 30).join(sealed, "id", "left_anti")
-    return S.top(hits.drop("rank"), 25, "score").select("query_id", "id", "score", "rank")
+    """An index of whole notes, titles counting three times: all terms met, each exactly, as a
+    prefix or within an edit distance of 0.15 of its length; sealed notes never show. No SQL
+    twin: DuckDB's edit distance counts bytes. A test compares with brute force."""
+    sealed = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    d = table(spark, sf_dir, "documents").join(sealed, "doc_id", "left_anti").select("doc_id", F.substring("text", 1, 60).alias("title"), "text")
+    index = cut(L.postings(d, {"title": 3.0, "text": 1.0}))
+    return L.bm25(index, L.expanded(index, _asked(spark, sf_dir), 0.15), 25, every=True)
+
+
+QUERIES["lex_gateway"] = lex_gateway
 
 
 @query(r"""WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), c AS (SELECT id, w, count(*) AS n FROM t GROUP BY 1, 2),
@@ -148,10 +148,10 @@ def vec_quantize(spark, sf_dir):
 
 def _near(spark, sf_dir, floor=-1.0, k=None):
     v = _vectors(spark, sf_dir)
-    return S.cosines(v.where("id % 50 = 0"), v, floor, k)
+    return S.cosines(v.where("id % 20 = 0"), v, floor, k)
 
 
-_PAIRS = f"{_V}, c AS (SELECT a.id AS query_id, b.id, b.label, {_COS} AS cosine FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0)"
+_PAIRS = f"{_V}, c AS (SELECT a.id AS query_id, b.id, b.label, {_COS} AS cosine FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0)"
 
 
 @query(f"WITH {_PAIRS} SELECT query_id, id, cosine, k - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS k FROM c WHERE cosine >= 0.1) WHERE k <= 10")
@@ -168,8 +168,8 @@ def vec_floor_join(spark, sf_dir):
 @query(f"WITH {_PAIRS} SELECT query_id, label, max(cosine) AS cosine FROM c GROUP BY 1, 2")
 def vec_max_per_note(spark, sf_dir):
     """The best cosine of each query with every note (label), whose chunks the vectors are."""
-    label = _vectors(spark, sf_dir).select("id", "label")
-    return _near(spark, sf_dir).join(label, "id").groupBy("query_id", "label").agg(F.max("cosine").alias("cosine"))
+    v = _vectors(spark, sf_dir).withColumnRenamed("label", "grp")
+    return S.best_by_group(v.where("id % 20 = 0"), v).withColumnRenamed("grp", "label")
 
 
 _CAL = f"CASE WHEN cosine <= {R.KNOTS[0][0]} THEN cosine + ({R.KNOTS[0][1]} - {R.KNOTS[0][0]}) " + f"WHEN cosine >= {R.KNOTS[-1][0]} THEN least(1, cosine + ({R.KNOTS[-1][1]} - {R.KNOTS[-1][0]})) " + " ".join(f"WHEN cosine <= {b} THEN {c} + (cosine - {a}) / ({b} - {a})::DOUBLE * ({d} - {c})" for (a, c), (b, d) in zip(R.KNOTS, R.KNOTS[1:], strict=False)) + " END"
@@ -185,33 +185,41 @@ def vec_near_dup(spark, sf_dir):
     return S.top(_near(spark, sf_dir, -1.0, 3), 3).where("cosine >= 0.35").select("query_id", "id", "cosine")
 
 
-@query(f"""WITH {_PAIRS}, q AS (SELECT quantile_cont(cosine, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q FROM c) SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS p, round(unnest(q), 6) AS cosine FROM q""")
+@query(f"""WITH {_V}, c AS (SELECT {_COS} AS cosine FROM v a JOIN v b ON a.id < b.id), q AS (SELECT quantile_cont(cosine, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q FROM c) SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS p, round(unnest(q), 6) AS cosine FROM q""")
 def vec_quantiles(spark, sf_dir):
-    """Exact quantiles of the cosines of a stated query set with all vectors."""
+    """Exact quantiles of the cosines of all pairs of vectors."""
     ps = (0.05, 0.25, 0.5, 0.75, 0.95)
-    q = _near(spark, sf_dir).agg(F.percentile("cosine", F.array(*map(F.lit, ps))).alias("q"))
+    q = S.cosine_counts(_vectors(spark, sf_dir)).agg(F.percentile("cosine", F.array(*map(F.lit, ps)), F.col("n")).alias("q"))
     return q.select(F.posexplode("q").alias("i", "c")).select(F.element_at(F.array(*map(F.lit, ps)), F.col("i") + 1).alias("p"), F.round("c", 6).alias("cosine"))
 
 
-@query(f"""WITH {_PAIRS}, x AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS k FROM c),
-y AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id % 97, id) AS k FROM c), u AS (SELECT * FROM x WHERE k <= 20 UNION ALL SELECT * FROM y WHERE k <= 20)
+_LEG = f"{_PAIRS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS leg FROM c) WHERE leg <= 100)"
+
+
+def _leg(spark, sf_dir):
+    """The hundred candidates of a leg."""
+    return S.top(_near(spark, sf_dir, -1.0, 100), 100).drop("rank")
+
+
+@query(f"""WITH {_LEG}, x AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS k FROM l),
+y AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id % 97, id) AS k FROM l), u AS (SELECT * FROM x WHERE k <= 20 UNION ALL SELECT * FROM y WHERE k <= 20)
 SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + k)), 9) AS fused FROM u GROUP BY 1, 2""")
 def fuse_rrf(spark, sf_dir):
-    c = _near(spark, sf_dir)
+    c = _leg(spark, sf_dir)
     x = S.top(c, 20).select(F.lit(0).alias("list_id"), "query_id", "id", "rank")
     y = S.top(c.withColumn("s", -(F.col("id") % 97)), 20, "s").select(F.lit(1).alias("list_id"), "query_id", "id", "rank")
     return R.rrf(x.unionByName(y), by=("query_id",)).select("query_id", "id", F.round("fused", 9).alias("fused"))
 
 
-@query(f"WITH {_PAIRS} SELECT query_id, label, id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY cosine DESC, id) AS k FROM c) WHERE k = 1")
+@query(f"WITH {_LEG} SELECT query_id, label, id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY cosine DESC, id) AS k FROM l) WHERE k = 1")
 def fuse_collapse(spark, sf_dir):
-    c = _near(spark, sf_dir).join(_vectors(spark, sf_dir).select("id", "label"), "id")
+    c = _leg(spark, sf_dir).join(_vectors(spark, sf_dir).select("id", "label"), "id")
     return R.collapse(c, "label", "cosine", by=("query_id",)).select("query_id", "label", "id", "cosine")
 
 
-@query(f"WITH {_PAIRS} SELECT query_id, id, k - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (label % 2 = 0)::INT, cosine DESC, id) AS k FROM c) WHERE k <= 20")
+@query(f"WITH {_LEG} SELECT query_id, id, k - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (label % 2 = 0)::INT, cosine DESC, id) AS k FROM l) WHERE k <= 20")
 def fuse_sink(spark, sf_dir):
-    c = _near(spark, sf_dir).join(_vectors(spark, sf_dir).select("id", "label"), "id")
+    c = _leg(spark, sf_dir).join(_vectors(spark, sf_dir).select("id", "label"), "id")
     return R.sunk(c, F.col("label") % 2 == 0, "cosine", "id", 20, ("query_id",)).select("query_id", "id", "rank")
 
 
@@ -282,14 +290,14 @@ def search_scoped(spark, sf_dir):
     return hybrid(spark, sf_dir, P.passes(F.col("folder"), F.col("type"), F.col("mtime"), "SRC1", "en", "2024-01-02"))
 
 
-@query(f"""WITH {_V}, c AS (SELECT a.label AS note, b.label AS other, b.id, max({_COS}) AS cosine FROM v a JOIN v b ON a.label <> b.label WHERE a.id % 50 = 0 GROUP BY 1, 2, 3),
-n AS (SELECT note, other, max(cosine) AS cosine FROM c GROUP BY 1, 2) SELECT note, other, cosine, row_number() OVER (PARTITION BY note ORDER BY (other % 2)::INT, cosine DESC, other) - 1 AS rank FROM n""")
+@query(f"""WITH {_V}, n AS (SELECT a.label AS note, b.label AS other, max({_COS}) AS cosine FROM v a JOIN v b ON a.label <> b.label GROUP BY 1, 2)
+SELECT note, other, cosine, k - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY note ORDER BY (other % 2)::INT, cosine DESC, other) AS k FROM n) WHERE k <= 8""")
 def search_related_path(spark, sf_dir):
-    """Notes near each note by the best cosine of any two of their chunks; odd ones sink."""
-    label = _vectors(spark, sf_dir).select("id", "label")
-    pairs = _near(spark, sf_dir).join(label.toDF("query_id", "note"), "query_id").join(label.toDF("id", "other"), "id").where("note <> other")
-    best = pairs.groupBy("note", "other").agg(F.max("cosine").alias("cosine"))
-    return R.sunk(best, F.col("other") % 2, "cosine", "other", 1 << 30, ("note",)).select("note", "other", "cosine", "rank")
+    """The eight notes nearest each note by the best cosine of any two of their chunks; odd ones sink."""
+    v = _vectors(spark, sf_dir).withColumnRenamed("label", "grp")
+    best = S.best_by_group(v, v).join(v.select(F.col("id").alias("query_id"), F.col("grp").alias("note")), "query_id").where("note <> grp")
+    best = best.groupBy("note", F.col("grp").alias("other")).agg(F.max("cosine").alias("cosine"))
+    return R.sunk(best, F.col("other") % 2, "cosine", "other", 8, ("note",)).select("note", "other", "cosine", "rank")
 
 
 @query(f"""WITH {_PAIRS} SELECT query_id, id, CASE WHEN cosine >= 0.4 AND label <> 1 THEN 'echo' WHEN cosine >= 0.3 AND cosine < 0.4 THEN 'candidate' END AS band, round(0.5 + 0.4 * least(1, greatest(0, (cosine - 0.4) / 0.6)), 6) AS confidence
@@ -308,7 +316,7 @@ def search_rerank_set(spark, sf_dir):
     from pyspark.sql import Window
 
     ranked = S.top(_near(spark, sf_dir, 0.1, 500), 500).select("query_id", "id", F.col("rank").alias("k"))
-    focus = _vectors(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.lit(2).alias("set"))
+    focus = _vectors(spark, sf_dir).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.lit(2).alias("set"))
     given = _vectors(spark, sf_dir).where("label = 2").select("id", F.col("label").alias("set"))
     every = focus.join(given, "set").where("id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("k"), "id")
