@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import predicates as P
 from corpusloom.operators.graph import connected_components
+from corpusloom.operators.spread import split_join
 
 
 def wanted_topics(links: DataFrame, published: DataFrame, k: int = 3, referrers: int = 12) -> DataFrame:
@@ -78,11 +79,14 @@ def backlinks(links: DataFrame) -> DataFrame:
     return links.groupBy("dst").agg(F.count_distinct("src").alias("sources"), F.sum("n").alias("refs"))
 
 
-def two_hop(links: DataFrame, start: DataFrame) -> DataFrame:
-    """``node, near``: what lies one or two links from each start node, in either direction."""
+def two_hop(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """``node, near``: what lies one or two links from each node (of ``start``, or all), in either
+    direction. The links of a hub are dealt over tasks."""
     both = links.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(links.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    one = start.select(F.col("node"), F.col("node").alias("a")).join(both, "a").select("node", F.col("b").alias("near"))
-    two = one.select("node", F.col("near").alias("a")).join(both, "a").select("node", F.col("b").alias("near"))
+    one = both.toDF("node", "near")
+    if start is not None:
+        one = one.join(start.select("node").distinct(), "node", "left_semi")
+    two = split_join(one.toDF("node", "a"), both, ["a"]).select("node", F.col("b").alias("near"))
     return one.unionByName(two).distinct().where("near <> node")
 
 

@@ -12,6 +12,7 @@ from corpusloom.operators import records as E
 from corpusloom.operators import similarity as S
 from corpusloom.operators import votes as A
 from corpusloom.operators.graph import connected_components
+from corpusloom.operators.spread import pick, split_join
 from corpusloom.plans.notes import LINKS_SQL, links, notes
 from corpusloom.sources.tables import table
 from corpusloom.streaming import feeds
@@ -138,11 +139,11 @@ def graph_backlinks(spark, sf_dir):
     return A.backlinks(links(spark, sf_dir))
 
 
-@query(f"""WITH {LINKS_SQL}, b AS (SELECT 'p' || src AS a, dst AS b FROM l UNION SELECT dst, 'p' || src FROM l), s AS (SELECT DISTINCT a AS node FROM b WHERE a LIKE 'p%0'),
+@query(f"""WITH {LINKS_SQL}, b AS (SELECT 'p' || src AS a, dst AS b FROM l UNION SELECT dst, 'p' || src FROM l), s AS (SELECT DISTINCT a AS node FROM b),
 o AS (SELECT node, b AS near FROM s JOIN b ON a = node), t AS (SELECT node, b AS near FROM o JOIN b ON a = near) SELECT DISTINCT node, near FROM (SELECT * FROM o UNION ALL SELECT * FROM t) WHERE near <> node""")
 def graph_two_hop(spark, sf_dir):
     e = links(spark, sf_dir).select(F.concat(F.lit("p"), F.col("src").cast("string")).alias("src"), "dst")
-    return A.two_hop(e, e.where("src like '%0'").select(F.col("src").alias("node")).distinct())
+    return A.two_hop(e)
 
 
 _CC = f"""WITH RECURSIVE {_E}, b AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r(node, seen) AS (SELECT a, a FROM b UNION SELECT r.node, b.b FROM r JOIN b ON b.a = r.seen), c AS (SELECT node, min(seen) AS component FROM r GROUP BY 1)"""
@@ -182,7 +183,7 @@ def win_prev_entry(spark, sf_dir):
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate::DATE AS day FROM orders) SELECT a.o_orderkey, b.o_orderkey AS other FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND strftime(a.day, '%m-%d') = strftime(b.day, '%m-%d') AND a.o_orderkey <> b.o_orderkey""")
 def win_on_this_day(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.date_format("o_orderdate", "MM-dd").alias("key"))
-    return o.join(o.withColumnRenamed("o_orderkey", "other"), ["o_custkey", "key"]).where("o_orderkey <> other").select("o_orderkey", "other")
+    return split_join(o, o.withColumnRenamed("o_orderkey", "other"), ["o_custkey", "key"]).where("o_orderkey <> other").select("o_orderkey", "other")
 
 
 _LINES = r"ln AS (SELECT doc_id, unnest(t) AS line, generate_subscripts(t, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))"
@@ -216,15 +217,17 @@ def win_dedup_key(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("first_ts"), F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@query(r"""WITH c AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY source || '/' || doc_id || '.md') - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE doc_id % 20 <= 1),
+@query(r"""WITH n AS (SELECT source, doc_id, source || '/' || doc_id || '.md' AS path, len(regexp_extract_all(text, '\[\[[^\]]+\]\]')) AS links, TIMESTAMP '2024-01-01' + to_hours(doc_id) AS mtime FROM documents WHERE length(trim(text)) > 0),
+c AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY path) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM n WHERE links <= 1 AND TIMESTAMP '2026-11-18' - mtime > INTERVAL 30 DAY AND NOT regexp_matches(doc_id::VARCHAR, '^[0-9]{4}$')),
 d AS (SELECT list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, 11), lambda i: ascii(substr('2026-11-18', i, 1))::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT AS h)
 SELECT source AS folder, doc_id FROM c, d WHERE k = h % n""")
 def win_daily_pick(spark, sf_dir):
-    """One quiet old note of each folder for a day, the same all day."""
-    n = notes(spark, sf_dir).where((F.col("doc_id") % 20 <= 1) & ~P.looks_periodic(F.concat(F.lit("x"), F.col("path"))))
-    by = Window.partitionBy("folder")
-    rows = n.select("folder", "doc_id", (F.row_number().over(by.orderBy("path")) - 1).alias("k"), F.count("*").over(by).alias("n"))
-    return rows.where(F.col("k") == T.fnv1a(F.lit("2026-11-18")) % F.col("n")).select("folder", "doc_id")
+    """One old, hardly linked note of each folder for a day, the same all day; dated ones aside."""
+    today = F.lit("2026-11-18")
+    links = F.size(F.regexp_extract_all("content", F.lit(r"\[\[[^\]]+\]\]"), F.lit(0)))
+    old = F.unix_timestamp(today.cast("timestamp")) - F.unix_timestamp("mtime") > 30 * 86400
+    n = notes(spark, sf_dir).where((F.length(F.trim("content")) > 0) & (links <= 1) & old & ~P.looks_periodic(F.col("path"))).select("folder", "doc_id", "path")
+    return pick(n, ["folder"], ["path"], T.fnv1a(today)).select("folder", "doc_id")
 
 
 def _records(spark, sf_dir):
@@ -286,20 +289,27 @@ SELECT q, CASE WHEN sum(positives) = 1 THEN 'unique' WHEN sum(positives) > 1 THE
 @query(_BILL)
 def rec_resolve_bill(spark, sf_dir):
     """Which other bill of a payee an observation of one means, by its period."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("q"), "o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("period"))
-    pairs = o.join(o.toDF("record", "o_custkey", "other"), "o_custkey").where("q <> record")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record"), "o_custkey", F.concat(F.lit("payee "), "o_custkey").alias("payee"), F.date_format("o_orderdate", "yyyy-MM").alias("period"), F.col("o_totalprice").alias("amount"))
+    q = o.toDF("q", "o_custkey", "q_payee", "q_period", "q_amount").withColumn("q_amount", F.lit(None).cast("double"))
+    scored = E.assess_bill(split_join(o, q, ["o_custkey"]).where("q <> record"))
     no = F.lit(False)
-    return E.resolve(pairs.select("q", "record", (F.col("period") == F.col("other")).cast("int").alias("positives"), no.alias("excluded"), no.alias("hard"), no.alias("conflict")), "q")
+    # the payee alone is never enough
+    fit = scored.select("q", "record", (F.col("positives") >= 2).cast("int").alias("positives"), "excluded", no.alias("hard"), no.alias("conflict"))
+    none = q.select("q").join(fit.where("not excluded").select("q").distinct(), "q", "left_anti").join(scored.select("q").distinct(), "q", "left_semi")
+    return E.resolve(fit, "q").unionByName(none.select("q", F.lit("none").alias("answer"), F.lit(None).cast("long").alias("record")))
 
 
 @query("""WITH q AS (SELECT o_orderkey AS q, o_custkey, o_orderdate::DATE AS lo, o_orderdate::DATE + 3 AS hi FROM orders), c AS (SELECT a.q, b.q AS record FROM q a JOIN q b ON a.o_custkey = b.o_custkey AND a.q <> b.q AND a.lo < b.hi AND b.lo < a.hi)
 SELECT q, CASE WHEN count(*) = 1 THEN 'unique' ELSE 'several' END AS answer, CASE WHEN count(*) = 1 THEN min(record) END AS record FROM c GROUP BY 1""")
 def rec_resolve_stay(spark, sf_dir):
+    """Which other stay of a guest an observation of nights means."""
     stays = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("start"), F.date_add("o_orderdate", 3).alias("end"))
     met = E.overlapping(stays, "o_custkey", 3)
     both = met.select(F.col("a").alias("q"), F.col("b").alias("record")).unionByName(met.select(F.col("b").alias("q"), F.col("a").alias("record")))
-    no = F.lit(False)
-    return E.resolve(both.select("q", "record", F.lit(1).alias("positives"), no.alias("excluded"), no.alias("hard"), no.alias("conflict")), "q")
+    days = stays.select("id", F.date_format("start", "yyyy-MM-dd").alias("start"), F.date_format("end", "yyyy-MM-dd").alias("end"))
+    pairs = both.join(days.toDF("record", "start", "end"), "record").join(days.toDF("q", "q_date", "q_end"), "q")
+    scored = E.assess_stay(pairs.withColumn("title", F.lit("")).withColumn("q_name", F.lit("")))
+    return E.resolve(scored.select("q", "record", "positives", "excluded", F.lit(False).alias("hard"), "conflict"), "q")
 
 
 @query("""SELECT user_id, count(*) AS entries, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY 1""")

@@ -229,13 +229,13 @@ def pred_publish_candidate(spark, sf_dir):
 
 
 @query(r"""WITH b AS (SELECT doc_id, length(trim(regexp_replace(regexp_replace(text, '[#>*\-_`\[\]|]', '', 'g'), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g'))) AS n FROM documents), v AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings),
-t AS (SELECT a.doc_id, max(round(list_cosine_similarity(a.v, b.v), 6)) AS cosine FROM v a JOIN v b ON a.doc_id <> b.doc_id WHERE a.doc_id % 10 = 0 GROUP BY 1)
-SELECT doc_id, CASE WHEN n < 40 THEN 'archive' WHEN cosine >= 0.45 THEN 'merge' ELSE 'elaborate' END AS disposition FROM b LEFT JOIN t USING (doc_id) WHERE doc_id % 10 = 0""")
+t AS (SELECT a.doc_id, max(round(list_cosine_similarity(a.v, b.v), 6)) AS cosine FROM v a JOIN v b ON a.doc_id <> b.doc_id GROUP BY 1)
+SELECT doc_id, CASE WHEN n < 40 THEN 'archive' WHEN cosine >= 0.45 THEN 'merge' ELSE 'elaborate' END AS disposition FROM b LEFT JOIN t USING (doc_id)""")
 def pred_triage(spark, sf_dir):
-    """What to do with inbox notes (ids divisible by 10) against all vectors."""
+    """What to do with each note, all of an inbox, against all vectors."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    best = S.top(S.cosines(v.where("id % 10 = 0"), v, -1.0, 1), 1).select(F.col("query_id").alias("doc_id"), "cosine")
-    return docs(spark, sf_dir).where("doc_id % 10 = 0").join(best, "doc_id", "left").select("doc_id", N.triage(F.col("text"), F.col("cosine"), 0.45).alias("disposition"))
+    best = S.top(S.cosines(v, v, -1.0, 1), 1).select(F.col("query_id").alias("doc_id"), "cosine")
+    return docs(spark, sf_dir).join(best, "doc_id", "left").select("doc_id", N.triage(F.col("text"), F.col("cosine"), 0.45).alias("disposition"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN d <= 0 THEN 'today' WHEN d = 1 THEN 'yesterday' WHEN d <= 6 THEN strftime(day, '%A') ELSE d || ' days ago' END AS label FROM (SELECT o_orderkey, o_orderdate::DATE AS day, date_diff('day', o_orderdate::DATE, DATE '1998-08-02') AS d FROM orders)""")
