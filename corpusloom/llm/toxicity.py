@@ -11,13 +11,18 @@ with each left out in turn.
 
 from __future__ import annotations
 
+from functools import cached_property
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.blocks import by_task, words
+from corpusloom.sources.lineage import cut
 
 #: Labelled texts of either label that are sampled, in expectation.
 SAMPLE = 4000
@@ -56,7 +61,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 def _tallied(batches):
     for batch in batches:
         got = [np.unique(x, return_counts=True) for x in _terms(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x.view(np.int64) for x, _ in got], pa.list_(pa.int64())), pa.array([(1 + np.log(n)).astype(np.float32) for _, n in got], pa.list_(pa.float32()))], ["y", "share", "_id", "term", "n"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x.view(np.int64) for x, _ in got], pa.list_(pa.int64())), pa.array([(1 + np.log(n)).astype(np.float32) for _, n in got], pa.list_(pa.float32()))], ["y", "share", "_id", "key", "term", "n"])
 
 
 def _vectors(terms: np.ndarray, found: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -71,34 +76,60 @@ def _vectors(terms: np.ndarray, found: list[np.ndarray]) -> list[tuple[np.ndarra
 
 
 class Index:
-    """Unit vectors as posting lists, those of common terms in blocks with their greatest weight in each."""
+    """Unit vectors as posting lists; those of common terms are laid out in blocks, with their greatest weight in each, where they are first asked."""
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, ids: np.ndarray):
-        full = [k for k, (at, _) in enumerate(rows) if len(at)]
-        bare = np.array([not len(at) for at, _ in rows], bool)
+        """Of rows of places in the sorted ``terms`` and log-scaled counts, in the order that the blocks take them."""
+        self.terms, self.idf = terms, idf
+        unit = [(at, self._unit(at, n).astype(np.float32)) for at, n in rows]
+        self._fill([len(at) for at, _ in unit], *(np.concatenate([x[k] for x in unit]) for k in (0, 1)), y, weight, ids)
+
+    @classmethod
+    def of(cls, terms: np.ndarray, idf: np.ndarray, *flat: np.ndarray) -> Index:
+        """The index of unit vectors that are there already: their sizes, and all their places and weights."""
+        self = cls.__new__(cls)
         self.terms, self.idf = terms, idf
+        self._fill(*flat)
+        return self
+
+    def _fill(self, size: np.ndarray, at: np.ndarray, w: np.ndarray, y: np.ndarray, weight: np.ndarray, ids: np.ndarray) -> None:
+        size = np.asarray(size, np.int64)
+        full = size > 0
         # texts without any of the terms get the share of toxic ones among such
-        self.empty = float(((y * weight)[bare].sum() + 0.01) / (weight[bare].sum() + 1))
-        unit = [self._unit(*rows[k]).astype(np.float32) for k in full]
-        # texts of the same heaviest term stand together, so that blocks differ
-        order = sorted(range(len(full)), key=lambda k: (int(rows[full[k]][0][unit[k].argmax()]), ids[full[k]]))
-        self.y, self.weight = (v[[full[k] for k in order]].astype(float) for v in (y, weight))
-        self.ids = ids[[full[k] for k in order]]
-        n = self.blocks = -(-len(order) // BLOCK)
-        at, w, who = (np.concatenate(x) if x else np.zeros(0, d) for x, d in (([rows[full[k]][0] for k in order], int), ([unit[k] for k in order], np.float32), ([np.full(len(unit[k]), j, np.int32) for j, k in enumerate(order)], np.int32)))
-        df = np.bincount(at, minlength=len(terms))
-        common = np.flatnonzero(df > COMMON * len(order))
-        self.slot = np.full(len(terms), -1, np.int32)
-        self.slot[common] = np.arange(len(common))
-        self.lists = np.zeros((n, len(common), BLOCK), np.float32)  # of each block, its examples' weights by common term
-        dense = self.slot[at] >= 0
-        self.lists[who[dense] // BLOCK, self.slot[at[dense]], who[dense] % BLOCK] = w[dense]
-        self.most = np.ascontiguousarray(self.lists.max(2).T)
-        at, w, who = at[~dense], w[~dense], who[~dense]
+        self.empty = float(((y * weight)[~full].sum() + 0.01) / (weight[~full].sum() + 1))
+        self.y, self.weight, self.ids = y[full].astype(float), weight[full].astype(float), ids[full]
+        n = int(full.sum())
+        self.blocks = -(-n // BLOCK)
         by_term = np.argsort(at, kind="stable")
-        self.who, self.by = who[by_term], w[by_term]  # of each other term, its examples and weights
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms)))])
-        self.curve = self._calibrate([(rows[full[k]][0], unit[k]) for k in order])
+        self.by = w[by_term]  # of each term, its examples' weights, and the examples
+        self.who = np.repeat(np.arange(n, dtype=np.uint16 if n < 1 << 16 else np.int32), size[full])[by_term]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(self.terms)))])
+
+    @cached_property
+    def slot(self) -> np.ndarray:
+        """Of each term its place among the common ones, or -1."""
+        slot = np.full(len(self.terms), -1, np.int32)
+        common = np.flatnonzero(np.diff(self.start) > COMMON * len(self.y))
+        slot[common] = np.arange(len(common))
+        return slot
+
+    @cached_property
+    def lists(self) -> np.ndarray:
+        """Of each block, its examples' weights by common term."""
+        common = np.flatnonzero(self.slot >= 0)
+        lists = np.zeros((self.blocks, len(common), BLOCK), np.float32)
+        for k, t in enumerate(common):
+            part = slice(self.start[t], self.start[t + 1])
+            who = self.who[part].astype(np.int64)
+            lists[who // BLOCK, k, who % BLOCK] = self.by[part]
+        return lists
+
+    @cached_property
+    def most(self) -> np.ndarray:
+        return np.ascontiguousarray(self.lists.max(2).T) if self.blocks else np.zeros((0, 0), np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("slot", "lists", "most")}
 
     def _unit(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         w = n * self.idf[at]
@@ -151,61 +182,109 @@ class Index:
         w = cos * self.weight[at]
         return [1.0, float((w * self.y[at]).sum() / w.sum()) if len(at) else 0.0, float(cos[0]) if len(at) else 0.0]
 
-    def _calibrate(self, units: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """A logistic curve from votes to labels, fitted with each example left out of its own vote."""
-        v = np.array([self.vote(x) for x in self.nearest_all(units, NEAREST, np.arange(len(units)))])
-        beta = np.array([-3.0, 6.0, 0.0])
-        if not len(v):
-            return beta
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(v @ beta, -30, 30)))
-            slope = (v * (self.weight * (p - self.y))[:, None]).sum(0) + 1e-2 * beta
-            curve = (v * (self.weight * p * (1 - p))[:, None]).T @ v + 1e-2 * np.eye(3)
-            step = np.linalg.solve(curve, slope)
-            beta = beta - step
-            if abs(step).max() < 1e-9:
-                break
-        return beta
-
-    def score(self, at: np.ndarray, n: np.ndarray) -> tuple[float, list[int]]:
-        return self.score_all([(at, n)])[0]
-
-    def score_all(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+    def score_all(self, rows: list[tuple[np.ndarray, np.ndarray]], curve: np.ndarray) -> list[tuple[float, list[int]]]:
+        """Score and evidence of rows of places and log-scaled counts."""
         full = [k for k, (at, _) in enumerate(rows) if len(at) and len(self.y)]
         out: list[tuple[float, list[int]]] = [(self.empty, [])] * len(rows)
         for k, near in zip(full, self.nearest_all([(rows[k][0], self._unit(*rows[k])) for k in full], NEAREST), strict=True):
-            p = float(1 / (1 + np.exp(-np.clip(np.dot(self.vote(near), self.curve), -30, 30))))
+            p = float(1 / (1 + np.exp(-np.clip(np.dot(self.vote(near), curve), -30, 30))))
             out[k] = p, [int(x) for x in self.ids[near[0]]]
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Index:
-    """The index of a bounded sample of ``docs`` (doc_id, text) that ``labels`` (doc_id, label) marks."""
-    by_task(docs.sparkSession)
-    drawn = sample(docs, labels, label).select("text", "y", "share", "_id")
-    # as large as the sampled texts' distinct terms; held once, in narrow types
-    got = drawn.mapInArrow(_tallied, "y int, share double, _id long, term array<long>, n array<float>").toArrow()
-    y, share, ids = (got.column(c).to_numpy() for c in ("y", "share", "_id"))
-    size, n = pc.list_value_length(got.column("term")).to_numpy(), pc.list_flatten(got.column("n")).to_numpy()
-    hashes = pc.list_flatten(got.column("term")).to_numpy().view(np.uint64)
-    del got
-    pa.default_memory_pool().release_unused()
-    terms = np.unique(hashes)
-    at = np.searchsorted(terms, hashes).astype(np.int32)
-    del hashes
-    a = np.bincount(at, np.repeat(y, size), len(terms))
-    b = np.bincount(at, minlength=len(terms)) - a
-    total, n1 = float(len(y)), float(y.sum())
+class Model(NamedTuple):
+    """An index that has been sent to the executors, and the curve from its votes to scores."""
+
+    index: Broadcast
+    curve: np.ndarray
+
+
+def _curve(v: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A logistic curve from votes to labels."""
+    beta = np.array([-3.0, 6.0, 0.0])
+    if not len(v):
+        return beta
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(v @ beta, -30, 30)))
+        slope = (v * (weight * (p - y))[:, None]).sum(0) + 1e-2 * beta
+        curve = (v * (weight * p * (1 - p))[:, None]).T @ v + 1e-2 * np.eye(3)
+        step = np.linalg.solve(curve, slope)
+        beta = beta - step
+        if abs(step).max() < 1e-9:
+            break
+    return beta
+
+
+def _lexicon(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All terms of the sampled texts, sorted, and their weights."""
+    total, n1 = (float(x or 0) for x in counted.agg(F.count("*"), F.sum("y")).first())
     n0 = total - n1
+    got = counted.select("y", F.explode("term").alias("term")).groupBy("term").agg(F.sum("y").cast("int").alias("a"), F.count("*").cast("int").alias("n")).toArrow()
+    terms, a, n = got["term"].to_numpy().view(np.uint64), got["a"].to_numpy().astype(float), got["n"].to_numpy().astype(float)
+    order = np.argsort(terms)
+    terms, a, n = terms[order], a[order], n[order]
+    b = n - a
     odd = a * (n0 - b) - b * (n1 - a)
     # the correlation of term and label (chi-squared per text is its square), never 0
     told = np.abs(odd) / np.sqrt((a + b) * (total - a - b + 1) * (n1 + 1) * (n0 + 1)) + 1 / (1 + total)
-    idf = np.log((1 + total) / (1 + a + b)) + 1
-    cuts = np.cumsum(size)[:-1]
-    return Index(terms, idf * told, list(zip(np.split(at, cuts), np.split(n, cuts), strict=True)) if len(y) else [], y, 1 / share, ids)
+    return terms, (np.log((1 + total) / (1 + a + b)) + 1) * told
+
+
+def _units(counted: DataFrame, terms: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """The sampled texts as unit vectors: ``top`` their heaviest term, ``at`` the places of all, ``w`` the weights."""
+    shared = counted.sparkSession.sparkContext.broadcast((terms, idf))  # as large as the distinct terms of the bounded sample
+
+    def run(batches):
+        terms, idf = shared.value
+        for batch in batches:
+            at = [np.searchsorted(terms, x.values.to_numpy().view(np.uint64)).astype(np.int32) for x in batch["term"]]
+            w = [n.values.to_numpy() * idf[k] for k, n in zip(at, batch["n"], strict=True)]
+            w = [(x / np.sqrt((x * x).sum())).astype(np.float32) if len(x) else x for x in w]
+            top = [int(k[x.argmax()]) if len(k) else -1 for k, x in zip(at, w, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("y", "share", "_id", "key")), pa.array(top, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(w, pa.list_(pa.float32()))], ["y", "share", "_id", "key", "top", "at", "w"])
+
+    return counted.mapInArrow(run, "y int, share double, _id long, key long, top int, at array<int>, w array<float>")
+
+
+def _votes(units: DataFrame, shared: Broadcast, keys: np.ndarray) -> DataFrame:
+    """Of each vector the votes of the nearest others, ``share`` and ``cos``; ``keys`` names the examples by their places."""
+    order = np.argsort(keys)
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pc.greater_equal(batch["top"], 0))
+            index, own = shared.value, order[np.searchsorted(keys, batch["key"].to_numpy(), sorter=order)]
+            asked = [(a.values.to_numpy(), w.values.to_numpy()) for a, w in zip(batch["at"], batch["w"], strict=True)]
+            v = [index.vote(near) for near in index.nearest_all(asked, NEAREST, own)]
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["y"], batch["share"], *(pa.array([x[k] for x in v], pa.float64()) for k in (1, 2))], ["key", "y", "share", "toxic", "cos"])
+
+    return units.mapInArrow(run, "key long, y int, share double, toxic double, cos double")
 
 
-def score(docs: DataFrame, index: Index, *keep: Column) -> DataFrame:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
+    """The index of a bounded sample of ``docs`` (doc_id, text) that ``labels`` (doc_id, label) marks.
+
+    Tasks count terms, weigh vectors and let them vote; the driver holds the sampled
+    vectors once, as posting lists, until they are sent."""
+    by_task(docs.sparkSession)
+    drawn = sample(docs, labels, label).select("text", "y", "share", "_id", F.xxhash64("text", "y").alias("key"))
+    counted = cut(drawn.mapInArrow(_tallied, "y int, share double, _id long, key long, term array<long>, n array<float>"))
+    terms, idf = _lexicon(counted)
+    # texts of the same heaviest term stand together, so that blocks differ
+    units = cut(_units(counted, terms, idf).orderBy("top", "_id", "key"))
+    got = units.toArrow()
+    y, share, ids, keys, top = (got[c].to_numpy() for c in ("y", "share", "_id", "key", "top"))
+    index = Index.of(terms, idf, pc.list_value_length(got["at"]).to_numpy(), pc.list_flatten(got["at"]).to_numpy(), pc.list_flatten(got["w"]).to_numpy(), y, 1 / share, ids)
+    del got
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    del index
+    pa.default_memory_pool().release_unused()
+    v = _votes(units, shared, keys[top >= 0]).orderBy("key").toArrow()
+    v, y, share = np.stack([np.ones(len(v)), v["toxic"].to_numpy(), v["cos"].to_numpy()], 1), v["y"].to_numpy(), v["share"].to_numpy()
+    return Model(shared, _curve(v, y, 1 / share))
+
+
+def score(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
     """``keep`` columns, ``score`` (0 to 1), ``predicted`` (1 from 0.5 on) and ``evidence``,
     the ids of the examples that voted, nearest first.
 
@@ -213,13 +292,12 @@ def score(docs: DataFrame, index: Index, *keep: Column) -> DataFrame:
     examples and no evidence; repeated rows are scored alike.
     """
     by_task(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
     kept = docs.select(F.col("text").cast("string"), *keep)
 
     def run(batches):
-        index = shared.value
+        index = model.index.value
         for batch in batches:
-            got = index.score_all(_vectors(index.terms, _terms(batch.column(0))))
+            got = index.score_all(_vectors(index.terms, _terms(batch.column(0))), model.curve)
             p = [x for x, _ in got]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32()), pa.array([x for _, x in got], pa.list_(pa.int64()))], [*batch.schema.names[1:], "score", "predicted", "evidence"])
 
@@ -227,15 +305,15 @@ def score(docs: DataFrame, index: Index, *keep: Column) -> DataFrame:
     return kept.mapInArrow(run, f"{schema}score double, predicted int, evidence array<bigint>")
 
 
-def reject(docs: DataFrame, index: Index) -> DataFrame:
+def reject(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, columns as they were."""
     by_task(docs.sparkSession)
-    shared, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")
+    at = docs.columns.index("text")
 
     def run(batches):
-        index = shared.value
+        index = model.index.value
         for batch in batches:
             found = _vectors(index.terms, _terms(batch.column(at).cast(pa.string())))
-            yield batch.filter(pa.array([p < 0.5 for p, _ in index.score_all(found)], pa.bool_()))
+            yield batch.filter(pa.array([p < 0.5 for p, _ in index.score_all(found, model.curve)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
