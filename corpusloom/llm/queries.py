@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, bpe, infill, langid, licenses, lm, mixing, neardup, pii, topk, toxicity
+from corpusloom.llm import ann, bpe, fingerprints, infill, langid, licenses, lm, mixing, neardup, pii, topk, toxicity
 from corpusloom.sources.tables import table
 
 
@@ -62,6 +62,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_report(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.transform(table(spark, sf_dir, "documents"), infill.REPORT)
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_fingerprints": op12_fingerprints,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
