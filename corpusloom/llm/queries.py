@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, bpe, fingerprints, infill, langid, licenses, lm, mixing, neardup, pii, topk, toxicity
+from corpusloom.llm import ann, bpe, fingerprints, infill, langid, licenses, lm, mixing, neardup, negatives, pii, topk, toxicity
 from corpusloom.sources.tables import table
 
 
@@ -62,6 +62,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved))
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
@@ -81,6 +87,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_fingerprints": op12_fingerprints,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
@@ -88,5 +95,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_source_mixing": mixing.REPORT_SQL,
     "op6_exact_top_k": topk.TOP_SQL,
+    "op11_hard_negatives": negatives.NEGATIVES_SQL,
     "op13_fill_in_middle": infill.REPORT_SQL,
 }
