@@ -26,6 +26,8 @@ from corpusloom.sources.lineage import cut
 
 #: Labelled texts of either label that are sampled, in expectation.
 SAMPLE = 4000
+#: Terms that the sampled texts have together, in expectation; the driver and the tasks hold so many.
+TERMS = 16_000_000
 #: Terms of more than this share of the examples are laid out by block.
 COMMON = 1 / 16
 #: Nearest examples that vote.
@@ -55,7 +57,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     share = F.when(F.col("y") == 1, min(1.0, SAMPLE / max(1, sizes.get(1, 0)))).otherwise(min(1.0, SAMPLE / max(1, sizes.get(0, 0))))
     drawn = y.withColumn("share", share).where(F.pmod(F.xxhash64("_id", F.lit("toxicity sample")), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     # bounded by twice SAMPLE rows in expectation, so it may travel to the texts
-    return docs.join(F.broadcast(drawn), F.col("doc_id").cast("long") == F.col("_id")).where("text is not null").groupBy(F.col("text").cast("string").alias("text"), "y", "share").agg(F.min("_id").alias("_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return texts.join(F.broadcast(drawn), "_id").groupBy("text", "y", "share").agg(F.min("_id").alias("_id"))
+
+
+def thinned(counted: DataFrame) -> DataFrame:
+    """The sampled texts (``key, term, share``), fewer of them by hash where together they have over ``TERMS`` terms, whatever their lengths."""
+    total = counted.agg(F.sum(F.size("term"))).first()[0] or 0
+    if total <= TERMS:
+        return counted
+    part = TERMS / total
+    return counted.where(F.pmod(F.xxhash64("key", F.lit("toxicity terms")), F.lit(1 << 30)) < part * (1 << 30)).withColumn("share", F.col("share") * part)
 
 
 def _tallied(batches):
@@ -265,10 +277,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """The index of a bounded sample of ``docs`` (doc_id, text) that ``labels`` (doc_id, label) marks.
 
     Tasks count terms, weigh vectors and let them vote; the driver holds the sampled
-    vectors once, as posting lists, until they are sent."""
+    vectors once, as posting lists, until they are sent. The sample has at most about
+    ``SAMPLE`` texts of a label and ``TERMS`` terms in all, so its size doesn't follow the table.
+
+    Null texts and labels other than 0 and 1 teach nothing; copies of a text count once and
+    ties of cosine go to the first. Without any example every text gets the score that
+    texts without a known term get. Columns beside those named don't matter."""
     by_task(docs.sparkSession)
     drawn = sample(docs, labels, label).select("text", "y", "share", "_id", F.xxhash64("text", "y").alias("key"))
-    counted = cut(drawn.mapInArrow(_tallied, "y int, share double, _id long, key long, term array<long>, n array<float>"))
+    counted = thinned(cut(drawn.mapInArrow(_tallied, "y int, share double, _id long, key long, term array<long>, n array<float>")))
     terms, idf = _lexicon(counted)
     # texts of the same heaviest term stand together, so that blocks differ
     units = cut(_units(counted, terms, idf).orderBy("top", "_id", "key"))
@@ -306,7 +323,10 @@ def score(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, columns as they were."""
+    """The rows of ``docs`` that aren't predicted toxic, columns as they were.
+
+    Null and empty texts are scored like texts without a known term; repeated rows all stay or
+    all go; an empty table stays empty."""
     by_task(docs.sparkSession)
     at = docs.columns.index("text")
 

@@ -45,6 +45,44 @@ def test_wrapped_wordings_and_several_licenses_of_a_text(spark):
     assert got[103].licenses == "Unlicense"
 
 
+HEADERS = {
+    "GPL-3.0": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.""",
+    "BSD": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:""",
+    "Apache-2.0": "# SPDX-License-Identifier: Apache-2.0\n",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or
+# modify it under the terms of the GNU Lesser General Public
+# License as published by the Free Software Foundation; either
+# version 2.1 of the License, or (at your option) any later version.""",
+}
+
+
+def test_headers_of_files(spark):
+    rows = [(k, "some code here\n" * 50 + t + "\nmore code there\n" * 50, "x", 1) for k, t in enumerate(HEADERS.values())]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [(got[k].licenses, got[k].n_matches) for k in range(len(HEADERS))] == [(name, 1) for name in HEADERS]
+
+
+def test_savings_rank_and_wording_decides():
+    s = licenses.Scanner()
+    block = licenses.word_list("it says licensed under the gnu general public license here: this work is licensed under the GNU Lesser General Public License, version 3 or so")
+    ks = [k for k, (name, t) in enumerate(licenses.TEMPLATES) if t.startswith("This work is licensed under the GNU")]
+    order = s.ranked(ks, block)
+    assert [g for g, _ in order] == sorted((g for g, _ in order), reverse=True) and licenses.TEMPLATES[order[0][1]][0] == "LGPL-3.0"
+    # GPL-3.0 would be confirmed as well, with a word in between, but saves less at the place
+    assert s.scan(" ".join(block)) == [("LGPL-3.0", s.gain(order[0][1], s.words[order[0][1]]), 0)]
+
+
+def test_long_texts_and_repeated_cues(spark):
+    rows = [(1, "license copyright permission " * 40_000 + HEADERS["BSD"] + " filler" * 100_000 + " Released under the MIT License", "x", 1)] * 2
+    got = licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r.licenses, r.n_matches) for r in got] == [("BSD,MIT", 2)] * 2
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     """What each stage took and gave."""

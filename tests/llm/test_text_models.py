@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -201,3 +203,73 @@ def test_toxicity_short_and_common_lists_are_exact(monkeypatch):
     for k in range(30):
         at, cos = index.nearest(rows[k][0], index._unit(*rows[k]), 5)
         assert np.allclose(cos, np.sort(units @ units[k])[::-1][:5], atol=1e-5) and index.ids[at[0]] == k
+
+
+def plain_scores(docs, labels, asked):
+    """Votes of the nearest examples, every cosine from plain dictionaries; the curve is the library's own."""
+    marks = {}
+    for i, y in labels:
+        if y in (0, 1) and i is not None:
+            marks[i] = max(y, marks.get(i, 0))
+    seen = {}
+    for i, t in docs:
+        if t is not None and i in marks:
+            seen.setdefault((t, marks[i]), i)
+    bag = lambda t: [(w, n) for w, n in Counter(x for w in re.split(r"[^0-9A-Za-z\x80-\U0010ffff]+", t.lower()) if w for x in {w, *([(4, w[:4])] if len(w) > 4 else []), *([(5, w[:5])] if len(w) > 5 else [])}).items()]
+    rows = [(bag(t), y, i) for (t, y), i in seen.items()]
+    total, n1 = len(rows), sum(y for _, y, _ in rows)
+    n0, a, b = total - n1, Counter(), Counter()
+    for terms, y, _ in rows:
+        for w, _ in terms:
+            (a if y else b)[w] += 1
+    weight = {}
+    for w in {*a, *b}:
+        odd = a[w] * (n0 - b[w]) - b[w] * (n1 - a[w])
+        told = abs(odd) / np.sqrt((a[w] + b[w]) * (total - a[w] - b[w] + 1) * (n1 + 1) * (n0 + 1)) + 1 / (1 + total)
+        weight[w] = (np.log((1 + total) / (1 + a[w] + b[w])) + 1) * told
+
+    def unit(terms):
+        v = {w: (1 + np.log(n)) * weight[w] for w, n in terms if w in weight}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()} if v else {}
+
+    units = [(unit(t), y, i) for t, y, i in rows]
+
+    def vote(v, but=None):
+        cos = sorted(((sum(x * u.get(w, 0.0) for w, x in v.items()), y, i) for u, y, i in units if i != but), key=lambda c: (-round(c[0], 6), c[2]))[:12]
+        cos = [c for c in cos if c[0] > 1e-6]
+        return [1.0, sum(c * y for c, y, _ in cos) / sum(c for c, _, _ in cos), cos[0][0]] if cos else [1.0, 0.0, 0.0]
+
+    votes = [(vote(u, i), y) for u, y, i in units if u]
+    curve = toxicity._curve(np.array([v for v, _ in votes]), np.array([y for _, y in votes]), np.ones(len(votes)))
+    return [float(1 / (1 + np.exp(-np.clip(np.dot(vote(unit(bag(t))), curve), -30, 30)))) for t in asked]
+
+
+def test_toxicity_score_equals_plain_votes(spark):
+    r = random.Random(8)
+    words = [f"{a}{b}{c}xyz" for a in "klmn" for b in "aeiou" for c in "rst"]
+    text = lambda *odd: " ".join([*(r.choice(words) for _ in range(25)), *odd])
+    docs = [(i, text("vilebad", "vileworse") if i % 3 == 0 else text("finegood")) for i in range(150)]
+    labels = [(i, int(i % 3 == 0)) for i in range(150)] + [(3, 0), (None, 1), (4, None)]
+    asked = [text("vilebad"), text("vileworse", "finegood"), text(), text("finegood"), docs[0][1]]
+    model = toxicity.train(spark.createDataFrame([(i, t, "x", 0.0) for i, t in docs], SCHEMA), spark.createDataFrame([(i, 1, y) for i, y in labels], "doc_id long, quality int, toxic int"))
+    got = sorted(toxicity.score(spark.createDataFrame([(k, t, "x", 0.0) for k, t in enumerate(asked)], SCHEMA), model, F.col("doc_id")).collect())
+    want = plain_scores(docs, labels, asked)
+    assert [g.score for g in got] == pytest.approx(want, abs=2e-3)
+
+
+def test_toxicity_with_clashing_columns_and_very_long_texts(spark, monkeypatch):
+    r = random.Random(4)
+    words = [f"word{k}" for k in range(50)]
+    rows = [(i, " ".join([r.choice(words) for _ in range(20)] + ["vilebad"] * (i % 2)), i, 0.5, i, "t", [1]) for i in range(200)]
+    rows += [(500, "word1 word2 " * 100_000 + "vilebad " * 30_000, 1, 0.1, 1, "", None), (None, None, None, None, None, None, None), (501, "", 0, 0.0, 0, "", [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, share double, y long, key string, term array<int>").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, "k", 1.0) for i in range(200)], "doc_id long, toxic int, text string, share double")
+    for most in (toxicity.TERMS, 2000):  # all examples, and a part of them
+        monkeypatch.setattr(toxicity, "TERMS", most)
+        model = toxicity.train(docs, labels)
+        got = {x.doc_id: x.predicted for x in toxicity.score(docs, model, F.col("doc_id")).collect()}
+        assert len(got) == 203 and all(got[i] == i % 2 for i in range(200)) and got[501] == 0
+        left = toxicity.reject(docs, model)
+        assert left.columns == docs.columns and {x.doc_id for x in left.collect()} == {i for i, p in got.items() if not p}
+    assert len(model.index.value.y) < 150
