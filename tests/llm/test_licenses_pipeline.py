@@ -123,3 +123,26 @@ def test_pipeline(spark, stages):
 def test_run_equals_stages(spark, stages):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(corpus_pipeline.run(spark, SF)) == rows(stages[-1][1])
+
+
+def test_pipeline_over_odd_rows(spark, tmp_path, monkeypatch):
+    text = lambda k: f"some words number {k} of a text that is long enough to have shingles of its own {k * 7} and {k * 13}"
+    rows = [(k, text(k), "en", ["a", "b", None][k % 3]) for k in range(60)] + [(3, text(3), "en", "a"), (None, text(90), None, None), (None, None, None, None), (61, None, "en", "a"), (62, "", "de", "b"), (63, " \n ", None, "b"), (64, "word " * 60_000 + "mail me: anna@example.org now", "en", "a")]
+    rows = [(*r, 1, "_", 2.0, 3, "k", 5, 6, "x") for r in rows]
+    schema = "doc_id long, text string, lang string, source string, y long, _id string, share double, size long, key string, _gone long, copies long, row string"
+    for name, part in (("full", rows), ("none", [])):
+        home = tmp_path / name
+        spark.createDataFrame(part, schema).write.parquet(f"{home}/documents.parquet")
+        spark.createDataFrame([(k, 1, 0) for k in range(40)] if part else [], "doc_id long, quality int, toxic int").write.parquet(f"{home}/labels.parquet")
+        docs = spark.read.parquet(f"{home}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES:
+            got = f(spark, docs, str(home))
+            if stage != "byte_bpe":
+                assert got.columns == docs.columns
+                docs = corpus_pipeline._written(spark, got, stage)
+            if stage == "pii":
+                assert docs.count() == len(part) and not docs.where("text like '%anna@%'").count()
+        assert {r.doc_id for r in got.collect()} <= {r[0] for r in part} and (got.count() > 0) == bool(part)
+    monkeypatch.setattr(corpus_pipeline, "_home", lambda _, to=f"{tmp_path}/kept": to)
+    assert corpus_pipeline.run(spark, str(tmp_path / "full")).count() > 0
+    assert sorted(p.name for p in tmp_path.iterdir() if p.name.startswith("kept")) == ["kept-mixing"]
