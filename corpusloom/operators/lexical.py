@@ -42,8 +42,9 @@ def bm25(index: DataFrame, terms: DataFrame, k: int, every: bool = False, stats:
     """``query_id, id, score, rank`` (from 0): the k best documents of each query.
 
     ``terms`` has ``query_id, term`` and, for expanded queries, ``asked``: the query term
-    that the term stands for. With ``every``, all asked terms must be met. Scores are
-    rounded to 6 digits, ties go to the smaller id.
+    that the term stands for. With ``every``, all asked terms must be met, so each must have a
+    row even if nothing stands for it (``expanded`` gives it its own). Scores are rounded
+    to 6 digits, ties go to the smaller id.
     """
     if "asked" not in terms.columns:
         terms = terms.withColumn("asked", F.col("term"))
@@ -91,8 +92,10 @@ def prefixed(vocabulary: DataFrame, terms: DataFrame, least: int = 1) -> DataFra
     return heads.join(asked, "asked").select("query_id", "asked", "term")
 
 
-def expanded(index: DataFrame, terms: DataFrame, share: float = 0.2) -> DataFrame:
-    """``query_id, asked, term``: each asked term, the vocabulary it is a prefix of, and that within an edit distance of ``share`` of it."""
+def expanded(index: DataFrame, terms: DataFrame, share: float | None = 0.2) -> DataFrame:
+    """``query_id, asked, term``: each asked term, met or not, the vocabulary it is a prefix of, and
+    that within an edit distance of ``share`` of it, if there is one."""
     words = index.select("term").distinct()
     exact = terms.select("query_id", F.col("term").alias("asked"), "term")
-    return exact.unionByName(prefixed(words, terms)).unionByName(fuzzy(words, terms, share).drop("distance")).distinct()
+    near = exact.unionByName(prefixed(words, terms))
+    return (near if share is None else near.unionByName(fuzzy(words, terms, share).drop("distance"))).distinct()

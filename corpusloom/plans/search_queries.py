@@ -102,7 +102,7 @@ SELECT query_id, id, score, k - 1 AS rank FROM (SELECT sc.*, row_number() OVER (
 def lex_prefix_and(spark, sf_dir):
     """All terms met, each exactly or as a prefix."""
     index, terms = _index(spark, sf_dir), _asked(spark, sf_dir)
-    return L.bm25(index, L.prefixed(index, terms), 50, every=True)
+    return L.bm25(index, L.expanded(index, terms, None), 50, every=True)
 
 
 def lex_gateway(spark, sf_dir):

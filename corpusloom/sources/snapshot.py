@@ -1,18 +1,16 @@
-"""Snapshots of an index: notes, chunks and vectors in shards, with a manifest that is written last."""
+"""Snapshots of an index: notes, chunks and vectors in shards, under manifests that are written last."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import fnv1a
+from corpusloom.sources import shards
 
-VERSION = 2
+VERSION = 3
 # Shards at least and at most, and the bytes that a shard should keep within.
 LEAST, MOST, BUDGET = 4, 1024, 3_000_000
-_MANIFEST = "version int, recipe string, parts int, name string, schema string, part int, run string, n long"
 
 
 def estimated_bytes(text: Column) -> Column:
@@ -30,57 +28,47 @@ def shards_for(chunks: DataFrame, text: str = "text") -> int:
     return n
 
 
-def _manifest(spark: SparkSession, home: str) -> list:
-    """A row for each shard of each table; none if there is no snapshot."""
-    try:
-        return spark.read.schema(_MANIFEST).parquet(f"{home}/manifest").collect()
-    except Exception as e:
-        if not any(x in str(e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER", "CANNOT_READ", "FAILED_READ_FILE", "does not exist")):
-            raise
-        return []
+def _state(spark: SparkSession, home: str, recipe: str) -> shards.State | None:
+    """The last state, if it is of this version and recipe."""
+    state = shards.current(spark, home)
+    return state if state and state.meta.get("version") == VERSION and state.meta.get("recipe") == recipe else None
 
 
-def save(tables: dict[str, DataFrame], home: str, recipe: str, dirty: DataFrame | None = None, parts: int = 64) -> None:
-    """Writes each table (with a ``path`` column) by shard of its path, in a folder of this run.
+def save(tables: dict[str, DataFrame], home: str, recipe: str, dirty: DataFrame | None = None, parts: int | None = None) -> None:
+    """Writes each table (with a ``path`` column) by shard of its path.
 
-    With ``dirty`` (``path``), only the shards of these paths are written anew; the others
-    stay with the runs that wrote them, and a shard left without rows is dropped. The
-    manifest names each shard's run and rows and is written last, so a save that fails
-    leaves the snapshot as it was.
+    With ``dirty`` (``path``), only the shards of these paths are written anew, if there is a snapshot
+    of the recipe and as many shards; a shard left without rows is dropped. Without
+    ``parts`` there are as many shards as the snapshot has, or else as the texts need.
+    A save that is killed at any point leaves the snapshot as it was; what earlier ones wrote
+    and the last two don't use is swept.
     """
-    spark, run = next(iter(tables.values())).sparkSession, uuid.uuid4().hex
-    before = [r for r in _manifest(spark, home) if r["version"] == VERSION and r["recipe"] == recipe and r["parts"] == parts] if dirty is not None else []
-    part = F.pmod(fnv1a(F.col("path")), F.lit(parts)).cast("int")
-    # the first save of its kind has nothing that could stay
-    only = {r["part"] for r in dirty.select(part.alias("part")).distinct().collect()} if before else None  # as many as shards
-    kept = [tuple(r) for r in before if r["part"] not in only and r["name"] in tables]
-    for name, df in tables.items():
-        rows = df.withColumn("part", part)
-        if only is not None:
-            rows = rows.where(F.col("part").isin(*only) if only else F.lit(False))
-        rows.repartition("part").write.partitionBy("part").parquet(f"{home}/{name}/run={run}")
-        there = spark.read.schema(rows.schema).parquet(f"{home}/{name}/run={run}").groupBy("part").count().collect()
-        kept += [(VERSION, recipe, parts, name, df.schema.json(), r["part"], run, r["count"]) for r in there] or [(VERSION, recipe, parts, name, df.schema.json(), -1, run, 0)] * (only is None)
-    spark.createDataFrame(kept, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{home}/manifest")
+    spark = next(iter(tables.values())).sparkSession
+    state = _state(spark, home, recipe) if dirty is not None else None
+    if parts is None:
+        parts = state.parts if state else max([LEAST, *(shards_for(df) for df in tables.values() if "text" in df.columns)])
+    if state and (state.parts != parts or set(state.tables) != set(tables)):
+        state = None  # all shards are written
+    only = None
+    if state:
+        only = {r["part"] for r in dirty.select(shards.shard(F.col("path"), parts).alias("part")).distinct().collect()}  # as many as shards
+        part = shards.shard(F.col("path"), parts)
+        tables = {name: df.where(part.isin(*only) if only else F.lit(False)) for name, df in tables.items()}
+    last = state or shards.current(spark, home)
+    shards.replaced(spark, home, last, tables, only, parts, {"version": VERSION, "recipe": recipe})
+    shards.sweep(spark, home)
 
 
 def load(spark: SparkSession, home: str, recipe: str) -> dict[str, DataFrame] | None:
     """The tables, or nothing if there is no snapshot, or one of another version or recipe, or with rows missing."""
-    import json
-
-    from pyspark.sql.types import StructType
-
-    manifest = _manifest(spark, home)
-    if not manifest or any(r["version"] != VERSION or r["recipe"] != recipe for r in manifest):
+    state = _state(spark, home, recipe)
+    if state is None:
         return None
     out = {}
-    for name in sorted({r["name"] for r in manifest}):
-        mine = [r for r in manifest if r["name"] == name]
-        schema = StructType.fromJson(json.loads(mine[0]["schema"]))
-        paths = [f"{home}/{name}/run={r['run']}/part={r['part']}" for r in mine if r["n"]]
+    for name, (_, there) in sorted(state.tables.items()):
         try:
-            out[name] = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-            if out[name].count() != sum(r["n"] for r in mine):
+            out[name] = shards.read(spark, home, state, name)
+            if out[name].count() != sum(n for _, n in there.values()):
                 return None
         except Exception as e:
             if not any(x in str(e) for x in ("PATH_NOT_FOUND", "CANNOT_READ", "FAILED_READ_FILE", "does not exist")):
