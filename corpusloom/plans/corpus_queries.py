@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import predicates as P
 from corpusloom.functions import text as T
 from corpusloom.operators import changes as X
+from corpusloom.operators import ledger as K
 from corpusloom.operators import records as E
 from corpusloom.operators import similarity as S
 from corpusloom.operators import votes as A
@@ -15,7 +16,7 @@ from corpusloom.operators.graph import connected_components
 from corpusloom.operators.spread import pick, split_join
 from corpusloom.plans.notes import LINKS_SQL, links, notes
 from corpusloom.sources.tables import table
-from corpusloom.streaming import feeds
+from corpusloom.streaming import feeds, late, upkeep
 
 QUERIES, ORACLES = {}, {}
 FLOOR = 0.3
@@ -317,6 +318,31 @@ def rec_ledger_state(spark, sf_dir):
     return E.ledger_state(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", "ts", "event_id").select("user_id", "entries", "event_type", "ts")
 
 
+def _ledger_events(spark, sf_dir):
+    """events as what happens to the records of a user: views and clicks submit, purchases approve, signups take back,
+    errors dismiss, are checked again or write by hand; texts are one of three, or none."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    n, kind = F.col("event_id"), F.col("event_type")
+    text = lambda k: F.when(k % 4 < 3, F.concat(F.lit("text "), (k % 4).cast("string")))
+    return e.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), (F.floor(F.col("value")) % 9).cast("string")).alias("key"),
+        F.col("ts").alias("at"), n.alias("seq"),
+        F.when(kind.isin("view", "click"), "submit").when(kind == "purchase", "approve").when(kind == "signup", "undo").otherwise(F.element_at(F.array(*map(F.lit, ("dismiss", "recheck", "edit", "sweep"))), (n % 4 + 1).cast("int"))).alias("op"),
+        F.when(kind == "error", F.element_at(F.array(*map(F.lit, ("dismiss", "apply", "", "approve"))), (n % 4 + 1).cast("int"))).when(n % 7 == 0, "reject").when(n % 3 == 0, "review").otherwise("apply").alias("plan"),
+        F.when(kind.isin("view", "click"), text(F.floor(n / 4))).alias("before"), F.when(kind.isin("view", "click", "error"), text(n)).alias("after"),
+        F.when(n % 2 == 0, "thread").alias("thread"), F.lit("client").alias("client"), F.concat(F.lit("event "), n.cast("string")).alias("reason"),
+    )
+
+
+def rec_ledger_fold(spark, sf_dir):
+    """Every key's entry after all events, in order, record by record. No SQL twin: each step depends on the one before; a test compares with a plain loop."""
+    return K.entries_of(K.fold(_ledger_events(spark, sf_dir))).select("path", "key", "status", "reason", "undo", "written_seq")
+
+
+QUERIES["rec_ledger_fold"] = rec_ledger_fold
+
+
 _OLD = "o AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'old ' || text ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id, text FROM documents WHERE doc_id % 11 <> 0)"
 
 
@@ -413,3 +439,75 @@ def stream_session(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     n = e.groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return n.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "n", "total")
+
+
+def _files(spark, df, name, many=8):
+    """A table as a feed of ``many`` files, each with rows of all times, some at a trigger."""
+    home = feeds._home(spark)
+    df.repartition(many, "event_id").write.parquet(f"{home}/{name}.parquet")
+    return feeds.stream(spark, home, name, 2), home
+
+
+_CHANGES = """c AS (SELECT 'u' || user_id || '/' || event_id % 5 AS path, 'u' || user_id || '/' || (event_id + 2) % 5 AS old_path, event_type, value, ts AS t, event_id AS seq FROM events),
+e AS (SELECT path, event_type = 'error' AS gone, value, event_type, t, seq FROM c UNION ALL SELECT old_path, TRUE, value, event_type, t, seq FROM c WHERE event_type = 'signup'),
+l AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY t DESC, seq DESC, gone) AS k FROM e)"""
+
+
+def _changes(spark, sf_dir):
+    """events as changes of a user's five notes: errors delete, signups rename, all others write."""
+    e = table(spark, sf_dir, "events")
+    note = lambda k: F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), ((F.col("event_id") + k) % 5).cast("string"))
+    op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "rename").otherwise("modify")
+    return e.select("event_id", note(0).alias("path"), F.when(op == "rename", note(2)).alias("old_path"), op.alias("op"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), "event_type", "value")
+
+
+def _letters(note):
+    """A note's units: the letters of its type."""
+    return [(c, k) for k, c in enumerate(note["event_type"])]
+
+
+def _letters_of_small(note):
+    if note["value"] >= 250:
+        raise ValueError("too large")
+    return _letters(note)
+
+
+@query(f"WITH {_CHANGES} SELECT path, seq, event_type, length(event_type)::BIGINT AS n FROM l WHERE k = 1 AND NOT gone")
+def stream_index(spark, sf_dir):
+    """The index after a feed of creates, deletes and renames in files that are out of order: notes and how many units each has."""
+    feed, home = _files(spark, _changes(spark, sf_dir), "changes")
+    upkeep.follow(feed.drop("event_id"), home, _letters, "letter string, place int", 16)
+    n = upkeep.units(spark, home).groupBy("path").agg(F.count("*").alias("n"))
+    return upkeep.notes(spark, home).join(n, "path").select("path", "seq", "event_type", "n")
+
+
+@query(f"WITH {_CHANGES} SELECT path, seq FROM l WHERE k = 1 AND NOT gone AND value >= 250")
+def stream_parked(spark, sf_dir):
+    """Notes whose last change fails however often it is tried; all others are in the index."""
+    feed, home = _files(spark, _changes(spark, sf_dir), "changes")
+    upkeep.follow(feed.drop("event_id"), home, _letters_of_small, "letter string, place int", 16)
+    return upkeep.parked(spark, home).select("path", "seq")
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_late(spark, sf_dir):
+    """Hourly windows that close behind a watermark, and the rows that came too late for them: together what a batch counts."""
+    feed, home = _files(spark, table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"), "events")
+    late.follow(feed, home, lambda: F.window("ts", "1 hour"), ["event_type"], "6 hours")
+    columns = "start timestamp, end timestamp, event_type string, n long, total double"
+    rows = late.closed(spark, home, columns).unionByName(late.still_open(spark, home, columns)).select("start", "event_type", "n", "total")
+    missed = late.too_late(spark, home, "start timestamp, event_id long, ts timestamp, event_type string, value double")
+    rows = rows.unionByName(missed.select("start", "event_type", F.lit(1).cast("long").alias("n"), F.col("value").alias("total")))
+    return _plain_times(rows.groupBy("start", "event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total")))
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def stream_sessions_late(spark, sf_dir):
+    """Sessions of a user, parted by half an hour, that close behind a watermark, and late rows: together all of a user's rows."""
+    feed, home = _files(spark, table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value"), "events")
+    late.follow(feed, home, "30 minutes", ["user_id"], "6 hours", session=True)
+    columns = "start timestamp, end timestamp, user_id long, n long, total double"
+    rows = late.closed(spark, home, columns).unionByName(late.still_open(spark, home, columns)).select("user_id", "n", "total")
+    missed = late.too_late(spark, home, "start timestamp, event_id long, ts timestamp, user_id long, value double")
+    rows = rows.unionByName(missed.select("user_id", F.lit(1).cast("long").alias("n"), F.col("value").alias("total")))
+    return rows.groupBy("user_id").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
