@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import predicates as P
 from corpusloom.functions import text as T
 from corpusloom.operators import changes as X
+from corpusloom.operators import diff as D
 from corpusloom.operators import ledger as K
+from corpusloom.operators import overlap as O
 from corpusloom.operators import records as E
 from corpusloom.operators import similarity as S
 from corpusloom.operators import votes as A
@@ -511,3 +513,41 @@ def stream_sessions_late(spark, sf_dir):
     missed = late.too_late(spark, home, "start timestamp, event_id long, ts timestamp, user_id long, value double")
     rows = rows.unionByName(missed.select("user_id", F.lit(1).cast("long").alias("n"), F.col("value").alias("total")))
     return rows.groupBy("user_id").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+
+
+def _edited(spark, sf_dir):
+    """Every document's sentences as lines, before and after an edit that drops every seventh, changes every ninth and adds some."""
+    said = F.split("text", r"(?<=\.)\s+")
+    d = table(spark, sf_dir, "documents").select("doc_id", said.alias("s"))
+    pick = lambda x, i: F.when(i % 7 == 3, F.array().cast("array<string>")).when(i % 9 == 5, F.array(F.upper(x))).when(i % 11 == 8, F.array(x, F.lit("a new line"))).otherwise(F.array(x))
+    return d.select("doc_id", F.array_join("s", "\n").alias("before"), F.array_join(F.flatten(F.transform("s", pick)), "\n").alias("after"))
+
+
+def set_line_diff(spark, sf_dir):
+    """How many lines of each document stay, come and go in an edit. No SQL twin: the longest common subsequence is a table; a test compares with it."""
+    ops = D.line_diffs(_edited(spark, sf_dir), "doc_id", "before", "after", fold=False)
+    count = lambda kind: F.count(F.when(F.col("type") == kind, 1))
+    return ops.groupBy("doc_id").agg(count("same").alias("same"), count("add").alias("added"), count("del").alias("gone"))
+
+
+QUERIES["set_line_diff"] = set_line_diff
+
+
+@query("""WITH e AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS dst FROM pages) SELECT a.page_id AS left_id, b.page_id AS right_id, count(*) AS shared FROM e a JOIN e b ON a.dst = b.dst AND a.page_id < b.page_id GROUP BY 1, 2""")
+def join_shared_links(spark, sf_dir):
+    """Pages that link to the same places, by the lists of these; a place that many pages link to is dealt over tasks."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.regexp_extract_all("html", F.lit(r'href="(/[^"]*)"'), F.lit(1)).alias("links"))
+    return O.sharing(p, p, "links").where("left_id < right_id")
+
+
+_NAMED = r"""p AS (SELECT p_partkey AS id, p_size AS size, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_type WHEN 2 THEN upper(p_brand || ' ' || p_type) ELSE p_brand || p_size END AS name FROM part),
+n AS (SELECT size, regexp_replace(lower(name), '[^\p{L}\p{N}]', '', 'g') AS name, count(DISTINCT id) AS n, min(id) AS first FROM p GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_NAMED} SELECT a.size, a.name AS name_a, b.name AS name_b, a.n AS n_a, b.n AS n_b, a.first AS first_a, b.first AS first_b FROM n a JOIN n b ON a.size = b.size AND (CASE WHEN a.name = b.name THEN a.n > 1 ELSE length(a.name) >= 5 AND contains(b.name, a.name) END) WHERE a.name <> '' AND b.name <> ''")
+def rec_audit_names(spark, sf_dir):
+    """Parts of one size whose names are one, or lie in one another: the names of different parts are taken from different columns."""
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, F.col("p_name")).when(k == 1, F.col("p_type")).when(k == 2, F.upper(F.concat_ws(" ", "p_brand", "p_type"))).otherwise(F.concat("p_brand", F.col("p_size").cast("string")))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"), name.alias("title"))
+    return O.names_inside(p, ["size"], "title")
