@@ -29,6 +29,21 @@ def parse_query(raw: str) -> dict:
     return out
 
 
+def parsed_query(raw: Column) -> Column:
+    """The same of a column of search lines: ``text, phrases, type, folder, since``; the last of each operator counts."""
+    operator = r'(?i)\b(type|in|since):("[^"]+"|\S+)'
+    found = F.regexp_extract_all(raw, F.lit(operator), F.lit(0))
+
+    def value(name: str) -> Column:
+        last = F.try_element_at(F.filter(found, lambda x: F.lower(x).startswith(f"{name}:")), F.lit(-1))
+        return F.regexp_replace(F.substring(last, len(name) + 2, 1 << 30), r'^"(.*)"$', "$1")
+
+    rest = F.regexp_replace(raw, operator, " ")
+    phrases = F.transform(F.regexp_extract_all(rest, F.lit('"([^"]+)"'), F.lit(1)), F.trim)
+    text = T.squash(F.regexp_replace(rest, '"[^"]+"', " "))
+    return F.struct(text.alias("text"), phrases.alias("phrases"), value("type").alias("type"), value("in").alias("folder"), value("since").alias("since"))
+
+
 def parse_list(setting: str) -> list[str]:
     """Folders, models or endpoints of a setting: one a line or parted by commas, each once, slashes at the end gone."""
     return list(dict.fromkeys(x for x in (y.strip().rstrip("/") for y in re.split(r"[\n,]", setting)) if x))

@@ -119,6 +119,13 @@ def passes(folder: Column, kind: Column, when: Column, in_folder: str | None = N
     return out
 
 
+def passes_each(folder: Column, kind: Column, when: Column, in_folder: Column, of_type: Column, since: Column) -> Column:
+    """The same with a query's filters in columns; a null filter lets all pass."""
+    day = F.try_to_timestamp(since)
+    inside = in_folder.isNull() | F.coalesce(F.lower(folder).contains(F.lower(in_folder)), F.lit(False))
+    return inside & (of_type.isNull() | F.coalesce(kind == of_type, F.lit(False))) & (day.isNull() | F.coalesce(when >= day, F.lit(False)))
+
+
 def personal_flags(text: Column) -> Column:
     """What kinds of personal content a text shows, its frontmatter aside, in fixed order."""
     low = F.lower(strip_frontmatter(text))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import notes as N
 from corpusloom.functions import predicates as P
 from corpusloom.functions import text as T
 from corpusloom.operators import chunks as C
+from corpusloom.operators import fielded as D
 from corpusloom.operators import lexical as L
 from corpusloom.operators import ranking as R
 from corpusloom.operators import similarity as S
@@ -315,10 +317,10 @@ def search_rerank_set(spark, sf_dir):
     """A given set (label 2) in the order of relatedness to each focus, the rest as it was."""
     from pyspark.sql import Window
 
+    v = _vectors(spark, sf_dir)
     ranked = S.top(_near(spark, sf_dir, 0.1, 500), 500).select("query_id", "id", F.col("rank").alias("k"))
-    focus = _vectors(spark, sf_dir).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.lit(2).alias("set"))
-    given = _vectors(spark, sf_dir).where("label = 2").select("id", F.col("label").alias("set"))
-    every = focus.join(given, "set").where("id <> query_id")
+    # each focus meets the given set in blocks; what isn't ranked comes out as well
+    every = S.cosines(v.where("id % 20 = 0"), v.where("label = 2"), -1.0)
     order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("k"), "id")
     return every.select("query_id", "id").join(ranked, ["query_id", "id"], "left").select("query_id", "id", (F.row_number().over(order) - 1).alias("rank"))
 
@@ -334,3 +336,131 @@ def search_next_action(spark, sf_dir):
 
 
 QUERIES["search_next_action"] = search_next_action
+
+
+def _lines(spark, sf_dir):
+    """A search line for each benchmark item: its four longest context terms, the first cut to six letters, with filters or a phrase."""
+    words = F.slice(F.split(T.context_terms(F.col("text")), " "), 1, 4)
+    first = F.substring(words[0], 1, 6)
+    rest = F.array_join(F.slice(words, 2, 3), " ")
+    k = F.col("item_id") % 4
+    line = (
+        F.when(k == 0, F.concat_ws(" ", first, rest))
+        .when(k == 1, F.concat_ws(" ", F.lit("type:en"), first, rest))
+        .when(k == 2, F.concat(first, F.lit(' "'), rest, F.lit('"')))
+        .otherwise(F.concat_ws(" ", F.lit('in:"SRC1"'), first, F.lit("since:2024-01-02"), rest))
+    )
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), line.alias("raw"))
+
+
+def fielded(spark, sf_dir, k=20, share=None):
+    """Search lines, parsed, over title, meta and text of notes; filters apply before anything is ranked."""
+    n = notes(spark, sf_dir).select("doc_id", "title", F.concat_ws(" ", "type", "folder").alias("meta"), F.col("content").alias("text"), "folder", "type", "mtime")
+    q = _lines(spark, sf_dir).select("query_id", N.parsed_query(F.col("raw")).alias("q")).select("query_id", "q.*")
+    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", "text", F.array_join("phrases", " "))), F.lit(L.TOKEN), F.lit(0))
+    asked = q.select("query_id", F.explode(F.array_distinct(words)).alias("term"))
+    boosts = {f: D.BOOSTS[f] for f in ("title", "meta", "text")}
+    terms = cut(D.weighted(D.vocabulary(n, list(boosts), "doc_id"), asked, share))
+    filters = q.select("query_id", F.col("folder").alias("q_folder"), F.col("type").alias("q_type"), F.col("since").alias("q_since"))
+
+    def keep(rows):
+        met = rows.join(filters, "query_id").join(n.select(F.col("doc_id").alias("id"), "folder", "type", "mtime"), "id")
+        return met.where(P.passes_each(F.col("folder"), F.col("type"), F.col("mtime"), F.col("q_folder"), F.col("q_type"), F.col("q_since"))).select(rows.columns)
+
+    return D.search(n, terms, k, boosts, key="doc_id", keep=keep)
+
+
+_FIELDED = rf"""f AS (SELECT doc_id AS id, 'title' AS field, 2.0::DOUBLE AS boost, lower(text[1:60]) AS t FROM documents UNION ALL SELECT doc_id, 'meta', 2.0, lower(concat_ws(' ', lang, source)) FROM documents UNION ALL SELECT doc_id, 'text', 1.0, lower(text) FROM documents),
+tk AS (SELECT id, field, boost, unnest(regexp_extract_all(t, '[\p{{L}}\p{{N}}]+')) AS term FROM f), p AS (SELECT id, field, boost, term, count(*)::DOUBLE AS tf FROM tk GROUP BY ALL),
+pl AS (SELECT *, sum(tf) OVER (PARTITION BY id, field) AS len FROM p), st AS (SELECT field, count(*) AS docs, avg(len) AS mean FROM (SELECT DISTINCT id, field, len FROM pl) GROUP BY 1),
+{_ASKED.replace("a AS (SELECT item_id AS query_id, w AS term, w AS asked FROM", "ct AS (SELECT item_id AS query_id, w, k FROM")},
+aw AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(CASE WHEN k = 1 THEN w[1:6] ELSE w END, '[\p{{L}}\p{{N}}]+')) AS asked FROM ct WHERE k <= 4),
+w AS (SELECT query_id, asked, term, max(weight) AS weight FROM (SELECT query_id, asked, asked AS term, 1.0::DOUBLE AS weight FROM aw
+  UNION ALL SELECT query_id, asked, v.term, 0.375::DOUBLE * length(asked) / (length(asked) + 0.3::DOUBLE * (length(v.term) - length(asked))) FROM aw JOIN (SELECT DISTINCT term FROM pl) v ON starts_with(v.term, asked) AND v.term <> asked) GROUP BY ALL),
+df AS (SELECT field, term, count(*) AS df FROM pl WHERE term IN (SELECT term FROM w) GROUP BY 1, 2),
+pt AS (SELECT query_id, id, field, sum(weight * boost * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score, list(DISTINCT asked) AS asked FROM pl JOIN w USING (term) JOIN df USING (field, term) JOIN st USING (field) GROUP BY ALL),
+ok AS (SELECT pt.* FROM pt JOIN documents d ON d.doc_id = pt.id WHERE CASE query_id % 4 WHEN 1 THEN lang = 'en' WHEN 3 THEN contains(lower(source), 'src1') AND TIMESTAMP '2024-01-01' + to_hours(doc_id) >= TIMESTAMP '2024-01-02' ELSE TRUE END),
+sc AS (SELECT query_id, id, round(sum(score), 6) AS score, len(list_distinct(flatten(list(asked)))) AS met, round(sum(score) FILTER (field = 'title'), 6) AS title, round(sum(score) FILTER (field = 'meta'), 6) AS meta, round(sum(score) FILTER (field = 'text'), 6) AS text FROM ok GROUP BY 1, 2),
+nd AS (SELECT query_id, count(DISTINCT asked) AS needed FROM aw GROUP BY 1)"""
+
+
+@query(f"WITH {_FIELDED} SELECT query_id, id, score, k - 1 AS rank, title, meta, text FROM (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM sc JOIN nd USING (query_id) WHERE met = needed) WHERE k <= 20")
+def search_fielded(spark, sf_dir):
+    """Search lines with operators, phrases and prefixes over fields that have weights, lengths and counts of their own: all terms met, with what each field adds."""
+    return fielded(spark, sf_dir).select("query_id", "id", "score", "rank", *(F.col("by_field")[f].alias(f) for f in ("title", "meta", "text")))
+
+
+def search_fielded_fuzzy(spark, sf_dir):
+    """The same with edits. No SQL twin: DuckDB's edit distance counts bytes; a test compares with plain loops."""
+    return fielded(spark, sf_dir, share=0.2).drop("by_field")
+
+
+QUERIES["search_fielded_fuzzy"] = search_fielded_fuzzy
+
+
+def related(contexts, lexical_text, vectors, units, noted, out, low, k=8, legs=100, least=None):
+    """Notes related to contexts: ``query_id, path, rank, fused, cosine, confidence``.
+
+    ``contexts`` has ``query_id``; ``lexical_text`` its ``query_id, text`` whose longest words are met in any number; ``vectors`` its
+    ``query_id, v``, several if it has several chunks, of which each unit keeps its best. ``units`` are
+    ``id, path, text, v``, ``noted`` the notes that may show (``path`` and what ``low`` needs), ``out`` pairs ``query_id, path``
+    that never do: the note itself, those it links to. With ``least``, a note's unit must be so near. ``low`` ones sink.
+    """
+    clean = T.squash(F.regexp_replace("text", r"\[\[|\]\]", " "))
+    asked = lexical_text.select("query_id", F.explode(F.split(T.context_terms(clean), " ")).alias("term")).where("term <> ''")
+    lexical = L.search(units.withColumnRenamed("id", "doc_id"), {"text": 1.0}, asked, legs).select(F.lit(0).alias("list_id"), "query_id", "id", "rank")
+    # vectors of contexts get ids of their own, below those of units
+    q = vectors.withColumn("id", -2 - F.pmod(F.xxhash64("query_id", "v"), F.lit(1 << 62)))
+    near = S.top(S.cosines(q.select("id", "v").distinct(), units.select("id", "v"), FLOOR, legs), legs).drop("rank")
+    near = near.withColumnRenamed("query_id", "_v").join(q.select(F.col("id").alias("_v"), "query_id"), "_v")
+    near = cut(near.groupBy("query_id", "id").agg(F.max("cosine").alias("cosine")))
+    vector = S.top(near, 1 << 30).select(F.lit(1).alias("list_id"), "query_id", "id", "rank")
+    fused = R.rrf(lexical.unionByName(vector), by=("query_id",)).withColumn("fused", F.round("fused", 9)).join(contexts.select("query_id").distinct(), "query_id", "left_semi")
+    best = R.collapse(fused.join(units.select("id", "path"), "id"), "path", by=("query_id",))
+    best = best.join(noted, "path").join(out.select("query_id", "path").distinct(), ["query_id", "path"], "left_anti").join(near, ["query_id", "id"], "left")
+    if least is not None:
+        best = best.where(F.coalesce("cosine", F.lit(0.0)) >= least)
+    ranked = R.sunk(best, low, "fused", "id", k, ("query_id",))
+    return ranked.select("query_id", "path", "rank", "fused", "cosine", F.round(R.confidence(F.col("rank"), F.col("cosine")) + 1e-9, 4).alias("confidence"))
+
+
+#: Sources whose notes stay quiet, and a language whose notes sink, in the queries below.
+_QUIET, _LOW = "folder = 'src3'", "type = 'de'"
+
+
+def _related(spark, sf_dir, text, least):
+    n = notes(spark, sf_dir)
+    v = cut(S.hash_vectors(n.select("doc_id", F.col("content").alias("text"))))
+    units = n.select(F.col("doc_id").alias("id"), "path", F.col("content").alias("text")).join(v, "id", "left")
+    focus = n.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "path", F.col(text).alias("text"))
+    # the next note counts as one that the focus links to
+    linked = focus.select("query_id", (F.col("query_id") + 1).alias("doc_id")).join(n.select("doc_id", "title"), "doc_id").join(n.select("title", "path"), "title")
+    out = focus.select("query_id", "path").unionByName(linked.select("query_id", "path"))
+    vectors = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "v")
+    noted = n.where(f"not coalesce({_QUIET}, false)").select("path", "type")
+    return related(focus, focus, vectors, units, noted, out, F.coalesce(F.expr(_LOW), F.lit(False)), least=least)
+
+
+def _related_sql(text: str, least: float | None) -> str:
+    body = _hybrid_sql().split("),\nfu AS")[0] + ")"
+    focus = f"(SELECT doc_id AS item_id, {text} AS text FROM main.documents WHERE doc_id % 20 = 0)"
+    body = body.replace("FROM benchmark", f"FROM {focus}", 1).replace("FROM benchmark", "FROM (SELECT doc_id AS item_id, text FROM main.documents WHERE doc_id % 20 = 0)")
+    near = f"AND coalesce(cosine, 0) >= {least}" if least is not None else ""
+    return rf"""{body}, fu AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + k)), 9) AS fused FROM (SELECT query_id, id, k FROM lx UNION ALL SELECT query_id, id, k FROM vx) GROUP BY 1, 2),
+lk AS (SELECT a.doc_id - 1 AS query_id, b.doc_id AS id FROM documents a JOIN documents b ON a.text[1:60] = b.text[1:60] WHERE a.doc_id % 20 = 1),
+rk AS (SELECT fu.*, cosine, d.source, row_number() OVER (PARTITION BY query_id ORDER BY (coalesce(d.lang = 'de', FALSE))::INT, fused DESC, id) AS k FROM fu JOIN documents d ON d.doc_id = fu.id LEFT JOIN vx USING (query_id, id)
+  WHERE id <> query_id AND coalesce(d.source <> 'src3', TRUE) AND (query_id, id) NOT IN (SELECT query_id, id FROM lk) {near}),
+z AS (SELECT *, 1.0::DOUBLE / k + (1 - 1.0::DOUBLE / k) * 0.35 * coalesce(least(1, greatest(0, (cosine - 0.55) / 0.3)), 0) AS s FROM rk WHERE k <= 8)
+SELECT query_id, source || '/' || id || '.md' AS path, k - 1 AS rank, fused, cosine, round(s + 1e-9, 4) AS confidence FROM z"""
+
+
+@query(_related_sql("text", 0.35))
+def search_related(spark, sf_dir):
+    """Notes related to the text of a note: not itself, none that it links to by title, none of a quiet folder, none farther than a floor; some sink."""
+    return _related(spark, sf_dir, "content", 0.35)
+
+
+@query(_related_sql("text[1:60]", None))
+def search_related_note(spark, sf_dir):
+    """Notes related to a stored note, by its own vectors and by the words of its title."""
+    return _related(spark, sf_dir, "title", None)

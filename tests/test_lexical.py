@@ -74,3 +74,64 @@ def test_gateway_query_equals_plain_search(spark, tmp_path):
     open_docs = {i: " ".join([t[:60]] * 3 + [t]) for i, t in docs.items() if i not in sealed}
     want = {(q, i): s for q, i, s in plain(open_docs, {q: sorted(set(t)) for q, t in items.items()}, 25, 0.15)}
     assert got.keys() == want.keys() and want and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def plain_fields(units, asked, k, share, boosts):
+    """``query, id, score, by field`` with counts, lengths and means of each field by itself."""
+    words = {f: {i: re.findall(r"[^\W_]+", (u[f] or "").lower()) for i, u in units.items()} for f in boosts}
+    words = {f: {i: w for i, w in x.items() if w} for f, x in words.items()}
+    vocabulary = {w for x in words.values() for t in x.values() for w in t}
+    out = []
+    for q, terms in asked.items():
+        weight = {}
+        for a in terms:
+            weight[a, a] = 1.0
+            for w in vocabulary - {a}:
+                if w.startswith(a):
+                    weight[a, w] = 0.375 * len(a) / (len(a) + 0.3 * (len(w) - len(a)))
+                if share is not None and (d := distance(a, w)) <= math.floor(len(a) * share):
+                    weight[a, w] = max(weight.get((a, w), 0), 0.45 * len(a) / (len(a) + d))
+        rows = []
+        for i in units:
+            fields, met = {}, set()
+            for f, boost in boosts.items():
+                mean = sum(map(len, words[f].values())) / max(1, len(words[f]))
+                for (a, w), by in weight.items():
+                    tf = words[f].get(i, []).count(w)
+                    if tf:
+                        df = sum(w in x for x in words[f].values())
+                        met.add(a)
+                        fields[f] = fields.get(f, 0) + by * boost * math.log(1 + (len(words[f]) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words[f][i]) / mean))
+            if met == set(terms):
+                rows.append((-round(sum(fields.values()), 6), i, {f: round(s, 6) for f, s in fields.items()}))
+        out += [(q, i, -s, f) for s, i, f in sorted(rows, key=lambda x: x[:2])[:k]]
+    return sorted(out, key=lambda x: x[:2])
+
+
+def test_fields_are_scored_by_themselves(spark):
+    from corpusloom.operators import fielded as D
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.choice([2, 3, 6, 7, 8])))
+    vocabulary = [word() for _ in range(40)]
+    vocabulary += [w + r.choice("abc") for w in vocabulary] + [w[:2] + r.choice("abc") + w[3:] for w in vocabulary]
+    some = lambda n: r.choice([None, "", " ".join(r.choice(vocabulary) for _ in range(r.randrange(n)))])
+    units = {i: {"title": some(4), "meta": some(3), "heading": some(3), "text": " ".join(r.choice(vocabulary) for _ in range(r.randrange(25)))} for i in range(120)}
+    asked = {q: sorted({r.choice(vocabulary)[: r.choice([4, 9])] for _ in range(r.choice([1, 2, 3]))}) for q in range(30)} | {30: [vocabulary[0], "nowhere"]}
+    df = spark.createDataFrame([(i, *u.values()) for i, u in units.items()], "id long, title string, meta string, heading string, text string").repartition(3)
+    terms = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "query_id long, term string")
+    for share in (None, 0.2):
+        weighted = D.weighted(D.vocabulary(df, list(D.BOOSTS)), terms, share)
+        got = sorted(((x.query_id, x.id, x.score, x.by_field) for x in D.search(df, weighted, 7).collect()), key=lambda x: x[:2])
+        want = plain_fields(units, asked, 7, share, D.BOOSTS)
+        assert [x[:2] for x in got] == [x[:2] for x in want] and len(want) > 40
+        for a, b in zip(got, want, strict=True):
+            assert abs(a[2] - b[2]) < 2e-6 and a[3].keys() == b[3].keys() and all(abs(a[3][f] - b[3][f]) < 2e-6 for f in b[3])
+
+
+def test_search_lines_are_parsed_alike(spark):
+    from corpusloom.functions import notes as N
+
+    lines = ["", "plain words", 'type:note in:"My Folder" since:2024-01 rest "a phrase" more', 'TYPE:"x y" type:z "one" "two three"', "in: nothing", '"open', "pretype:no mytype:x", 'in:"type:q w" e', "since:2024 since:2025"]
+    got = spark.createDataFrame([(x,) for x in lines], "raw string").select("raw", N.parsed_query(__import__("pyspark").sql.functions.col("raw")).alias("q")).collect()
+    assert {x.raw: x.q.asDict() for x in got} == {x: N.parse_query(x) for x in lines}
