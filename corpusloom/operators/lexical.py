@@ -27,6 +27,12 @@ def postings(docs: DataFrame, fields: dict[str, float], key: str = "doc_id", onl
     return words.groupBy("id", "len", "term").agg(F.sum("w").alias("tf")).select("id", "term", "tf", "len")
 
 
+def vocabulary(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
+    """``term``: all terms of the fields, each once; reduced within a task before anything is shuffled."""
+    cells = [F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(TOKEN), F.lit(0)) for c in fields]
+    return docs.select(F.explode(F.array_distinct(F.concat(*cells))).alias("term")).distinct()
+
+
 def statistics(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
     """``docs, mean``: how many documents have terms, and their mean weighted length; one row."""
     size = sum((F.size(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(TOKEN), F.lit(0))) * float(w) for c, w in fields.items()), F.lit(0.0))

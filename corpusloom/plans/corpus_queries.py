@@ -12,6 +12,7 @@ from corpusloom.operators import diff as D
 from corpusloom.operators import ledger as K
 from corpusloom.operators import overlap as O
 from corpusloom.operators import records as E
+from corpusloom.operators import resolve as Z
 from corpusloom.operators import similarity as S
 from corpusloom.operators import votes as A
 from corpusloom.operators.graph import connected_components
@@ -302,6 +303,29 @@ def rec_resolve_bill(spark, sf_dir):
     return E.resolve(fit, "q").unionByName(none.select("q", F.lit("none").alias("answer"), F.lit(None).cast("long").alias("record")))
 
 
+@query("""WITH r AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS o, l_shipdate::DATE AS d, l_suppkey AS s, l_returnflag <> 'R' AS open, l_partkey % 5 AS v FROM lineitem),
+q AS (SELECT id AS q, v, o, CASE v WHEN 0 THEN d WHEN 1 THEN d + 4000 WHEN 3 THEN d END AS d, CASE WHEN v IN (1, 3) THEN s END AS s FROM r WHERE id % 20 = 0),
+h AS (SELECT q, q.d AS qd, r.id, r.d = q.d AS same, q.s IS NOT NULL AS told FROM q JOIN r ON r.o = q.o AND (q.s IS NULL OR r.s = q.s) WHERE q.v < 3),
+n AS (SELECT q, qd, count(*) AS legs, count(*) FILTER (coalesce(same, TRUE)) AS on_day, count(*) FILTER (told) AS moved FROM h GROUP BY 1, 2),
+w AS (SELECT q, CASE WHEN qd IS NULL THEN 'legs' WHEN on_day > 0 THEN 'on_day' WHEN moved = 1 THEN 'moved' ELSE 'legs' END AS w, CASE WHEN qd IS NULL THEN legs = 1 WHEN on_day > 0 THEN on_day = 1 ELSE moved = 1 END AS one FROM n),
+f AS (SELECT q, one, id FROM h JOIN w USING (q) WHERE w <> 'on_day' OR coalesce(same, TRUE)),
+t AS (SELECT q, r.id FROM q JOIN r ON r.s = q.s AND r.d = q.d AND r.open WHERE q.v = 3),
+a AS (SELECT q, CASE WHEN one THEN 'exact' ELSE 'several' END AS answer, min(id) AS id, list_sort(list(id))[1:6] AS c, one FROM f GROUP BY q, one UNION ALL SELECT q, CASE count(*) WHEN 1 THEN 'unique' ELSE 'several' END, min(id), list_sort(list(id))[1:6], count(*) = 1 FROM t GROUP BY q)
+SELECT q, coalesce(answer, 'none') AS answer, CASE WHEN one THEN id END AS id, CASE WHEN NOT one THEN array_to_string(c, ',') END AS candidates FROM q LEFT JOIN a USING (q)""")
+def rec_resolve_leg(spark, sf_dir):
+    """Which journey an observation means: every twentieth one asks, by its booking with the day, with its service on another
+    day, or alone, by its service and day, or by nothing. Lines of an order are the legs of a booking, suppliers their services."""
+    li = table(spark, sf_dir, "lineitem")
+    number, none = F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), F.lit(None)
+    cell = {"id": F.col("l_orderkey") * 8 + F.col("l_linenumber"), "kind": F.lit("transport"), "state": F.when(F.col("l_returnflag") == "R", "cancelled").otherwise("booked"), "refs": F.array(F.concat(F.lit("ORD-"), F.col("l_orderkey").cast("string"))), "start": F.date_format("l_shipdate", "yyyy-MM-dd"), "fields": F.create_map(F.lit("number"), number)}
+    records = li.select(*(cell.get(c.split()[0], none).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in Z.RECORDS.split(", ")))
+    v, day = F.col("l_partkey") % 5, F.to_date("l_shipdate")
+    date = F.when(v.isin(0, 3), day).when(v == 1, F.date_add(day, 4000))
+    asks = {"q": cell["id"], "kind": F.lit("transport"), "refs": F.when(v < 3, F.array(F.concat(F.lit("ord "), F.col("l_orderkey").cast("string")))), "date": F.date_format(date, "yyyy-MM-dd"), "number": F.when(v.isin(1, 3), number)}
+    queries = li.where(cell["id"] % 20 == 0).select(*(asks.get(c.split()[0], none).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in Z.QUERIES.split(", ")))
+    return Z.resolve(records, queries).select("q", "answer", "id", F.array_join("candidates", ",").alias("candidates"))
+
+
 @query("""WITH q AS (SELECT o_orderkey AS q, o_custkey, o_orderdate::DATE AS lo, o_orderdate::DATE + 3 AS hi FROM orders), c AS (SELECT a.q, b.q AS record FROM q a JOIN q b ON a.o_custkey = b.o_custkey AND a.q <> b.q AND a.lo < b.hi AND b.lo < a.hi)
 SELECT q, CASE WHEN count(*) = 1 THEN 'unique' ELSE 'several' END AS answer, CASE WHEN count(*) = 1 THEN min(record) END AS record FROM c GROUP BY 1""")
 def rec_resolve_stay(spark, sf_dir):
@@ -469,7 +493,7 @@ def _letters(note):
 
 
 def _letters_of_small(note):
-    if note["value"] >= 250:
+    if note["value"] >= 80:
         raise ValueError("too large")
     return _letters(note)
 
@@ -483,7 +507,7 @@ def stream_index(spark, sf_dir):
     return upkeep.notes(spark, home).join(n, "path").select("path", "seq", "event_type", "n")
 
 
-@query(f"WITH {_CHANGES} SELECT path, seq FROM l WHERE k = 1 AND NOT gone AND value >= 250")
+@query(f"WITH {_CHANGES} SELECT path, seq FROM l WHERE k = 1 AND NOT gone AND value >= 80")
 def stream_parked(spark, sf_dir):
     """Notes whose last change fails however often it is tried; all others are in the index."""
     feed, home = _files(spark, _changes(spark, sf_dir), "changes")
@@ -533,11 +557,19 @@ def set_line_diff(spark, sf_dir):
 QUERIES["set_line_diff"] = set_line_diff
 
 
-@query("""WITH e AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS dst FROM pages) SELECT a.page_id AS left_id, b.page_id AS right_id, count(*) AS shared FROM e a JOIN e b ON a.dst = b.dst AND a.page_id < b.page_id GROUP BY 1, 2""")
-def join_shared_links(spark, sf_dir):
-    """Pages that link to the same places, by the lists of these; a place that many pages link to is dealt over tasks."""
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.regexp_extract_all("html", F.lit(r'href="(/[^"]*)"'), F.lit(1)).alias("links"))
-    return O.sharing(p, p, "links").where("left_id < right_id")
+_MAIL = r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, list_sort(list_distinct(regexp_extract_all(text, '{_MAIL}'))) AS s FROM documents), c AS (SELECT s, min(id) AS class_id, count(*) AS n FROM d WHERE len(s) > 0 GROUP BY 1),
+e AS (SELECT class_id, unnest(s) AS x FROM c), l AS (SELECT a.class_id, count(DISTINCT b.class_id) AS links FROM e a JOIN e b ON a.x = b.x AND a.class_id <> b.class_id GROUP BY 1)
+SELECT d.id AS doc_id, c.class_id, c.n, coalesce(links, 0) AS links FROM d JOIN c USING (s) LEFT JOIN l USING (class_id)""")
+def join_shared_contacts(spark, sf_dir):
+    """Documents by the addresses in them: a class for each set of these, and how many other classes share one."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract_all("text", F.lit(_MAIL), F.lit(0)).alias("addresses"))
+    members, pairs = O.sharing_classes(d, "addresses")
+    both = pairs.select(F.explode(F.array("left_id", "right_id")).alias("class_id"))
+    links = both.groupBy("class_id").agg(F.count("*").alias("links"))
+    return members.join(links, "class_id", "left").select(F.col("id").alias("doc_id"), "class_id", "n", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 _NAMED = r"""p AS (SELECT p_partkey AS id, p_size AS size, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_type WHEN 2 THEN upper(p_brand || ' ' || p_type) ELSE p_brand || p_size END AS name FROM part),

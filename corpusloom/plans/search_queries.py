@@ -74,10 +74,15 @@ def lex_bm25_and(spark, sf_dir):
     return L.search(table(spark, sf_dir, "documents"), {"text": 1.0}, _asked(spark, sf_dir), 50, every=True)
 
 
+def _all_met(docs, fields, asked, share, k):
+    """All asked terms met, each by what stands for it: first the vocabulary is searched, then only what stands for a term is counted."""
+    terms = cut(L.expanded(L.vocabulary(docs, fields), asked, share))
+    return L.search(docs, fields, terms, k, every=True)
+
+
 def lex_bm25_expanded(spark, sf_dir):
     """All terms met, each exactly, as a prefix or within the edit distance."""
-    index, terms = _index(spark, sf_dir), _asked(spark, sf_dir)
-    return L.bm25(index, L.expanded(index, terms), 50, every=True)
+    return _all_met(table(spark, sf_dir, "documents"), {"text": 1.0}, _asked(spark, sf_dir), 0.2, 50)
 
 
 QUERIES["lex_bm25_expanded"] = lex_bm25_expanded
@@ -103,8 +108,7 @@ _WIDE = "w AS (SELECT DISTINCT query_id, v.term, asked FROM (SELECT DISTINCT que
 SELECT query_id, id, score, k - 1 AS rank FROM (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM sc JOIN n USING (query_id) WHERE met = needed) WHERE k <= 50""")
 def lex_prefix_and(spark, sf_dir):
     """All terms met, each exactly or as a prefix."""
-    index, terms = _index(spark, sf_dir), _asked(spark, sf_dir)
-    return L.bm25(index, L.expanded(index, terms, None), 50, every=True)
+    return _all_met(table(spark, sf_dir, "documents"), {"text": 1.0}, _asked(spark, sf_dir), None, 50)
 
 
 def lex_gateway(spark, sf_dir):
@@ -113,8 +117,7 @@ def lex_gateway(spark, sf_dir):
     twin: DuckDB's edit distance counts bytes. A test compares with brute force."""
     sealed = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
     d = table(spark, sf_dir, "documents").join(sealed, "doc_id", "left_anti").select("doc_id", F.substring("text", 1, 60).alias("title"), "text")
-    index = cut(L.postings(d, {"title": 3.0, "text": 1.0}))
-    return L.bm25(index, L.expanded(index, _asked(spark, sf_dir), 0.15), 25, every=True)
+    return _all_met(d, {"title": 3.0, "text": 1.0}, _asked(spark, sf_dir), 0.15, 25)
 
 
 QUERIES["lex_gateway"] = lex_gateway
@@ -339,10 +342,10 @@ QUERIES["search_next_action"] = search_next_action
 
 
 def _lines(spark, sf_dir):
-    """A search line for each benchmark item: its four longest context terms, the first cut to six letters, with filters or a phrase."""
-    words = F.slice(F.split(T.context_terms(F.col("text")), " "), 1, 4)
+    """A search line for each benchmark item: its two longest context terms, the first cut to six letters, with filters or a phrase."""
+    words = F.slice(F.split(T.context_terms(F.col("text")), " "), 1, 2)
     first = F.substring(words[0], 1, 6)
-    rest = F.array_join(F.slice(words, 2, 3), " ")
+    rest = F.array_join(F.slice(words, 2, 1), " ")
     k = F.col("item_id") % 4
     line = (
         F.when(k == 0, F.concat_ws(" ", first, rest))
@@ -374,7 +377,7 @@ _FIELDED = rf"""f AS (SELECT doc_id AS id, 'title' AS field, 2.0::DOUBLE AS boos
 tk AS (SELECT id, field, boost, unnest(regexp_extract_all(t, '[\p{{L}}\p{{N}}]+')) AS term FROM f), p AS (SELECT id, field, boost, term, count(*)::DOUBLE AS tf FROM tk GROUP BY ALL),
 pl AS (SELECT *, sum(tf) OVER (PARTITION BY id, field) AS len FROM p), st AS (SELECT field, count(*) AS docs, avg(len) AS mean FROM (SELECT DISTINCT id, field, len FROM pl) GROUP BY 1),
 {_ASKED.replace("a AS (SELECT item_id AS query_id, w AS term, w AS asked FROM", "ct AS (SELECT item_id AS query_id, w, k FROM")},
-aw AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(CASE WHEN k = 1 THEN w[1:6] ELSE w END, '[\p{{L}}\p{{N}}]+')) AS asked FROM ct WHERE k <= 4),
+aw AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(CASE WHEN k = 1 THEN w[1:6] ELSE w END, '[\p{{L}}\p{{N}}]+')) AS asked FROM ct WHERE k <= 2),
 w AS (SELECT query_id, asked, term, max(weight) AS weight FROM (SELECT query_id, asked, asked AS term, 1.0::DOUBLE AS weight FROM aw
   UNION ALL SELECT query_id, asked, v.term, 0.375::DOUBLE * length(asked) / (length(asked) + 0.3::DOUBLE * (length(v.term) - length(asked))) FROM aw JOIN (SELECT DISTINCT term FROM pl) v ON starts_with(v.term, asked) AND v.term <> asked) GROUP BY ALL),
 df AS (SELECT field, term, count(*) AS df FROM pl WHERE term IN (SELECT term FROM w) GROUP BY 1, 2),
