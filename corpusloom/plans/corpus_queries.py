@@ -303,7 +303,7 @@ def rec_resolve_bill(spark, sf_dir):
     return E.resolve(fit, "q").unionByName(none.select("q", F.lit("none").alias("answer"), F.lit(None).cast("long").alias("record")))
 
 
-@query("""WITH r AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS o, l_shipdate::DATE AS d, l_suppkey AS s, l_returnflag <> 'R' AS open, l_partkey % 5 AS v FROM lineitem),
+@query("""WITH r AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS o, l_shipdate::DATE AS d, l_suppkey AS s, l_returnflag <> 'R' AS open, l_partkey % 5 AS v FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_returnflag) = 1),
 q AS (SELECT id AS q, v, o, CASE v WHEN 0 THEN d WHEN 1 THEN d + 4000 WHEN 3 THEN d END AS d, CASE WHEN v IN (1, 3) THEN s END AS s FROM r WHERE id % 20 = 0),
 h AS (SELECT q, q.d AS qd, r.id, r.d = q.d AS same, q.s IS NOT NULL AS told FROM q JOIN r ON r.o = q.o AND (q.s IS NULL OR r.s = q.s) WHERE q.v < 3),
 n AS (SELECT q, qd, count(*) AS legs, count(*) FILTER (coalesce(same, TRUE)) AS on_day, count(*) FILTER (told) AS moved FROM h GROUP BY 1, 2),
@@ -315,7 +315,9 @@ SELECT q, coalesce(answer, 'none') AS answer, CASE WHEN one THEN id END AS id, C
 def rec_resolve_leg(spark, sf_dir):
     """Which journey an observation means: every twentieth one asks, by its booking with the day, with its service on another
     day, or alone, by its service and day, or by nothing. Lines of an order are the legs of a booking, suppliers their services."""
-    li = table(spark, sf_dir, "lineitem")
+    # a line that is there more than once counts once
+    line = F.min(F.struct("l_partkey", "l_suppkey", "l_shipdate", "l_returnflag")).alias("l")
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(line).select("l_orderkey", "l_linenumber", "l.*")
     number, none = F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), F.lit(None)
     cell = {"id": F.col("l_orderkey") * 8 + F.col("l_linenumber"), "kind": F.lit("transport"), "state": F.when(F.col("l_returnflag") == "R", "cancelled").otherwise("booked"), "refs": F.array(F.concat(F.lit("ORD-"), F.col("l_orderkey").cast("string"))), "start": F.date_format("l_shipdate", "yyyy-MM-dd"), "fields": F.create_map(F.lit("number"), number)}
     records = li.select(*(cell.get(c.split()[0], none).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in Z.RECORDS.split(", ")))
