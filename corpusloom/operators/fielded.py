@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.lexical import B, K1, TOKEN, fuzzy, prefixed
+from corpusloom.operators.lexical import B, K1, TOKEN, few, fuzzy, prefixed
 
 # How much a field counts.
 BOOSTS = {"title": 2.0, "meta": 2.0, "heading": 1.5, "text": 1.0}
@@ -29,7 +29,7 @@ def postings(units: DataFrame, fields: list[str], key: str = "id", only: DataFra
     An empty or null field has no rows; counts are taken within a task before anything is shuffled."""
     words = _cells(units, fields, key).select("id", "field", "len", F.explode("terms").alias("term"))
     if only is not None:
-        words = words.join(only.select("term").distinct(), "term", "left_semi")
+        words = words.join(few(only.select("term").distinct()), "term", "left_semi")
     return words.groupBy("id", "field", "len", "term").agg(F.count("*").cast("double").alias("tf")).select("id", "field", "term", "tf", "len")
 
 

@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.lineage import cut
+
 #: Published BM25 constants.
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
+#: Terms that may travel to every task, and their letters at most.
+FEW, LONG = 100_000, 100
+
+
+def few(terms: DataFrame) -> DataFrame:
+    """Terms, to travel to every task if they are at most ``FEW`` and no longer than words; else both sides of a join are dealt out."""
+    terms = cut(terms)
+    n, longest = terms.agg(F.count("*"), F.max(F.length("term"))).first()
+    return F.broadcast(terms) if n <= FEW and (longest or 0) <= LONG else terms
 
 
 def postings(docs: DataFrame, fields: dict[str, float], key: str = "doc_id", only: DataFrame | None = None) -> DataFrame:
@@ -23,7 +34,7 @@ def postings(docs: DataFrame, fields: dict[str, float], key: str = "doc_id", onl
     rows = docs.select(F.col(key).alias("id"), long.alias("fields"), size.alias("len")).where("len > 0")
     words = rows.select("id", "len", F.explode("fields").alias("f")).select("id", "len", "f.w", F.explode("f.terms").alias("term"))
     if only is not None:
-        words = words.join(only.select("term").distinct(), "term", "left_semi")
+        words = words.join(few(only.select("term").distinct()), "term", "left_semi")
     return words.groupBy("id", "len", "term").agg(F.sum("w").alias("tf")).select("id", "term", "tf", "len")
 
 

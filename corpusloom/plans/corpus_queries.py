@@ -9,6 +9,7 @@ from corpusloom.functions import predicates as P
 from corpusloom.functions import text as T
 from corpusloom.operators import changes as X
 from corpusloom.operators import diff as D
+from corpusloom.operators import evaluation as V
 from corpusloom.operators import ledger as K
 from corpusloom.operators import overlap as O
 from corpusloom.operators import records as E
@@ -77,6 +78,46 @@ def agg_placement(spark, sf_dir):
 QUERIES["agg_placement"] = agg_placement
 
 
+_FOLDERS = """f AS (SELECT doc_id, lang || '/' || source || CASE WHEN doc_id % 3 = 0 THEN '/deep' ELSE '' END AS folder, 'q' || doc_id % 700 AS entry, 1.0::DOUBLE + doc_id % 4 AS weight FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)"""
+
+
+@query(f"""WITH {_FOLDERS}, t AS (SELECT entry, sum(weight) AS total FROM f GROUP BY 1 HAVING count(*) >= 2 AND sum(weight) > 0), p AS (SELECT entry, weight, string_split(folder, '/') AS p FROM f),
+s AS (SELECT entry, weight, p, unnest(range(len(p))) AS step FROM p), a AS (SELECT entry, step, array_to_string(p[1:len(p) - step], '/') AS folder, sum(weight) AS weight FROM s GROUP BY ALL),
+w AS (SELECT a.*, row_number() OVER (PARTITION BY entry ORDER BY step) AS k FROM a JOIN t USING (entry) WHERE folder <> '' AND a.weight > total / 2) SELECT entry, folder FROM w WHERE k = 1""")
+def agg_folder_vote(spark, sf_dir):
+    """Where an entry belongs by the folders of its neighbours, weighted, those without a majority asked for the folder above."""
+    d = table(spark, sf_dir, "documents").where("lang is not null and source is not null")
+    folder = F.concat(F.concat_ws("/", "lang", "source"), F.when(F.col("doc_id") % 3 == 0, "/deep").otherwise(""))
+    votes = d.select(F.concat(F.lit("q"), (F.col("doc_id") % 700).cast("string")).alias("entry"), folder.alias("folder"), (1.0 + F.col("doc_id") % 4).alias("weight"))
+    return A.placement(votes)
+
+
+_CHUNKED = """c AS (SELECT vec_id // 4 AS note, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT DISTINCT note FROM c), k AS (SELECT note AS src, note + 1 AS dst FROM n UNION SELECT note, note + 7 FROM n),
+p AS (SELECT a.note AS src, b.note AS dst, max(round(list_cosine_similarity(a.v, b.v), 6)) AS score FROM c a JOIN c b ON a.note <> b.note AND b.note % 11 <> 0 GROUP BY 1, 2),
+r AS (SELECT src, dst, score, (SELECT count(*) FROM p o WHERE o.src = p.src AND o.score > p.score) + 1 AS rank FROM p JOIN k USING (src, dst))"""
+
+
+@query(f"WITH {_CHUNKED} SELECT src, dst, score, rank FROM r")
+def eval_link_ranks(spark, sf_dir):
+    """The rank of each note's links (to the next note and the seventh after) among all notes by their best pair of chunks; every eleventh note is quiet."""
+    return V.link_ranks(*_linked_chunks(spark, sf_dir))
+
+
+def _linked_chunks(spark, sf_dir):
+    c = _vec(spark, sf_dir).select(F.floor(F.col("id") / 4).cast("long").alias("note"), "v")
+    n = c.select("note").distinct()
+    links = n.select(F.col("note").alias("src"), F.explode(F.array(F.col("note") + 1, F.col("note") + 7)).alias("dst"))
+    return c, links, F.col("note") % 11 != 0
+
+
+@query(f"""WITH {_CHUNKED}, s AS (SELECT src, count(*) AS n, avg((rank <= 5)::INT) AS r5, avg((rank <= 10)::INT) AS r10, 1.0::DOUBLE / min(rank) AS first, sum(1.0::DOUBLE / rank) AS each FROM r GROUP BY 1)
+SELECT count(*) AS sources, sum(n)::BIGINT AS pairs, round(avg(r5) + 1e-9, 6) AS recall_5, round(avg(r10) + 1e-9, 6) AS recall_10, round(avg(first) + 1e-9, 6) AS mrr_first, round(sum(each) / sum(n) + 1e-9, 6) AS mrr_per_link FROM s""")
+def eval_links(spark, sf_dir):
+    """The same as recalls and mean reciprocal ranks."""
+    s = V.link_summary(V.link_ranks(*_linked_chunks(spark, sf_dir)))
+    return s.select("sources", "pairs", *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("recall_5", "recall_10", "mrr_first", "mrr_per_link")))
+
+
 @query(f"""WITH {_E}, n AS (SELECT src AS entry, dst AS other, cosine FROM e UNION ALL SELECT dst, src, cosine FROM e)
 SELECT entry, round(coalesce(sum(cosine) FILTER (WHERE v.label % 2 = 1), 0) / sum(cosine), 6) AS affinity FROM n JOIN v ON v.id = other GROUP BY 1""")
 def agg_affinity(spark, sf_dir):
