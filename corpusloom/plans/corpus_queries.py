@@ -19,6 +19,7 @@ from corpusloom.operators import votes as A
 from corpusloom.operators.graph import connected_components
 from corpusloom.operators.spread import pick, split_join
 from corpusloom.plans.notes import LINKS_SQL, links, notes
+from corpusloom.sources import typed
 from corpusloom.sources.tables import table
 from corpusloom.streaming import feeds, late, upkeep
 
@@ -626,3 +627,23 @@ def rec_audit_names(spark, sf_dir):
     name = F.when(k == 0, F.col("p_name")).when(k == 1, F.col("p_type")).when(k == 2, F.upper(F.concat_ws(" ", "p_brand", "p_type"))).otherwise(F.concat("p_brand", F.col("p_size").cast("string")))
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"), name.alias("title"))
     return O.names_inside(p, ["size"], "title")
+
+
+@query("""SELECT o_orderkey::VARCHAR AS id, CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'issued' ELSE 'held' END AS state, o_orderstatus IN ('F', 'O') AS state_known, CASE WHEN o_orderkey % 10 <> 3 THEN round(o_totalprice, 2) END AS amount,
+strftime(o_orderdate, '%Y-%m-%d') AS due, (o_orderkey % 10 = 3)::INT AS errors, (o_orderkey % 13 = 5 OR o_orderkey % 10 = 3) AS human_edited FROM orders WHERE o_orderkey % 17 <> 4 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY o_custkey, o_orderdate, o_totalprice) = 1""")
+def rec_typed(spark, sf_dir):
+    """Orders written as notes of bills and read again: some amounts aren't numbers, some notes were edited, some aren't records."""
+    o = table(spark, sf_dir, "orders").groupBy("o_orderkey").agg(F.min(F.struct("o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus")).alias("o")).select("o_orderkey", "o.*")
+    key, none = F.col("o_orderkey"), F.lit(None)
+    state = F.when(F.col("o_orderstatus") == "F", "paid").when(F.col("o_orderstatus") == "O", "issued").otherwise("held")
+    cell = {
+        "path": F.concat(F.lit("Agent/Bills/"), key.cast("string"), F.lit(".md")), "id": key.cast("string"), "kind": F.lit("bill"), "title": F.concat(F.lit("Bill: no. "), key.cast("string")), "state": state, "body": F.lit("\nas it was\n"),
+        "fields": F.create_map(F.lit("amount"), F.round("o_totalprice", 2).cast("string"), F.lit("due"), F.date_format("o_orderdate", "yyyy-MM-dd")),
+    }
+    records = o.select(*(cell.get(c.split()[0], none).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in typed.RECORD.split(", ")))
+    notes = typed.serialize_records(records)
+    n = F.regexp_extract("path", "([0-9]+)[.]md$", 1).cast("long")
+    text = F.when(n % 17 == 4, F.regexp_replace("content", "type: \"bill\"", "type: \"note\"")).when(n % 13 == 5, F.regexp_replace("content", "as it was", "as it is now")).otherwise(F.col("content"))
+    text = F.when(n % 10 == 3, F.regexp_replace(text, "amount: [0-9.]+", "amount: unclear")).otherwise(text)
+    rows = typed.parse_records(notes.select("path", text.alias("content")))
+    return rows.select("id", "state", "state_known", F.col("fields")["amount"].cast("double").alias("amount"), F.col("fields")["due"].alias("due"), F.size("errors").alias("errors"), "human_edited")
