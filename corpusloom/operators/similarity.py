@@ -30,17 +30,17 @@ def dequantized(q: Column) -> Column:
     return F.transform(q["data"], lambda x: x * q["scale"])
 
 
-def _blocks(df: DataFrame, salt: int) -> tuple[DataFrame, int]:
-    n = max(1, -(-df.count() // BLOCK))
+def _blocks(df: DataFrame, salt: int, size: int) -> tuple[DataFrame, int]:
+    n = max(1, -(-df.count() // size))
     return df.withColumn("_b", F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")), n
 
 
-def _by_blocks(queries: DataFrame, rows: DataFrame, run, schema: str, *more: str) -> DataFrame:
+def _by_blocks(queries: DataFrame, rows: DataFrame, run, schema: str, *more: str, asked: int = 0) -> DataFrame:
     """Every block of queries meets every block of rows in one task. ``run`` gets, some queries at
     a time, their ids, the ids of the block's rows in order, the cosines (rounded to 6 digits; -2
     for a vector and itself) and the columns ``more`` of either side, and gives columns."""
-    q, nq = _blocks(queries.where("v is not null").select("id", "v", *more), 1)
-    x, nx = _blocks(rows.where("v is not null").select("id", "v", *more), 2)
+    q, nq = _blocks(queries.where("v is not null").select("id", "v", *more), 1, asked or BLOCK)
+    x, nx = _blocks(rows.where("v is not null").select("id", "v", *more), 2, BLOCK)
     q = q.select(F.col("_b").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("xb"), F.struct("id", "v", *more).alias("q"))
     x = x.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.col("_b").alias("xb"), F.struct("id", "v", *more).alias("x"))
     q, x = q.select("qb", "xb", "q.*"), x.select("qb", "xb", "x.*")
@@ -64,12 +64,12 @@ def _by_blocks(queries: DataFrame, rows: DataFrame, run, schema: str, *more: str
     return q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInPandas(task, schema)
 
 
-def cosines(queries: DataFrame, rows: DataFrame, floor: float, k: int | None = None, below: bool = False) -> DataFrame:
+def cosines(queries: DataFrame, rows: DataFrame, floor: float, k: int | None = None, below: bool = False, asked: int = 0) -> DataFrame:
     """``query_id, id, cosine`` for pairs of ``queries`` and ``rows`` (``id, v``) at or over a floor.
 
     A block of each is a product of two matrices in one task; with ``k`` only each query's
     k best of a block leave it. ``below`` keeps the pairs with query_id < id, for self-joins;
-    a vector never meets its own id. Cosines are rounded to 6 digits. All vectors must have
+    a vector never meets its own id. Rows go to each block of queries, of ``asked`` or else ``BLOCK``. Cosines are rounded to 6 digits. All vectors must have
     one length; null vectors are left out.
     """
 
@@ -88,7 +88,7 @@ def cosines(queries: DataFrame, rows: DataFrame, floor: float, k: int | None = N
             i, j = np.nonzero(cos >= max(floor, -1))
         return names[i], ids[j], cos[i, j]
 
-    return _by_blocks(queries, rows, run, "query_id long, id long, cosine double")
+    return _by_blocks(queries, rows, run, "query_id long, id long, cosine double", asked=asked)
 
 
 def best_by_group(queries: DataFrame, rows: DataFrame) -> DataFrame:

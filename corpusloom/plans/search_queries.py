@@ -414,7 +414,7 @@ def related(contexts, lexical_text, vectors, units, unit_vectors, noted, out, lo
     lexical = L.search(units.withColumnRenamed("id", "doc_id"), {"text": 1.0}, asked, legs).select(F.lit(0).alias("list_id"), "query_id", "id", "rank")
     # vectors of contexts get ids of their own, below those of units
     q = vectors.withColumn("id", -2 - F.pmod(F.xxhash64("query_id", "v"), F.lit(1 << 62)))
-    near = S.top(S.cosines(q.select("id", "v").distinct(), unit_vectors, FLOOR, legs), legs).drop("rank")
+    near = S.top(S.cosines(q.select("id", "v").distinct(), unit_vectors, FLOOR, legs, asked=4 * S.BLOCK), legs).drop("rank")
     near = near.withColumnRenamed("query_id", "_v").join(q.select(F.col("id").alias("_v"), "query_id"), "_v")
     near = cut(near.groupBy("query_id", "id").agg(F.max("cosine").alias("cosine")))
     vector = S.top(near, 1 << 30).select(F.lit(1).alias("list_id"), "query_id", "id", "rank")
