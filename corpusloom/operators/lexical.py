@@ -14,11 +14,11 @@ TOKEN = r"[\p{L}\p{N}]+"
 FEW, LONG = 100_000, 100
 
 
-def few(terms: DataFrame) -> DataFrame:
-    """Terms, to travel to every task if they are at most ``FEW`` and no longer than words; else both sides of a join are dealt out."""
-    terms = cut(terms)
-    n, longest = terms.agg(F.count("*"), F.max(F.length("term"))).first()
-    return F.broadcast(terms) if n <= FEW and (longest or 0) <= LONG else terms
+def few(rows: DataFrame, text: str = "term") -> DataFrame:
+    """Rows of terms, to travel to every task if they are at most ``FEW`` and no longer than words; else both sides of a join are dealt out."""
+    rows = cut(rows)
+    n, longest = rows.agg(F.count("*"), F.max(F.length(text))).first()
+    return F.broadcast(rows) if n <= FEW and (longest or 0) <= LONG else rows
 
 
 def postings(docs: DataFrame, fields: dict[str, float], key: str = "doc_id", only: DataFrame | None = None) -> DataFrame:
@@ -95,7 +95,7 @@ def fuzzy(vocabulary: DataFrame, terms: DataFrame, share: float = 0.2) -> DataFr
     pieces = pieces.withColumn("w", F.length("piece"))
     lengths = pieces.select("w").distinct()  # as many as asked lengths
     grams = vocabulary.select("term").distinct().join(F.broadcast(lengths), F.length("term") >= F.col("w")).select("term", "w", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("term") - F.col("w") + 1), lambda p: F.substring(F.col("term"), p, F.col("w")))).alias("pos", "piece"))
-    met = grams.join(pieces, ["w", "piece"]).where(F.abs(F.col("pos") - F.col("at")) <= F.col("d")).where(F.abs(F.length("term") - F.length("asked")) <= F.col("d"))
+    met = grams.join(few(pieces, "asked"), ["w", "piece"]).where(F.abs(F.col("pos") - F.col("at")) <= F.col("d")).where(F.abs(F.length("term") - F.length("asked")) <= F.col("d"))
     near = met.select("query_id", "asked", "d", "term").distinct().withColumn("distance", F.levenshtein("asked", "term"))
     return near.where("distance <= d").select("query_id", "asked", "term", "distance")
 
@@ -106,7 +106,7 @@ def prefixed(vocabulary: DataFrame, terms: DataFrame, least: int = 1) -> DataFra
     asked = terms.select("query_id", F.col("term").alias("asked")).distinct().where(F.length("asked") >= least)
     lengths = asked.select(F.length("asked").alias("n")).distinct()  # as many as asked lengths
     heads = vocabulary.select("term").distinct().join(F.broadcast(lengths), F.length("term") >= F.col("n")).select("term", F.substring(F.col("term"), F.lit(1), F.col("n")).alias("asked"))
-    return heads.join(asked, "asked").select("query_id", "asked", "term")
+    return heads.join(few(asked, "asked"), "asked").select("query_id", "asked", "term")
 
 
 def expanded(index: DataFrame, terms: DataFrame, share: float | None = 0.2) -> DataFrame:

@@ -67,6 +67,24 @@ def themes(edges: DataFrame, covered: DataFrame, least: int = 3, cover: float =
     return best.where((F.col("size") >= least) & (F.coalesce("best", F.lit(0.0)) < cover)).select("component", "size")
 
 
+def theme_evidence(hits: DataFrame, permanent: DataFrame, near: float, least: int = 3, cover: float = 0.75, most: int = 4) -> DataFrame:
+    """``component, size, best, evidence``: themes as in ``themes``, with what they say.
+
+    ``hits`` has ``src, dst, cosine, snippet``: what each dated entry found among dated ones, from both
+    sides; those at ``near`` or over make components. ``permanent`` has ``node, cosine``: hits among permanent notes, of which the
+    best must stay under ``cover``. Evidence is at most ``most`` different snippets of hits, nearest first.
+    """
+    edges = hits.where(F.col("cosine") >= near)
+    comp = connected_components(edges.select("src", "dst"))
+    best = permanent.groupBy("node").agg(F.max("cosine").alias("cosine"))
+    kept = comp.join(best, "node", "left").groupBy("component").agg(F.count("*").alias("size"), F.coalesce(F.max("cosine"), F.lit(0.0)).alias("best"))
+    kept = kept.where((F.col("size") >= least) & (F.col("best") < cover))
+    said = edges.join(comp.withColumnRenamed("node", "src"), "src").groupBy("component", "snippet").agg(F.max("cosine").alias("cosine"))
+    first = said.withColumn("_k", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("cosine"), "snippet"))).where(F.col("_k") <= most)
+    evidence = first.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "snippet"))), lambda x: x.snippet).alias("evidence"))
+    return kept.join(evidence, "component").select("component", "size", "best", "evidence")
+
+
 def weave(edges: DataFrame, woven: DataFrame) -> DataFrame:
     """``thread, entry, cosine``: entries outside every thread with an edge into one; ``woven`` has ``thread, entry``."""
     both = edges.select("src", "dst", "cosine").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cosine"))

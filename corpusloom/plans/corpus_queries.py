@@ -210,6 +210,24 @@ def graph_themes(spark, sf_dir):
     return A.themes(e, covered, cover=0.45)
 
 
+@query(f"""WITH RECURSIVE {_V}, s AS (SELECT v.*, coalesce(text[1:60], 'vector ' || id) AS snippet FROM v LEFT JOIN documents ON doc_id = id),
+p AS (SELECT a.id AS src, b.id AS dst, b.label, b.snippet, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM s a JOIN s b ON a.id <> b.id WHERE a.label <> 0),
+e AS (SELECT * FROM p WHERE label <> 0 AND cosine >= 0.38), r(node, seen) AS (SELECT src, src FROM e UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.seen), c AS (SELECT node, min(seen) AS component FROM r GROUP BY 1),
+m AS (SELECT src AS node, max(cosine) AS cosine FROM p WHERE label = 0 AND cosine >= 0.3 GROUP BY 1), k AS (SELECT component, count(*) AS size, coalesce(max(cosine), 0) AS best FROM c LEFT JOIN m USING (node) GROUP BY 1 HAVING count(*) >= 3 AND coalesce(max(cosine), 0) < 0.4),
+d AS (SELECT component, snippet, max(cosine) AS cosine FROM e JOIN c ON c.node = e.src GROUP BY 1, 2), f AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY cosine DESC, snippet) AS n FROM d)
+SELECT component, any_value(size) AS size, any_value(best) AS best, string_agg(snippet, ' | ' ORDER BY n) AS evidence FROM k JOIN f USING (component) WHERE n <= 4 GROUP BY 1""")
+def graph_theme_evidence(spark, sf_dir):
+    """Thoughts that come again in dated entries and that no permanent note (label 0) holds yet, with the nearest of what they say."""
+    text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("dst"), F.substring("text", 1, 60).alias("snippet"))
+    v = _vec(spark, sf_dir)
+    dated, permanent = v.where("label <> 0"), v.where("label = 0")
+    one = S.cosines(dated, dated, 0.38, below=True).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "cosine")
+    both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cosine"))
+    hits = both.join(text, "dst", "left").withColumn("snippet", F.coalesce("snippet", F.concat(F.lit("vector "), F.col("dst").cast("string"))))
+    near = S.cosines(dated, permanent, FLOOR).select(F.col("query_id").alias("node"), "cosine")
+    return A.theme_evidence(hits, near, 0.38, cover=0.4).withColumn("evidence", F.array_join("evidence", " | "))
+
+
 @query(f"""WITH {_E}, w AS (SELECT label AS thread, id AS entry FROM v WHERE label < 3), b AS (SELECT src, dst, cosine FROM e UNION ALL SELECT dst, src, cosine FROM e)
 SELECT thread, src AS entry, max(cosine) AS cosine FROM b JOIN w ON entry = dst WHERE src NOT IN (SELECT entry FROM w) GROUP BY 1, 2""")
 def graph_weave(spark, sf_dir):
