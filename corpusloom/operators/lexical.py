@@ -10,15 +10,15 @@ from corpusloom.sources.lineage import cut
 #: Published BM25 constants.
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
-#: Terms that may travel to every task, and their letters at most.
-FEW, LONG = 100_000, 100
+#: Bytes of terms that may travel to every task.
+SENT = 64_000_000
 
 
 def few(rows: DataFrame, text: str = "term") -> DataFrame:
-    """Rows of terms, to travel to every task if they are at most ``FEW`` and no longer than words; else both sides of a join are dealt out."""
+    """Rows of terms, to travel to every task if they take at most ``SENT`` bytes, as counted; else both sides of a join are dealt out."""
     rows = cut(rows)
-    n, longest = rows.agg(F.count("*"), F.max(F.length(text))).first()
-    return F.broadcast(rows) if n <= FEW and (longest or 0) <= LONG else rows
+    size = rows.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
+    return F.broadcast(rows) if size <= SENT else rows
 
 
 def postings(docs: DataFrame, fields: dict[str, float], key: str = "doc_id", only: DataFrame | None = None) -> DataFrame:

@@ -129,7 +129,7 @@ def properties(text: str) -> tuple[dict, str]:
     if not m:
         return {}, text
     out, open_list = {}, None
-    for line in m[1].splitlines():
+    for line in re.split(r"\r?\n", m[1]):
         key, item = re.match(r"([A-Za-z_][\w -]*):(?:\s+(.*))?$", line), re.match(r"\s*-\s+(.*)$", line)
         if item and open_list is not None:
             out[open_list].append(str(_value(item[1])))
