@@ -1,6 +1,7 @@
 """Vector searches against brute force."""
 
 import numpy as np
+import pytest
 
 from corpusloom.llm import ann, topk
 
@@ -93,6 +94,41 @@ def test_clustered_vectors_need_few_cells(spark):
     assert sum(g.vec_id in want[g.query_id] for g in got) / 600 >= 0.9
 
 
+def _shapes():
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(5, 24))
+    near = centres[r.integers(0, 5, 4000)] + 1e-3 * r.normal(size=(4000, 24))  # clusters larger than any fixed number of candidates
+    apart = centres[r.integers(0, 5, 4000)] + 0.01 * r.normal(size=(4000, 24))
+    apart[::50] = r.normal(size=(80, 24))  # queries unlike the rows
+    return {"tight": near, "offset": 10 + r.normal(size=(4000, 24)), "apart": apart, "large": 1e200 * r.normal(size=(4000, 8)), "small": 1e-200 * r.normal(size=(4000, 8))}
+
+
+@pytest.mark.parametrize("shape", ["tight", "offset", "apart", "large", "small"])
+def test_ivf_pq_recall_on_other_shapes(spark, shape):
+    x = _shapes()[shape]
+    rows = [(i, [float(a) for a in v], "s", 1) for i, v in enumerate(x)]
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA.replace("float", "double")).repartition(4), 5, 50).collect()
+    u = x / np.abs(x).max()
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    cos = u[::50] @ u.T
+    cos[np.arange(80), np.arange(0, 4000, 50)] = -2
+    least = np.sort(cos, axis=1)[:, -5]
+    assert len(got) == 400
+    assert all(abs(g.score - cos[g.query_id // 50, g.vec_id]) < 1e-12 for g in got)
+    assert sum(cos[g.query_id // 50, g.vec_id] >= least[g.query_id // 50] - 1e-14 for g in got) / 400 >= 0.9
+
+
+def test_copies_among_near_vectors(spark):
+    r = np.random.default_rng(6)
+    x = np.ones(16) + 1e-3 * r.normal(size=(1500, 16))
+    x[:700] = x[0]
+    rows = [(i, [float(a) for a in v], "s", 1) for i, v in enumerate(x)]
+    got = ann.nearest(spark.createDataFrame(rows + rows[:3], SCHEMA.replace("float", "double")).repartition(4), 5, 50).collect()
+    of_copies = {(g.query_id, g.rank): g.vec_id for g in got if g.query_id < 700}
+    assert of_copies == {(q, k + 1): i for q in range(0, 700, 50) for k, i in enumerate([i for i in range(6) if i != q][:5])}
+    assert len(got) == 150
+
+
 def test_bins_hold_whole_small_cells(monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 10)
     assert ann._bins({0: 4, 1: 6, 2: 1, 5: 25, 6: 3, 7: 8}) == {0: (0, 1), 1: (0, 1), 2: (1, 1), 5: (2, 3), 6: (3, 1), 7: (4, 1)}
