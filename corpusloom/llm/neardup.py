@@ -38,10 +38,17 @@ SLACK = 0.4
 FEW = 1_000_000
 #: Pairs of one class that a task reads; those of a class with more are dealt over several.
 HOT = 128
+#: Pairs, sketches or tenths of numbers in a task that writes for a shuffle: files of a block each, of one task and table, would fill the disk.
+TASK = 20_000
 _SIGN = np.uint64(1 << 63)  # keeps the unsigned order
 _SETS = "doc_id long, text_hash long, n long, a long, b long, sketch array<long>"
 
 
+def _tasks(rows: int) -> int:
+    """Tasks for so many rows, in proportion; two at least, so that joins still deal them out."""
+    return 2 + rows // TASK
+
+
 def _sets(width: int, whole: bool):
     def run(batches):
         for batch in batches:
@@ -65,30 +72,32 @@ def shingle_sets(docs: DataFrame, width: int = 5, whole: bool = False) -> DataFr
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(_sets(width, whole), _SETS)
 
 
-def _prefix(rows: DataFrame, needed: str) -> DataFrame:
+def _prefix(rows: DataFrame, needed: str, tasks: int) -> DataFrame:
     """``doc, value, size, alone``: of ``doc, value, size``, the rarest values of each doc,
     so many that two docs with ``needed`` values in common meet in one. Values of one doc
     only meet nobody; ``alone`` counts them."""
     often = rows.groupBy("value").agg(F.count("*").alias("often")).where("often > 1")
     by = Window.partitionBy("doc")
-    shared = rows.join(often, "value").withColumn("alone", F.col("size") - F.count("*").over(by))
+    shared = rows.join(often, "value").coalesce(tasks).withColumn("alone", F.col("size") - F.count("*").over(by))
     ranked = shared.withColumn("at", F.col("alone") + F.row_number().over(by.orderBy("often", "value")))
-    return ranked.where(f"at <= size - ({needed}) + 1").select("doc", "value", "size", "alone", "at")
+    return ranked.where(f"at <= size - ({needed}) + 1").select("doc", "value", "size", "alone", "at").coalesce(tasks)
 
 
-def _listed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the short lists, and the rows of the long ones."""
+def _listed(rows: DataFrame, tasks: int) -> tuple[DataFrame, int, DataFrame]:
+    """Pairs of the short lists and tasks for them, and the rows of the long ones."""
     lists = rows.groupBy("value").agg(F.count("*").alias("len")).where("len > 1")
-    rows = cut(rows.join(lists, "value"))
+    rows = cut(rows.join(lists, "value").coalesce(tasks))
+    few = _tasks(rows.count())
+    rows = rows.coalesce(few)
     short = rows.where(f"len <= {SHORT}").select("value", "doc")
-    pairs = short.join(short.withColumnRenamed("doc", "other"), "value").where("doc < other").select("doc", "other").distinct()
-    return pairs, rows.where(f"len > {SHORT}").drop("len")
+    pairs = short.join(short.withColumnRenamed("doc", "other"), "value").where("doc < other").select("doc", "other").coalesce(few).distinct().coalesce(few)
+    return pairs, few, rows.where(f"len > {SHORT}").drop("len")
 
 
-def _with_sets(pairs: DataFrame, side: str, sets: DataFrame) -> DataFrame:
+def _with_sets(pairs: DataFrame, side: str, sets: DataFrame, tasks: int) -> DataFrame:
     """Pairs with the columns of one side's class; a class of many pairs, such as the text that
     a long list is compared with, is copied to several tasks that share its pairs."""
-    hot = cut(pairs.groupBy(side).agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1"))
+    hot = cut(pairs.groupBy(side).agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1").coalesce(tasks))
     hot = F.broadcast(hot) if hot.count() <= FEW else hot
     part = F.pmod(F.xxhash64("doc", "other"), F.coalesce("parts", F.lit(1))).cast("int")
     dealt = pairs.join(hot, side, "left").withColumn("part", part).drop("parts")
@@ -96,57 +105,65 @@ def _with_sets(pairs: DataFrame, side: str, sets: DataFrame) -> DataFrame:
     return dealt.join(copies, [side, "part"]).drop("part")
 
 
-def _both(pairs: DataFrame, sets: DataFrame, values: str, hot: bool) -> DataFrame:
+def _both(pairs: DataFrame, sets: DataFrame, values: str, tasks: int, hot: bool) -> DataFrame:
     """Pairs with ``n1, s1`` and ``n2, s2`` of their classes; ``hot`` if a class may have any number of pairs."""
     for side, names in (("doc", ("n1", "s1")), ("other", ("n2", "s2"))):
         of = sets.select("id", "n", values).toDF(side, *names)
-        pairs = _with_sets(pairs, side, of) if hot else pairs.join(of, side)
+        pairs = (_with_sets(pairs, side, of, tasks) if hot else pairs.join(of, side)).coalesce(tasks)
     return pairs
 
 
-def _likely(pairs: DataFrame, sets: DataFrame, percent: int, hot: bool = False) -> DataFrame:
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int, tasks: int, hot: bool = False) -> DataFrame:
     """Pairs whose sizes allow the similarity and whose union sketch doesn't refute it."""
-    p = _both(pairs, sets, "sketch", hot).where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
+    p = _both(pairs, sets, "sketch", tasks, hot).where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
     p = p.withColumn("low", F.slice(F.array_sort(F.array_union("s1", "s2")), 1, SKETCH))
     both = F.size(F.array_intersect(F.array_intersect("low", "s1"), F.col("s2")))
     return p.where(both >= F.size("low") * (percent / 100 - SLACK)).select("doc", "other")
 
 
-def _full(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+def _full(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int, tasks: int) -> DataFrame:
     """``id, n, s``: the whole shingle sets of the named classes, from the texts of their least doc_ids.
 
     Few ids travel to the texts, else both are dealt out. A doc_id may have other texts
     too, so sets are told by their hashes."""
-    asked = cut(classes.join(ids, "id", "left_semi").select("id", F.col("least").alias("doc_id"), "n", "a", "b"))
+    asked = cut(classes.join(ids, "id", "left_semi").select("id", F.col("least").alias("doc_id"), "n", "a", "b").coalesce(tasks))
     near = F.broadcast if asked.count() <= FEW else lambda x: x
     some = docs.join(near(asked.select("doc_id").distinct()), "doc_id", "left_semi")
     sets = shingle_sets(some, width, True).select("n", "a", "b", F.col("sketch").alias("s"))
-    return cut(sets.join(near(asked.drop("doc_id")), ["n", "a", "b"]).select("id", "n", "s").dropDuplicates(["id"]))
+    full = cut(sets.join(near(asked.drop("doc_id")), ["n", "a", "b"]).select("id", "n", "s").dropDuplicates(["id"]))
+    return full.coalesce(_numbers(full))
+
+
+def _numbers(full: DataFrame) -> int:
+    """Tasks for the members of whole sets."""
+    return _tasks((full.agg(F.sum("n")).first()[0] or 0) // 10)
 
 
-def _confirm(pairs: DataFrame, full: DataFrame, percent: int, hot: bool = False) -> DataFrame:
+def _confirm(pairs: DataFrame, full: DataFrame, percent: int, tasks: int, hot: bool = False) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union, by full sets."""
     both = F.size(F.array_intersect("s1", "s2")).cast("long")
-    return _both(pairs, full, "s", hot).withColumn("both", both).where(f"100 * both >= {percent} * (n1 + n2 - both)").select("doc", "other")
+    return _both(pairs, full, "s", tasks, hot).withColumn("both", both).where(f"100 * both >= {percent} * (n1 + n2 - both)").select("doc", "other")
 
 
 def _ids(*columns: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (c.toDF("id") for c in columns)).distinct()
 
 
-def _long_lists(rows: DataFrame, docs: DataFrame, sets: DataFrame, links: DataFrame, percent: int, width: int) -> DataFrame:
+def _long_lists(rows: DataFrame, docs: DataFrame, sets: DataFrame, links: DataFrame, percent: int, width: int, tasks: int) -> DataFrame:
     """``links`` and all that the texts of long lists add to the components."""
-    full = _full(docs, sets, _ids(rows.select("doc")), width)
+    full = _full(docs, sets, _ids(rows.select("doc")), width, tasks)
     members = full.select(F.col("id").alias("doc"), F.col("n").cast("long").alias("size"), F.explode("s").alias("value"))
-    pairs, rest = _listed(_prefix(members, f"cast(ceil({percent} * size / 100) as bigint)"))
-    links = cut(links.unionByName(_confirm(_likely(pairs, sets, percent), full, percent)))
+    few = _numbers(full)
+    pairs, some, rest = _listed(_prefix(members, f"cast(ceil({percent} * size / 100) as bigint)", few), few)
+    links = cut(links.unionByName(_confirm(_likely(pairs, sets, percent, some), full, percent, some)))
     # two sets can't share more than what either has besides values of its own alone
     allowed = f"least(a.size - a.alone, b.size - b.alone) * (100 + {percent}) >= {percent} * (a.size + b.size) and a.doc <> b.doc"
 
     def more(a: DataFrame, b: DataFrame, also: str) -> DataFrame:
         met = a.alias("a").join(b.alias("b"), F.expr(f"a.value = b.value and {allowed}{also}")).select(F.least("a.doc", "b.doc").alias("doc"), F.greatest("a.doc", "b.doc").alias("other")).distinct()
         met = cut(met)
-        return cut(links.unionByName(_confirm(cut(_likely(met, sets, percent, True)), full, percent, True)))
+        n = _tasks(met.count())
+        return cut(links.unionByName(_confirm(cut(_likely(met.coalesce(n), sets, percent, n, True)), full, percent, n, True)))
 
     # first a star around each list's most central text, that with the least part of its own
     centre = rest.groupBy("value").agg(F.min(F.struct((F.col("alone") / F.col("size")).alias("share"), "doc", "size", "alone")).alias("c")).select("value", "c.*")
@@ -155,7 +172,7 @@ def _long_lists(rows: DataFrame, docs: DataFrame, sets: DataFrame, links: DataFr
     # each pair in the list of its first common value, before which the two share nothing
     comp = connected_components(links, "doc", "other").toDF("doc", "comp")
     every = rest.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x.value).alias("values"))
-    at = cut(rest.join(every, "doc").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
+    at = cut(rest.join(every, "doc").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")).coalesce(some))
     top = at.groupBy("value", "comp").agg(F.count("*").alias("k")).groupBy("value").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
     at = at.join(top.select("value", F.col("top.comp").alias("main")), "value")
     also = f" and a.comp <> b.comp and (b.comp = b.main or a.doc < b.doc) and least(a.size - a.at, b.size - b.at) + 1 >= {percent} * (a.size + b.size) / (100 + {percent}) and a.value = element_at(array_intersect(a.values, b.values), 1)"
@@ -174,18 +191,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     every = cut(shingle_sets(docs, width))
+    tasks = _tasks(every.count())
+    every = every.coalesce(tasks)
     live = every.where("n > 0 and doc_id is not null")
-    classes = cut(live.groupBy("n", "a", "b").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")).withColumn("id", F.monotonically_increasing_id()))
+    classes = cut(live.groupBy("n", "a", "b").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")).coalesce(tasks).withColumn("id", F.monotonically_increasing_id()))
     values = classes.select(F.col("id").alias("doc"), F.size("sketch").cast("long").alias("size"), F.explode("sketch").alias("value"))
     # texts of few shingles are retained whole, so their share can be told from their size
-    pairs, rest = _listed(_prefix(values, f"least({SHARED}, cast(ceil({percent} * size / 100) as bigint))"))
-    pairs = cut(_likely(pairs, classes, percent))
-    links = cut(_confirm(pairs, _full(docs, classes, _ids(pairs.select("doc"), pairs.select("other")), width), percent))
+    pairs, few, rest = _listed(_prefix(values, f"least({SHARED}, cast(ceil({percent} * size / 100) as bigint))", 3 * tasks), 3 * tasks)
+    pairs = cut(_likely(pairs, classes, percent, few))
+    links = cut(_confirm(pairs, _full(docs, classes, _ids(pairs.select("doc"), pairs.select("other")), width, tasks), percent, few))
     if not rest.isEmpty():
-        links = _long_lists(rest, docs, classes, links, percent, width)
-    comp = connected_components(links, "doc", "other").toDF("id", "comp").join(classes.select("id", "least"), "id")
-    comp = comp.join(comp.groupBy("comp").agg(F.min("least").alias("component")), "comp").select("id", "component")
-    named = classes.join(comp, "id", "left").select("n", "a", "b", F.coalesce("component", "least").alias("component"))
+        links = _long_lists(rest, docs, classes, links, percent, width, tasks)
+    comp = connected_components(links, "doc", "other").toDF("id", "comp").join(classes.select("id", "least"), "id").coalesce(tasks)
+    comp = comp.join(comp.groupBy("comp").agg(F.min("least").alias("component")), "comp").select("id", "component").coalesce(tasks)
+    named = classes.join(comp, "id", "left").select("n", "a", "b", F.coalesce("component", "least").alias("component")).coalesce(tasks)
     rows = every.select("doc_id", "text_hash", "n", "a", "b").join(named, ["n", "a", "b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")

@@ -1,5 +1,6 @@
 """Near-duplicates against brute force."""
 
+import os
 import random
 import re
 
@@ -90,3 +91,28 @@ def test_hot_texts_are_dealt_over_tasks(spark, monkeypatch):
     df = spark.createDataFrame([(d, t, None, d, "x") for d, t in rows], SCHEMA)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 85).collect()}
     assert got == brute(rows, 85)
+
+
+def test_small_tables_leave_few_files(spark, monkeypatch):
+    """Files of tables of a few rows don't grow with the shuffle partitions, whose number is the cluster's."""
+    monkeypatch.setattr(neardup, "SHORT", 4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:59], f"x{i}"]) if i < 20 else f"other text number {i} {i * i} of its own", "x", 1, "v") for i in range(60)]
+    neardup.cut(spark.range(1))
+    folder = re.sub("^file:/*", "/", spark.sparkContext._jsc.sc().getCheckpointDir().get())
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+
+    def files():
+        return {f"{d}/{f}" for d, _, names in os.walk(folder) for f in names if f.startswith("part-")}
+
+    before = files()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), 85).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 if i < 20 else i for i in range(60)}
+    print("files", made := len(files() - before))
+    assert made < 400
