@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.blocks import by_task, mix, shingles, words
 from corpusloom.operators.graph import connected_components
-from corpusloom.sources.lineage import cut
+from corpusloom.sources.lineage import cut, tallied
 
 #: Retained values of a text.
 SKETCH = 32
@@ -83,33 +83,40 @@ def _prefix(rows: DataFrame, needed: str, tasks: int) -> DataFrame:
     return ranked.where(f"at <= size - ({needed}) + 1").select("doc", "value", "size", "alone", "at").coalesce(tasks)
 
 
-def _listed(rows: DataFrame, tasks: int) -> tuple[DataFrame, int, DataFrame]:
-    """Pairs of the short lists and tasks for them, and the rows of the long ones."""
+def _listed(rows: DataFrame, tasks: int) -> tuple[DataFrame, int, DataFrame | None]:
+    """Pairs of the short lists and tasks for them, and the rows of the long ones, if there are any."""
     lists = rows.groupBy("value").agg(F.count("*").alias("len")).where("len > 1")
-    rows = cut(rows.join(lists, "value").coalesce(tasks))
-    few = _tasks(rows.count())
+    rows, (n, longer) = tallied(rows.join(lists, "value").coalesce(tasks), F.count(F.lit(1)), F.count_if(F.col("len") > SHORT))
+    few = _tasks(n)
     rows = rows.coalesce(few)
     short = rows.where(f"len <= {SHORT}").select("value", "doc")
     pairs = short.join(short.withColumnRenamed("doc", "other"), "value").where("doc < other").select("doc", "other").coalesce(few).distinct().coalesce(few)
-    return pairs, few, rows.where(f"len > {SHORT}").drop("len")
+    return pairs, few, rows.where(f"len > {SHORT}").drop("len") if longer else None
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """For joins by class, which deal both sides out: a small side doesn't travel through the driver, where each such table takes megabytes."""
+    return rows.hint("merge")
 
 
 def _with_sets(pairs: DataFrame, side: str, sets: DataFrame, tasks: int) -> DataFrame:
     """Pairs with the columns of one side's class; a class of many pairs, such as the text that
     a long list is compared with, is copied to several tasks that share its pairs."""
-    hot = cut(pairs.groupBy(side).agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1").coalesce(tasks))
-    hot = F.broadcast(hot) if hot.count() <= FEW else hot
+    hot, (n,) = tallied(pairs.groupBy(side).agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1").coalesce(tasks))
+    if not n:
+        return pairs.join(_dealt(sets), side)
+    hot = F.broadcast(hot) if n <= FEW else hot
     part = F.pmod(F.xxhash64("doc", "other"), F.coalesce("parts", F.lit(1))).cast("int")
     dealt = pairs.join(hot, side, "left").withColumn("part", part).drop("parts")
     copies = sets.join(hot, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return dealt.join(copies, [side, "part"]).drop("part")
+    return dealt.join(_dealt(copies), [side, "part"]).drop("part")
 
 
 def _both(pairs: DataFrame, sets: DataFrame, values: str, tasks: int, hot: bool) -> DataFrame:
     """Pairs with ``n1, s1`` and ``n2, s2`` of their classes; ``hot`` if a class may have any number of pairs."""
     for side, names in (("doc", ("n1", "s1")), ("other", ("n2", "s2"))):
         of = sets.select("id", "n", values).toDF(side, *names)
-        pairs = (_with_sets(pairs, side, of, tasks) if hot else pairs.join(of, side)).coalesce(tasks)
+        pairs = (_with_sets(pairs, side, of, tasks) if hot else pairs.join(_dealt(of), side)).coalesce(tasks)
     return pairs
 
 
@@ -121,22 +128,18 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int, tasks: int, hot: bo
     return p.where(both >= F.size("low") * (percent / 100 - SLACK)).select("doc", "other")
 
 
-def _full(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int, tasks: int) -> DataFrame:
-    """``id, n, s``: the whole shingle sets of the named classes, from the texts of their least doc_ids.
+def _full(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int, tasks: int) -> tuple[DataFrame, int]:
+    """``id, n, s``: the whole shingle sets of the named classes, from the texts of their least doc_ids, and tasks for their members.
 
     Few ids travel to the texts, else both are dealt out. A doc_id may have other texts
     too, so sets are told by their hashes."""
-    asked = cut(classes.join(ids, "id", "left_semi").select("id", F.col("least").alias("doc_id"), "n", "a", "b").coalesce(tasks))
-    near = F.broadcast if asked.count() <= FEW else lambda x: x
+    asked, (n,) = tallied(classes.join(_dealt(ids), "id", "left_semi").select("id", F.col("least").alias("doc_id"), "n", "a", "b").coalesce(tasks))
+    near = F.broadcast if n <= FEW else lambda x: x
     some = docs.join(near(asked.select("doc_id").distinct()), "doc_id", "left_semi")
     sets = shingle_sets(some, width, True).select("n", "a", "b", F.col("sketch").alias("s"))
-    full = cut(sets.join(near(asked.drop("doc_id")), ["n", "a", "b"]).select("id", "n", "s").dropDuplicates(["id"]))
-    return full.coalesce(_numbers(full))
-
-
-def _numbers(full: DataFrame) -> int:
-    """Tasks for the members of whole sets."""
-    return _tasks((full.agg(F.sum("n")).first()[0] or 0) // 10)
+    full, (members,) = tallied(sets.join(near(asked.drop("doc_id")), ["n", "a", "b"]).select("id", "n", "s").dropDuplicates(["id"]), F.sum("n"))
+    few = _tasks((members or 0) // 10)
+    return full.coalesce(few), few
 
 
 def _confirm(pairs: DataFrame, full: DataFrame, percent: int, tasks: int, hot: bool = False) -> DataFrame:
@@ -151,18 +154,19 @@ def _ids(*columns: DataFrame) -> DataFrame:
 
 def _long_lists(rows: DataFrame, docs: DataFrame, sets: DataFrame, links: DataFrame, percent: int, width: int, tasks: int) -> DataFrame:
     """``links`` and all that the texts of long lists add to the components."""
-    full = _full(docs, sets, _ids(rows.select("doc")), width, tasks)
+    full, few = _full(docs, sets, _ids(rows.select("doc")), width, tasks)
     members = full.select(F.col("id").alias("doc"), F.col("n").cast("long").alias("size"), F.explode("s").alias("value"))
-    few = _numbers(full)
     pairs, some, rest = _listed(_prefix(members, f"cast(ceil({percent} * size / 100) as bigint)", few), few)
     links = cut(links.unionByName(_confirm(_likely(pairs, sets, percent, some), full, percent, some)))
+    if rest is None:
+        return links
     # two sets can't share more than what either has besides values of its own alone
     allowed = f"least(a.size - a.alone, b.size - b.alone) * (100 + {percent}) >= {percent} * (a.size + b.size) and a.doc <> b.doc"
 
     def more(a: DataFrame, b: DataFrame, also: str) -> DataFrame:
         met = a.alias("a").join(b.alias("b"), F.expr(f"a.value = b.value and {allowed}{also}")).select(F.least("a.doc", "b.doc").alias("doc"), F.greatest("a.doc", "b.doc").alias("other")).distinct()
-        met = cut(met)
-        n = _tasks(met.count())
+        met, (n,) = tallied(met)
+        n = _tasks(n)
         return cut(links.unionByName(_confirm(cut(_likely(met.coalesce(n), sets, percent, n, True)), full, percent, n, True)))
 
     # first a star around each list's most central text, that with the least part of its own
@@ -172,7 +176,7 @@ def _long_lists(rows: DataFrame, docs: DataFrame, sets: DataFrame, links: DataFr
     # each pair in the list of its first common value, before which the two share nothing
     comp = connected_components(links, "doc", "other").toDF("doc", "comp")
     every = rest.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x.value).alias("values"))
-    at = cut(rest.join(every, "doc").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")).coalesce(some))
+    at = cut(rest.join(_dealt(every), "doc").join(_dealt(comp), "doc", "left").withColumn("comp", F.coalesce("comp", "doc")).coalesce(some))
     top = at.groupBy("value", "comp").agg(F.count("*").alias("k")).groupBy("value").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
     at = at.join(top.select("value", F.col("top.comp").alias("main")), "value")
     also = f" and a.comp <> b.comp and (b.comp = b.main or a.doc < b.doc) and least(a.size - a.at, b.size - b.at) + 1 >= {percent} * (a.size + b.size) / (100 + {percent}) and a.value = element_at(array_intersect(a.values, b.values), 1)"
@@ -190,8 +194,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     own; other columns don't matter; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    every = cut(shingle_sets(docs, width))
-    tasks = _tasks(every.count())
+    every, (n,) = tallied(shingle_sets(docs, width))
+    tasks = _tasks(n)
     every = every.coalesce(tasks)
     live = every.where("n > 0 and doc_id is not null")
     classes = cut(live.groupBy("n", "a", "b").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")).coalesce(tasks).withColumn("id", F.monotonically_increasing_id()))
@@ -199,12 +203,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     # texts of few shingles are retained whole, so their share can be told from their size
     pairs, few, rest = _listed(_prefix(values, f"least({SHARED}, cast(ceil({percent} * size / 100) as bigint))", 3 * tasks), 3 * tasks)
     pairs = cut(_likely(pairs, classes, percent, few))
-    links = cut(_confirm(pairs, _full(docs, classes, _ids(pairs.select("doc"), pairs.select("other")), width, tasks), percent, few))
-    if not rest.isEmpty():
+    full, _ = _full(docs, classes, _ids(pairs.select("doc"), pairs.select("other")), width, tasks)
+    links = cut(_confirm(pairs, full, percent, few))
+    if rest is not None:
         links = _long_lists(rest, docs, classes, links, percent, width, tasks)
-    comp = connected_components(links, "doc", "other").toDF("id", "comp").join(classes.select("id", "least"), "id").coalesce(tasks)
+    comp = connected_components(links, "doc", "other").toDF("id", "comp").join(_dealt(classes.select("id", "least")), "id").coalesce(tasks)
     comp = comp.join(comp.groupBy("comp").agg(F.min("least").alias("component")), "comp").select("id", "component").coalesce(tasks)
-    named = classes.join(comp, "id", "left").select("n", "a", "b", F.coalesce("component", "least").alias("component")).coalesce(tasks)
+    named = classes.join(_dealt(comp), "id", "left").select("n", "a", "b", F.coalesce("component", "least").alias("component")).coalesce(tasks)
     rows = every.select("doc_id", "text_hash", "n", "a", "b").join(named, ["n", "a", "b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
@@ -218,7 +223,7 @@ def near_dedup(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     a repeated row stays as often as it comes in; of a doc_id with several texts only the
     rows go whose text is another document's near-duplicate; an empty table stays empty.
     """
-    gone = cut(near_duplicates(docs, percent, width).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct())
+    gone, (n,) = tallied(near_duplicates(docs, percent, width).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct())
     # few ids travel to the texts; many are met by dealing out both
-    gone = F.broadcast(gone) if gone.count() <= FEW else gone
+    gone = F.broadcast(gone) if n <= FEW else gone
     return docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_hash"]), "left_anti")

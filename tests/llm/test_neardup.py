@@ -5,6 +5,7 @@ import random
 import re
 
 from corpusloom.llm import neardup
+from corpusloom.sources.lineage import cut
 
 SCHEMA = "doc_id long, text string, lang string, n long, value string"
 
@@ -116,3 +117,16 @@ def test_small_tables_leave_few_files(spark, monkeypatch):
     assert got == {i: 0 if i < 20 else i for i in range(60)}
     print("files", made := len(files() - before))
     assert made < 400
+
+
+def test_small_tables_need_few_jobs(spark, monkeypatch):
+    """Each stage and each table that travels to all tasks takes megabytes of the driver."""
+    monkeypatch.setattr(neardup, "SHORT", 2)
+    rows = make(3)
+    df = cut(spark.createDataFrame([(d, t, None, d, "x") for d, t in rows], SCHEMA))
+    sc = spark.sparkContext
+    sc.setJobGroup("few jobs", "")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 85).collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("few jobs"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == brute(rows, 85) and 0 < jobs < 170, jobs

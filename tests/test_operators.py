@@ -9,6 +9,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import chunks as C
 from corpusloom.operators import graph, lexical
 from corpusloom.operators import ranking as R
+from corpusloom.sources.lineage import cut, tallied
 
 
 def distance(a, b):
@@ -54,6 +55,28 @@ def test_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "src long, dst long")).collect() == []
 
 
+def test_components_by_one_task_or_many(spark, monkeypatch):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101 + k) for k in range(30)] + [(200 + k, 150 + k % 7) for k in range(30)]
+    want = {k: 0 for k in range(41)} | {k: 100 for k in range(100, 131)} | {x: 150 + (x - 200) % 7 for x in range(200, 230)} | {k: k for k in range(150, 157)}
+    sc, jobs = spark.sparkContext, []
+    df = cut(spark.createDataFrame(edges, "src long, dst long"))
+    for task, few in ((1000, 1000), (20, 1000), (20, 10)):
+        monkeypatch.setattr(graph, "_TASK_EDGES", task)
+        monkeypatch.setattr(graph, "_FEW_NODES", few)
+        sc.setJobGroup(f"components {task} {few}", "")
+        assert {x.node: x.component for x in graph.connected_components(df).collect()} == want
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"components {task} {few}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    # a job for each round, besides those of the edges and of the result
+    assert 0 < jobs[0] < 20, jobs
+
+
+def test_totals_are_those_of_the_rows(spark):
+    df, (n, total) = tallied(spark.range(1000).repartition(7).where("id % 3 = 0"), F.count(F.lit(1)), F.sum("id"))
+    assert (n, total) == (334, sum(range(0, 1000, 3))) == tuple(df.agg(F.count("*"), F.sum("id")).first())
+    assert tallied(spark.range(0).distinct(), F.count(F.lit(1)), F.sum("id"))[1] == (0, None)
+
+
 def test_chunks():
     assert [h for _, h, _ in C.chunk("# A\nx\n\n# B\ny", "t")] == ["A", "B"]
     assert len(C.chunk("a\n\nb\n\nc", "t")) == 1
