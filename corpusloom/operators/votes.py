@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import predicates as P
+from corpusloom.operators.crossing import crossed, packed
 from corpusloom.operators.graph import connected_components
-from corpusloom.operators.spread import split_join
+from corpusloom.sources.lineage import tallied
+
+#: Nodes and links in a task's block, pairs marked at a time, and rows of an Arrow batch.
+HOP_NODES, HOP_LINKS, HOP_PAIRS, HOP_ROWS = 4096, 500_000, 4_000_000, 50_000
 
 
 def wanted_topics(links: DataFrame, published: DataFrame, k: int = 3, referrers: int = 12) -> DataFrame:
@@ -99,13 +105,54 @@ def backlinks(links: DataFrame) -> DataFrame:
 
 def two_hop(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """``node, near``: what lies one or two links from each node (of ``start``, or all), in either
-    direction. The links of a hub are dealt over tasks."""
-    both = links.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(links.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    one = both.toDF("node", "near")
-    if start is not None:
-        one = one.join(start.select("node").distinct(), "node", "left_semi")
-    two = split_join(one.toDF("node", "a"), both, ["a"]).select("node", F.col("b").alias("near"))
-    return one.unionByName(two).distinct().where("near <> node")
+    direction.
+
+    Nodes are dealt into blocks with all their links. A block of nodes meets every block of what may be near, and a pair is
+    marked in a table of the two however many links lead there, so pairs are neither shuffled nor counted twice."""
+    both = links.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(links.select(F.col("dst").alias("a"), F.col("src").alias("b"))).where("a is not null and b is not null").distinct()
+    # numbers stand for nodes between two others
+    numbered, nodes = tallied(both.select("a").distinct())
+    numbered = numbered.withColumn("i", F.monotonically_increasing_id())
+    ends, (pairs,) = tallied(both.join(numbered, "a").join(numbered.toDF("b", "j"), "b").select("a", "i", "j"))
+    many = max(1, -(-nodes[0] // HOP_NODES), -(-pairs // HOP_LINKS))
+    held = packed(ends, many, _linked, "i")
+    asked = held if start is None else packed(ends.join(start.select(F.col("node").alias("a")).distinct(), "a", "left_semi"), many, _linked, "i")
+    kind = both.schema["a"].dataType.simpleString()
+    return crossed(asked, held, (many, many), _near, f"node {kind}, near {kind}")
+
+
+def _linked(rows: pa.Table):
+    """The nodes of a block, their numbers in order, and their links: the place of one end, the number of the other."""
+    node, first = np.unique(rows.column("i").to_numpy(), return_index=True)
+    at = np.searchsorted(node, rows.column("i").to_numpy())
+    end = rows.column("j").to_numpy()
+    order = np.argsort(end, kind="stable")
+    return rows.column("a").combine_chunks().take(pa.array(first)), node, at[order], end[order]
+
+
+def _near(asked, blocks):
+    names, numbers, at, end = asked[1]
+    for _, (others, other, to, through) in blocks:
+        seen = np.zeros((len(numbers), len(other)), bool)
+        # one link away
+        k = np.minimum(np.searchsorted(other, end), len(other) - 1)
+        hit = other[k] == end
+        seen[at[hit], k[hit]] = True
+        # two: every link with all that lead on from its end, some at a time
+        lo, hi = np.searchsorted(through, end, "left"), np.searchsorted(through, end, "right")
+        upto = np.cumsum(hi - lo)
+        a = 0
+        while a < len(end):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + HOP_PAIRS, "right")))
+            n = (hi - lo)[a:b]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            seen[np.repeat(at[a:b], n), to[np.repeat(lo[a:b], n) + step]] = True
+            a = b
+        k = np.minimum(np.searchsorted(other, numbers), len(other) - 1)
+        seen[np.flatnonzero(other[k] == numbers), k[other[k] == numbers]] = False
+        i, j = np.nonzero(seen)
+        for k in range(0, len(i), HOP_ROWS):
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(i[k : k + HOP_ROWS])), others.take(pa.array(j[k : k + HOP_ROWS]))], ["node", "near"])
 
 
 def distinguishing(rows: DataFrame, group: str, key: str, properties: list[str]) -> DataFrame:
