@@ -2,9 +2,14 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import crossing, votes
+from corpusloom.operators import ranking as R
+from corpusloom.operators import similarity as S
+from corpusloom.operators.graph import connected_components
 from corpusloom.sources.lineage import cut
 
 
@@ -35,3 +40,82 @@ def test_two_hop_shuffles_no_pairs(spark, monkeypatch):
         assert len(rows) == len(want) and set(rows) == want
         assert {tuple(x) for x in votes.two_hop(df, start).collect()} == {(x, y) for x, y in want if x in ("p7", "/hub")}
     assert votes.two_hop(df.where(F.lit(False))).collect() == []
+
+
+def plain_cosines(v):
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    cos = np.round(u @ u.T, 6)
+    np.fill_diagonal(cos, -2)
+    return cos
+
+
+@pytest.fixture
+def vectors(spark, monkeypatch):
+    """Vectors in blocks of few, some of them equal, in clusters that hold together by little."""
+    for name, n in (("BLOCK", 40), ("ASKED", 15), ("AT_ONCE", 16), ("RUN", 5000)):
+        monkeypatch.setattr(S, name, n)
+    r = np.random.default_rng(4)
+    v = r.normal(size=(230, 6)).astype(np.float32)
+    v[20:30] = v[20]
+    grp = r.integers(0, 7, 230)
+    df = spark.createDataFrame([(7 * k, [float(x) for x in row], int(g)) for k, (row, g) in enumerate(zip(v, grp, strict=True))] + [(1, None, 0)], "id long, v array<float>, grp long")
+    return cut(df.repartition(5)), plain_cosines(v.astype(float)), grp
+
+
+@pytest.mark.parametrize("tasks", [1, 128])
+def test_pairs_by_blocks(vectors, monkeypatch, tasks):
+    monkeypatch.setattr(crossing, "TASKS", tasks)
+    df, cos, grp = vectors
+    floor, some = 0.3, np.arange(0, 230, 3)
+    pairs = S.cosines(df, df, floor, below=True)
+    assert not dealt(pairs)
+    assert {tuple(x) for x in pairs.collect()} == {(7 * i, 7 * j, cos[i, j]) for i in range(230) for j in range(i + 1, 230) if cos[i, j] >= floor} and pairs.count() == pairs.distinct().count()
+    best = S.cosines(df.where("id % 21 = 0"), df, floor, 9)
+    assert not dealt(best)
+    want = {(7 * i, 7 * j, k) for i in some for k, j in enumerate(np.lexsort((np.arange(230), -cos[i]))[:9]) if cos[i, j] >= floor}
+    assert {(x.query_id, x.id, x["rank"]) for x in S.top(best, 9).collect()} == want
+    if tasks == 1:  # what a task has found so far bounds what leaves it
+        assert best.count() == len(want)
+    sums = S.sums_by_group(df, df.withColumn("more", F.col("grp") + 10), floor, "grp", "more")
+    got = {(x.query_id, x.grp): (round(x.cosine, 6), x.n) for x in sums.collect()}
+    near = np.where(cos >= floor, cos, 0)
+    want = {(7 * i, g + d): (round(near[i, grp == g].sum(), 6), int((cos[i, grp == g] >= floor).sum())) for i in range(230) for g in range(7) for d in (0, 10) if (cos[i, grp == g] >= floor).any()}
+    assert got == want
+    counts = {x.cosine: x.n for x in S.cosine_counts(df).collect()}
+    value, n = np.unique(cos[np.triu_indices(230, 1)], return_counts=True)
+    assert counts == dict(zip(value.tolist(), n.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("floor", [0.3, 0.9, 0.97])
+def test_linking_pairs_join_what_all_pairs_join(vectors, floor):
+    df, cos, _ = vectors
+    edges = S.linking(df, floor)
+    whole, few = ({tuple(x) for x in connected_components(e).collect()} for e in (S.cosines(df, df, floor, below=True).toDF("src", "dst", "cosine"), edges))
+    assert whole == few and (cos >= floor).sum() / 2 >= edges.count() > 0
+    if floor == 0.3:
+        assert edges.count() < (cos >= floor).sum() / 2 / 3
+
+
+def test_reordered_sets_shuffle_no_pairs(spark, monkeypatch):
+    for name, n in (("ASKED", 6), ("HELD", 11), ("SENT", 2)):
+        monkeypatch.setattr(R, name, n)
+    r = random.Random(8)
+    given, queries = r.sample(range(300), 70), [*range(0, 300, 15), 301]
+    ranked = {q: r.sample([g for g in given if g != q], r.randrange(12)) for q in queries}
+    long = lambda x: cut(spark.createDataFrame([(k,) for k in x], "id long").repartition(3))
+    rows = spark.createDataFrame([(q, k, 3 * i) for q, x in ranked.items() for i, k in enumerate(x)], "query_id long, id long, rank int")
+    got = R.reordered(long(queries), long(given), rows)
+    assert not dealt(got)
+    assert set(given) & set(queries)
+    want = {(q, k, i) for q in queries for i, k in enumerate(ranked[q] + sorted(set(given) - {q} - set(ranked[q])))}
+    rows = [tuple(x) for x in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_evidence_needs_the_nearest_of_each_alone(spark):
+    rows = [(1, 2, 0.9, "b"), (2, 1, 0.9, "a"), (3, 2, 0.8, "b"), (2, 3, 0.8, "c"), (3, 1, 0.7, "a"), (1, 3, 0.7, "c"), (8, 9, 0.9, "x"), (9, 8, 0.9, "y")]
+    hits = spark.createDataFrame(rows, "src long, dst long, cosine double, snippet string")
+    near = spark.createDataFrame([(1, 0.2)], "node long, cosine double")
+    nearest = hits.where("cosine = 0.9 or src = 2")
+    joined = spark.createDataFrame([(1, 2), (3, 2), (8, 9)], "src long, dst long")
+    assert votes.theme_evidence(hits, near, 0.5).collect() == votes.theme_evidence(nearest, near, 0.5, joined=joined).collect() != []
