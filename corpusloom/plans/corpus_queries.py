@@ -38,7 +38,7 @@ def query(sql: str | None = None):
 
 
 def _vec(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
 def _edges(spark, sf_dir):
@@ -203,11 +203,9 @@ def graph_components(spark, sf_dir):
 @query(f"""{_CC}, m AS (SELECT node, max(cosine) AS cosine FROM (SELECT src AS node, dst AS other, cosine FROM e UNION ALL SELECT dst, src, cosine FROM e) JOIN v ON v.id = other WHERE label = 0 GROUP BY 1)
 SELECT component, count(*) AS size FROM c LEFT JOIN m USING (node) GROUP BY 1 HAVING count(*) >= 3 AND coalesce(max(cosine), 0) < 0.45""")
 def graph_themes(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cosine"))
-    permanent = _vec(spark, sf_dir).where("label = 0").select(F.col("id").alias("dst"))
-    covered = both.join(permanent, "dst").groupBy(F.col("src").alias("node")).agg(F.max("cosine").alias("cosine"))
-    return A.themes(e, covered, cover=0.45)
+    v = _vec(spark, sf_dir)
+    covered = S.cosines(v, v.where("label = 0"), FLOOR, 1).groupBy(F.col("query_id").alias("node")).agg(F.max("cosine").alias("cosine"))
+    return A.themes(S.linking(v, FLOOR), covered, cover=0.45)
 
 
 @query(f"""WITH RECURSIVE {_V}, s AS (SELECT v.*, coalesce(text[1:60], 'vector ' || id) AS snippet FROM v LEFT JOIN documents ON doc_id = id),
