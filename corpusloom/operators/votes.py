@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import predicates as P
 from corpusloom.operators.crossing import crossed, packed
 from corpusloom.operators.graph import connected_components
-from corpusloom.sources.lineage import tallied
+from corpusloom.sources.lineage import cut, tallied
 
 #: Nodes and links in a task's block, pairs marked at a time, and rows of an Arrow batch.
 HOP_NODES, HOP_LINKS, HOP_PAIRS, HOP_ROWS = 4096, 500_000, 4_000_000, 50_000
@@ -35,8 +35,9 @@ def wanted_topics(links: DataFrame, published: DataFrame, k: int = 3, referrers:
 
 def suggest_tags(votes: DataFrame, k: int = 3) -> DataFrame:
     """The k best ``tag`` of each ``entry`` from ``entry, tag, cosine``: by summed cosine (0.5 where
-    missing), if two neighbours have the tag or one is very near."""
-    n = votes.groupBy("entry", F.lower("tag").alias("tag")).agg(F.round(F.sum(F.coalesce("cosine", F.lit(0.5))), 6).alias("weight"), F.count("*").alias("sources"))
+    missing), if two neighbours have the tag or one is very near. With ``sources`` a row sums up so many votes."""
+    many = F.sum("sources") if "sources" in votes.columns else F.count("*")
+    n = votes.groupBy("entry", F.lower("tag").alias("tag")).agg(F.round(F.sum(F.coalesce("cosine", F.lit(0.5))), 6).alias("weight"), many.alias("sources"))
     n = n.where("sources >= 2 or weight >= 0.85")
     by = Window.partitionBy("entry").orderBy(F.desc("weight"), "tag")
     return n.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
@@ -73,15 +74,16 @@ def themes(edges: DataFrame, covered: DataFrame, least: int = 3, cover: float =
     return best.where((F.col("size") >= least) & (F.coalesce("best", F.lit(0.0)) < cover)).select("component", "size")
 
 
-def theme_evidence(hits: DataFrame, permanent: DataFrame, near: float, least: int = 3, cover: float = 0.75, most: int = 4) -> DataFrame:
+def theme_evidence(hits: DataFrame, permanent: DataFrame, near: float, least: int = 3, cover: float = 0.75, most: int = 4, joined: DataFrame | None = None) -> DataFrame:
     """``component, size, best, evidence``: themes as in ``themes``, with what they say.
 
     ``hits`` has ``src, dst, cosine, snippet``: what each dated entry found among dated ones, from both
     sides; those at ``near`` or over make components. ``permanent`` has ``node, cosine``: hits among permanent notes, of which the
-    best must stay under ``cover``. Evidence is at most ``most`` different snippets of hits, nearest first.
+    best must stay under ``cover``. Evidence is at most ``most`` different snippets of hits, nearest first. With ``joined`` (``src, dst``), which
+    makes the components, hits need hold no more than the nearest of each ``dst``.
     """
     edges = hits.where(F.col("cosine") >= near)
-    comp = connected_components(edges.select("src", "dst"))
+    comp = cut(connected_components((edges if joined is None else joined).select("src", "dst")))
     best = permanent.groupBy("node").agg(F.max("cosine").alias("cosine"))
     kept = comp.join(best, "node", "left").groupBy("component").agg(F.count("*").alias("size"), F.coalesce(F.max("cosine"), F.lit(0.0)).alias("best"))
     kept = kept.where((F.col("size") >= least) & (F.col("best") < cover))

@@ -17,9 +17,10 @@ from corpusloom.operators import resolve as Z
 from corpusloom.operators import similarity as S
 from corpusloom.operators import votes as A
 from corpusloom.operators.graph import connected_components
-from corpusloom.operators.spread import pick, split_join
+from corpusloom.operators.spread import FEW, pick, split_join
 from corpusloom.plans.notes import LINKS_SQL, links, notes
 from corpusloom.sources import typed
+from corpusloom.sources.lineage import tallied
 from corpusloom.sources.tables import table
 from corpusloom.streaming import feeds, late, upkeep
 
@@ -63,10 +64,15 @@ def agg_wanted(spark, sf_dir):
 t AS (SELECT entry, cosine, unnest([d.lang, d.source]) AS tag FROM n JOIN documents d ON d.doc_id = other), g AS (SELECT entry, lower(tag) AS tag, round(sum(cosine), 6) AS weight, count(*) AS sources FROM t GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY weight DESC, tag) AS rank FROM g WHERE sources >= 2 OR weight >= 0.85) WHERE rank <= 3""")
 def agg_tags(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    both = e.select(F.col("src").alias("entry"), F.col("dst").alias("doc_id"), "cosine").unionByName(e.select(F.col("dst").alias("entry"), F.col("src").alias("doc_id"), "cosine"))
-    votes = both.join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id").select("entry", "cosine", F.explode(F.array("lang", "source")).alias("tag"))
-    return A.suggest_tags(votes)
+    v, d = _vec(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("lang").alias("lang"), F.lower("source").alias("source"))
+    # numbers stand for tags, of which each vector's document has two
+    tags, (n,) = tallied(d.select(F.explode(F.array("lang", "source")).alias("tag")).distinct())
+    tags = tags.withColumn("grp", F.monotonically_increasing_id())
+    for name in ("lang", "source"):
+        told = tags.select(F.col("tag").alias("_tag"), F.col("grp").alias(f"n_{name}"))
+        d = d.join(F.broadcast(told) if n <= FEW else told, F.col(name).eqNullSafe(F.col("_tag"))).drop("_tag")
+    votes = S.sums_by_group(v, v.join(d, "id"), FLOOR, "n_lang", "n_source")
+    return A.suggest_tags(votes.join(tags, "grp").select(F.col("query_id").alias("entry"), "tag", "cosine", F.col("n").alias("sources")))
 
 
 def agg_placement(spark, sf_dir):
