@@ -225,11 +225,11 @@ def graph_theme_evidence(spark, sf_dir):
     text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("dst"), F.substring("text", 1, 60).alias("snippet"))
     v = _vec(spark, sf_dir)
     dated, permanent = v.where("label <> 0"), v.where("label = 0")
-    one = S.cosines(dated, dated, 0.38, below=True).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "cosine")
-    both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cosine"))
-    hits = both.join(text, "dst", "left").withColumn("snippet", F.coalesce("snippet", F.concat(F.lit("vector "), F.col("dst").cast("string"))))
-    near = S.cosines(dated, permanent, FLOOR).select(F.col("query_id").alias("node"), "cosine")
-    return A.theme_evidence(hits, near, 0.38, cover=0.4).withColumn("evidence", F.array_join("evidence", " | "))
+    # of what finds an entry the nearest tells how near its snippet is
+    best = S.cosines(dated, dated, 0.38, 1).select(F.col("query_id").alias("dst"), F.col("id").alias("src"), "cosine")
+    hits = best.join(text, "dst", "left").withColumn("snippet", F.coalesce("snippet", F.concat(F.lit("vector "), F.col("dst").cast("string"))))
+    near = S.cosines(dated, permanent, FLOOR, 1).select(F.col("query_id").alias("node"), "cosine")
+    return A.theme_evidence(hits, near, 0.38, cover=0.4, joined=S.linking(dated, 0.38)).withColumn("evidence", F.array_join("evidence", " | "))
 
 
 @query(f"""WITH {_E}, w AS (SELECT label AS thread, id AS entry FROM v WHERE label < 3), b AS (SELECT src, dst, cosine FROM e UNION ALL SELECT dst, src, cosine FROM e)
