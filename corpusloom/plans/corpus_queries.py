@@ -203,7 +203,7 @@ _CC = f"""WITH RECURSIVE {_E}, b AS (SELECT src AS a, dst AS b FROM e UNION SELE
 
 @query(f"{_CC} SELECT node, component FROM c")
 def graph_components(spark, sf_dir):
-    return connected_components(_edges(spark, sf_dir))
+    return connected_components(S.linking(_vec(spark, sf_dir), FLOOR))
 
 
 @query(f"""{_CC}, m AS (SELECT node, max(cosine) AS cosine FROM (SELECT src AS node, dst AS other, cosine FROM e UNION ALL SELECT dst, src, cosine FROM e) JOIN v ON v.id = other WHERE label = 0 GROUP BY 1)
