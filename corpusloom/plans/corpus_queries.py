@@ -171,9 +171,10 @@ def agg_distinguishing(spark, sf_dir):
 SELECT entry, other, quality, k AS rank FROM (SELECT entry, other, quality, row_number() OVER (PARTITION BY entry ORDER BY cosine DESC, other) AS k FROM n JOIN labels ON doc_id = other) WHERE k <= 3""")
 def agg_precedents(spark, sf_dir):
     """The three nearest neighbours with a human decision."""
-    e = _edges(spark, sf_dir)
-    both = e.select(F.col("src").alias("entry"), F.col("dst").alias("other"), "cosine").unionByName(e.select(F.col("dst").alias("entry"), F.col("src").alias("other"), "cosine"))
-    ranked = both.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("other"), "quality"), "other")
+    v, labels = _vec(spark, sf_dir), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("other"), "quality")
+    decided = v.join(labels.select(F.col("other").alias("id")), "id", "left_semi")
+    near = S.cosines(v, decided, FLOOR, 3).select(F.col("query_id").alias("entry"), F.col("id").alias("other"), "cosine")
+    ranked = near.join(labels, "other")
     k = F.row_number().over(Window.partitionBy("entry").orderBy(F.desc("cosine"), "other"))
     return ranked.withColumn("rank", k).where("rank <= 3").select("entry", "other", "quality", "rank")
 
