@@ -119,3 +119,32 @@ def test_evidence_needs_the_nearest_of_each_alone(spark):
     nearest = hits.where("cosine = 0.9 or src = 2")
     joined = spark.createDataFrame([(1, 2), (3, 2), (8, 9)], "src long, dst long")
     assert votes.theme_evidence(hits, near, 0.5).collect() == votes.theme_evidence(nearest, near, 0.5, joined=joined).collect() != []
+
+
+@pytest.mark.parametrize("sent", [64_000_000, 0])
+def test_many_queries_find_what_one_search_finds(spark, monkeypatch, sent):
+    from corpusloom.operators import lexical as L
+
+    for name, n in (("ASKED", 7), ("DOCS", 9), ("PLACES", 60), ("HITS", 50), ("SENT", sent)):
+        monkeypatch.setattr(L, name, n)
+    r = random.Random(6)
+    text = lambda n: " ".join("w" * r.choice([1, 1, 2, 3, 4, 5, 9]) + r.choice("abc") for _ in range(n))
+    docs = spark.createDataFrame([(k, text(r.randrange(4)), text(r.randrange(80))) for k in range(160)] + [(500, None, ""), (501, "", None)], "doc_id long, title string, text string").repartition(3)
+    terms = spark.createDataFrame([(-q, w) for q in range(40) for w in text(r.randrange(1, 6)).split()] + [(90, "nowhere"), (91, "wwa"), (91, "nowhere")], "query_id long, term string")
+    fields = {"title": 2.5, "text": 1.0}
+    want = {tuple(x) for x in L.search(docs, fields, terms, 6).collect()}
+    found = L.search_many(docs, fields, terms, 6)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and plan.count("Exchange") == 1  # the best of each query alone
+    got = [tuple(x) for x in found.collect()]
+    assert len(got) == len(want) > 150 and set(got) == want
+
+
+def test_blocks_hold_whole_numbers_exactly():
+    import pyarrow as pa
+
+    for row, kind in (([0.0, 255.0], np.uint8), ([0.5, -1.0], np.float32), ([0.1, 256.0], np.float64), ([float("nan"), 1.0], np.float64)):
+        ids, m = S._held()(pa.table({"id": pa.array([5]), "v": pa.array([row], pa.list_(pa.float64()))}))
+        assert m.dtype == kind and m[0].tolist()[1] == row[1]
+    with pytest.raises(ValueError, match="vectors of 1 and 2 numbers"):
+        S._held()(pa.table({"id": pa.array([5, 6]), "v": pa.array([[1.0], [1.0, 2.0]])}))
