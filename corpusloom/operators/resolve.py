@@ -4,7 +4,8 @@ First what is hard: an equal reference or thread. Of the legs of one booking the
 decide. Then the facts of each kind: a record that fits and isn't excluded, alone, is meant;
 several, or a conflict, are for the user to tell apart. Records are found by equal
 keys of the facts (days, services, words, counterparts, runs of letters), not by comparing
-all of a kind, and the rules then decide on the pairs.
+all of a kind, and the rules then decide on the pairs. Records without a key that is asked for go
+before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.overlap import counterpart_keys, plain_name
 from corpusloom.operators.records import _day, _minutes, clean_date, is_open, norm_ref, tolerance
-from corpusloom.operators.spread import split_join
+from corpusloom.operators.spread import sieved, split_join
 from corpusloom.sources.lineage import cut
 
 RECORDS = "id long, kind string, state string, title string, refs array<string>, threads array<string>, not_threads array<string>, start string, end string, place string, counterparts array<string>, fields map<string,string>"
@@ -23,6 +24,8 @@ QUERIES = "q long, kind string, thread string, refs array<string>, name string,
 SHOWN = 6
 #: Letters of the runs that names are found by, and of the shortest name that may lie in another.
 RUN = 4
+#: Minutes of a slot that times of a day are found by: one more than times of one journey may be apart.
+SLOT = 16
 # Words that don't tell places, or titles, apart.
 PLACE_STOP = "the and of at in st street city airport".split()
 TITLE_STOP = (
@@ -137,7 +140,9 @@ def _prefixed(name: str, items: Column) -> Column:
 
 
 def candidates(records: DataFrame, queries: DataFrame) -> DataFrame:
-    """``q, id``: pairs of ``read_records`` and ``read_queries`` of one kind that share a fact; all others have nothing that speaks for them."""
+    """``q, id``: pairs of ``read_records`` and ``read_queries`` of one kind that share a fact; all others have nothing that speaks for them.
+
+    For a journey a day speaks only with a service or a time, and excludes what isn't of that day."""
     tol, cents = tolerance(F.col("kind")), lambda c: F.round(c * 100).cast("long")
     one = lambda name, c: F.when(c != "", F.array(F.concat(F.lit(name), c))).otherwise(_none())
     near = F.when(F.col("r_amount").isNotNull(), F.transform(F.array(*(cents(F.col("r_amount")) + k for k in (-1, 0, 1))), lambda x: F.concat(F.lit("amount "), x.cast("string")))).otherwise(_none())
@@ -145,11 +150,26 @@ def candidates(records: DataFrame, queries: DataFrame) -> DataFrame:
     def facts(side: str) -> list[Column]:
         c = lambda name: F.col(f"{side}_{name}")
         places = F.array_union(F.array_union(c("from")["words"], c("to")["words"]), c("place")["words"])
-        return [one("number ", c("number")["digits"]), _prefixed("place ", places), _prefixed("word ", c("name")["words"]), _prefixed("who ", c("people")), one("period ", c("period"))]
-
-    rows = records.select("id", "kind", F.col("r_name.plain").alias("plain"), F.concat(_days(F.col("r_anchor") - tol, F.greatest("r_anchor", "r_until") + tol), near, *facts("r")).alias("keys"))
+        return [_prefixed("place ", places), _prefixed("word ", c("name")["words"]), _prefixed("who ", c("people")), one("period ", c("period"))]
+
+    def service(side: str) -> Column:
+        number = F.col(f"{side}_number")
+        return F.coalesce(F.nullif(number["digits"], F.lit("")), number["ref"])
+
+    def at(side: str, minutes: list[Column]) -> Column:
+        slots = F.array_distinct(F.array(*(F.floor(m / SLOT) for m in minutes)))
+        return F.when(F.col(f"{side}_day").isNotNull() & minutes[0].isNotNull(), F.transform(slots, lambda s: F.concat_ws(" ", F.lit("time"), F.col(f"{side}_day"), s))).otherwise(_none())
+
+    r_days = F.when(F.col("kind") == "transport", at("r", [F.col("r_min")])).otherwise(_days(F.col("r_anchor") - tol, F.greatest("r_anchor", "r_until") + tol))
+    q_days = F.when(F.col("q_kind") == "transport", at("q", [F.col("q_min") + k for k in (-15, 0, 15)])).otherwise(_days(F.col("q_day"), F.col("q_end")))
+    on = lambda c, day: F.concat(F.lit("number "), c, F.lit(" on "), day)
+    r_service, q_service = service("r"), service("q")
+    r_numbers = F.when(r_service != "", F.array(F.concat(F.lit("number "), r_service), on(r_service, F.coalesce(F.col("r_day").cast("string"), F.lit("any day"))))).otherwise(_none())
+    dated = F.array(on(q_service, F.col("q_day").cast("string")), on(q_service, F.lit("any day")))
+    q_numbers = F.when(q_service != "", F.when((F.col("q_kind") == "transport") & F.col("q_day").isNotNull(), dated).otherwise(F.array(F.concat(F.lit("number "), q_service)))).otherwise(_none())
+    rows = records.select("id", "kind", F.col("r_name.plain").alias("plain"), F.concat(r_days, near, r_numbers, *facts("r")).alias("keys"))
     amount = F.when(F.col("q_amount").isNotNull(), F.array(F.concat(F.lit("amount "), cents(F.col("q_amount")).cast("string")))).otherwise(_none())
-    asked = queries.select("q", F.col("q_kind").alias("kind"), F.col("q_name.plain").alias("plain"), F.concat(_days(F.col("q_day"), F.col("q_end")), amount, *facts("q")).alias("keys"))
+    asked = queries.select("q", F.col("q_kind").alias("kind"), F.col("q_name.plain").alias("plain"), F.concat(q_days, amount, q_numbers, *facts("q")).alias("keys"))
     # a name lies in another if its rarest run is one of the other's
     names = rows.select("kind", "plain").unionByName(asked.select("kind", "plain")).where("plain <> ''").distinct()
     lists = names.select("kind", "plain", F.explode(_runs(F.col("plain"))).alias("run"))
@@ -157,11 +177,13 @@ def candidates(records: DataFrame, queries: DataFrame) -> DataFrame:
     rare = cut(lists.join(sizes, ["kind", "run"]).groupBy("kind", "plain").agg(F.min_by("run", F.struct("_n", "run")).alias("rare")))
 
     def keyed(df: DataFrame, key: str, mine: str, other: str) -> DataFrame:
-        named = df.join(rare, ["kind", "plain"], "left")
+        # what has no name needs none
+        named = df.where("plain <> ''").join(rare, ["kind", "plain"], "left").unionByName(df.where("plain = ''").withColumn("rare", F.lit(None).cast("string")))
         every = F.concat("keys", _prefixed(mine, _runs(F.col("plain"))), F.when(F.col("rare").isNotNull(), F.array(F.concat(F.lit(other), "rare"))).otherwise(_none()))
         return named.select(key, "kind", F.explode(F.array_distinct(every)).alias("key")).where("key is not null")
 
-    met = split_join(cut(keyed(rows, "id", "run of record ", "rare of record ")), keyed(asked, "q", "rare of record ", "run of record "), ["kind", "key"])
+    wanted = cut(keyed(asked, "q", "rare of record ", "run of record "))
+    met = split_join(cut(sieved(keyed(rows, "id", "run of record ", "rare of record "), wanted, ["kind", "key"])), wanted, ["kind", "key"])
     return met.select("q", "id").distinct()
 
 
@@ -211,6 +233,11 @@ def assess(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _bits(*conditions: Column):
+    """Each condition with a power of two."""
+    return ((1 << k, c) for k, c in enumerate(conditions))
+
+
 def _told_apart(rows: DataFrame) -> DataFrame:
     """``q, candidates``: of each query's ``id``s the first ``SHOWN``."""
     first = rows.withColumn("_k", F.row_number().over(Window.partitionBy("q").orderBy("id"))).where(F.col("_k") <= SHOWN)
@@ -225,19 +252,25 @@ def resolve(records: DataFrame, queries: DataFrame) -> DataFrame:
     answers; one in a final state only to a hard key, or if ``include_closed``. A counterpart alone is
     never enough. Records and queries without an id are left out; each id must be there once.
     """
-    records, queries = cut(read_records(records)), cut(read_queries(queries))
+    # both are read again where they are needed: all that is known of each record takes more room than the records
+    records, queries = read_records(records), read_queries(queries)
     refs = lambda c: F.filter(F.transform(F.coalesce(F.col(c), _none()), norm_ref), lambda r: F.length(r) >= 4)
-    held = records.select("id", "kind", F.explode(F.array_distinct(F.concat(_prefixed("ref ", refs("refs")), _prefixed("thread ", F.col("threads"))))).alias("key"))
+    held = records.select("*", F.explode(F.array_distinct(F.concat(_prefixed("ref ", refs("refs")), _prefixed("thread ", F.col("threads"))))).alias("key"))
     mine = F.when(F.col("thread") != "", F.array(F.concat(F.lit("thread "), "thread"))).otherwise(_none())
-    keys = queries.select("q", F.col("q_kind").alias("kind"), F.explode(F.array_distinct(F.concat(_prefixed("ref ", refs("q_refs")), mine))).alias("key"))
-    whole = lambda pairs: pairs.join(records, "id").join(queries, "q").where((F.col("thread") == "") | ~F.array_contains("not_threads", F.col("thread")))
-    hard = cut(assess(whole(split_join(held, keys, ["kind", "key"]).select("q", "id").distinct())).select("q", "id", "kind", "leg", "same_day", F.col("q_day").isNotNull().alias("dated")))
-
-    legs = (F.col("kind") == "transport") & (F.col("leg") != "other")
-    that_day = legs & F.coalesce("same_day", F.lit(True))
-    moved = legs & (F.col("leg") == "same")
-    counts = hard.groupBy("q").agg(F.count("*").alias("n"), F.first("kind").alias("kind"), F.first("dated").alias("dated"), *(F.count(F.when(c, 1)).alias(name) for name, c in (("legs", legs), ("on_day", that_day), ("moved", moved))))
+    keys = queries.select("*", F.col("q_kind").alias("kind"), F.explode(F.array_distinct(F.concat(_prefixed("ref ", refs("q_refs")), mine))).alias("key"))
+    allowed = (F.col("thread") == "") | ~F.array_contains("not_threads", F.col("thread"))
+    seen = [c for c in held.columns if c.startswith("r_")]
+    asked = [c for c in keys.columns if c.startswith("q_")]
+    both = split_join(sieved(held.select("id", "kind", "key", "not_threads", *seen), keys, ["kind", "key"]), keys.select("q", "kind", "key", "thread", *asked), ["kind", "key"]).where(allowed)
     is_leg = F.col("kind") == "transport"
+    leg = is_leg & (F.col("leg") != "other")
+    # what the rules ask of a pair, as bits
+    hard = assess(both).select("q", "id", sum((F.when(c, n).otherwise(0) for n, c in _bits(is_leg, F.col("q_day").isNotNull(), leg, leg & F.coalesce("same_day", F.lit(True)), leg & (F.col("leg") == "same"))), F.lit(0)).alias("is"))
+    hard = cut(hard.distinct())
+
+    is_leg, dated, legs, that_day, moved = (F.col("is").bitwiseAND(1 << k) > 0 for k in range(5))
+    counts = hard.groupBy("q").agg(F.count("*").alias("n"), F.first(is_leg).alias("is_leg"), F.first(dated).alias("dated"), *(F.count(F.when(c, 1)).alias(name) for name, c in (("legs", legs), ("on_day", that_day), ("moved", moved))))
+    is_leg = F.col("is_leg")
     # which of the hard ones count, and why
     chosen = F.when(~is_leg, "all").when(~F.col("dated"), "legs").when(F.col("on_day") > 0, "on_day").when(F.col("moved") == 1, "moved").otherwise("legs")
     many = F.when(~is_leg, F.col("n")).when(~F.col("dated"), F.col("legs")).when(F.col("on_day") > 0, F.col("on_day")).when(F.col("moved") == 1, F.lit(1)).otherwise(F.lit(2))
@@ -248,7 +281,8 @@ def resolve(records: DataFrame, queries: DataFrame) -> DataFrame:
     first = first.select("q", F.when(F.col("one"), "exact").otherwise("several").alias("answer"), F.when(F.col("one"), F.col("id")).alias("id"), "why", "candidates")
 
     open_queries = queries.join(decided.select("q"), "q", "left_anti")
-    pairs = whole(candidates(records, open_queries)).where(F.col("include_closed") | is_open(F.col("kind"), F.col("state")))
+    pairs = cut(candidates(records, open_queries))
+    pairs = pairs.join(sieved(records, pairs, ["id"]), "id").join(queries, "q").where(allowed & (F.col("include_closed") | is_open(F.col("kind"), F.col("state"))))
     scored = assess(pairs).select("q", "id", "positives", "excluded", "conflict")
     fitting = ~F.col("excluded") & (F.size("positives") > 0)
     strong = fitting & F.exists("positives", lambda p: p != "counterpart")

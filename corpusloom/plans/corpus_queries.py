@@ -380,9 +380,14 @@ SELECT q, coalesce(answer, 'none') AS answer, CASE WHEN one THEN id END AS id, C
 def rec_resolve_leg(spark, sf_dir):
     """Which journey an observation means: every twentieth one asks, by its booking with the day, with its service on another
     day, or alone, by its service and day, or by nothing. Lines of an order are the legs of a booking, suppliers their services."""
-    # a line that is there more than once counts once
+    # a line that is there more than once counts once; only orders that may hold such lines are grouped by line
     line = F.min(F.struct("l_partkey", "l_suppkey", "l_shipdate", "l_returnflag")).alias("l")
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(line).select("l_orderkey", "l_linenumber", "l.*")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag")
+    lines = F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(pmod(l_linenumber, 63) as int))")))
+    doubtful, (n,) = tallied(li.groupBy("l_orderkey").agg(F.count("*").alias("n"), lines.alias("lines")).where("n <> coalesce(lines, 0)").select("l_orderkey"))
+    doubtful = F.broadcast(doubtful) if n <= FEW else doubtful
+    again = li.join(doubtful, "l_orderkey", "left_semi").groupBy("l_orderkey", "l_linenumber").agg(line).select("l_orderkey", "l_linenumber", "l.*")
+    li = li.join(doubtful, "l_orderkey", "left_anti").unionByName(again)
     number, none = F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), F.lit(None)
     cell = {"id": F.col("l_orderkey") * 8 + F.col("l_linenumber"), "kind": F.lit("transport"), "state": F.when(F.col("l_returnflag") == "R", "cancelled").otherwise("booked"), "refs": F.array(F.concat(F.lit("ORD-"), F.col("l_orderkey").cast("string"))), "start": F.date_format("l_shipdate", "yyyy-MM-dd"), "fields": F.create_map(F.lit("number"), number)}
     records = li.select(*(cell.get(c.split()[0], none).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in Z.RECORDS.split(", ")))
